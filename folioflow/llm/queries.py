@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, private_data, rules, secrets, token_files
+from . import common, language, line_quality, mixing, private_data, rules, secrets, token_files
 
 
 def tokenizer_path() -> str:
@@ -23,6 +23,14 @@ def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.find_private(common.documents(spark, sf_dir))
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.score_quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_language(common.documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(common.documents(spark, sf_dir), tokenizer_path())
 
