@@ -1,8 +1,8 @@
 """Token-ID output: length-delimited binary records with masked checksums, and an index of offsets.
 
 A record is: payload length (unsigned 64-bit, little-endian), masked CRC-32 of those 8 bytes (unsigned 32-bit),
-payload, masked CRC-32 of the payload. The payload is one document's ids as little-endian unsigned 32-bit
-integers, the end id last. A mask rotates the CRC right by 15 bits and adds 0xA282EAD8. Files hold at most
+payload, masked CRC-32 of the payload. The payload is one byte, the bytes of an id (2 where all ids of the document are
+below 65536, else 4), and the document's ids as little-endian unsigned integers, the end id last. A mask rotates the CRC right by 15 bits and adds 0xA282EAD8. Files hold at most
 `file_bytes` of records (one longer record has a file of its own). The index, in Parquet, has for each document its
 file, offset and length, so that documents can be read in any order.
 
@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -88,12 +89,23 @@ def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def payload_of(ids: bytes) -> bytes:
+    """From ids of 32 bits."""
+    wide = np.frombuffer(ids, "<u4")
+    return b"\2" + wide.astype("<u2").tobytes() if wide.max(initial=0) < 1 << 16 else b"\4" + ids
+
+
+def ids_of(payload: bytes) -> bytes:
+    """Ids of 32 bits."""
+    return payload[1:] if payload[0] == 4 else np.frombuffer(payload, "<u2", offset=1).astype("<u4").tobytes()
+
+
 def framed(payload: bytes) -> bytes:
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked(zlib.crc32(head))), payload, struct.pack("<I", masked(zlib.crc32(payload)))))
 
 
-def payload_of(record: bytes, where: str) -> bytes:
+def unframed(record: bytes, where: str) -> bytes:
     (size,), (head_crc,) = struct.unpack_from("<Q", record), struct.unpack_from("<I", record, 8)
     if head_crc != masked(zlib.crc32(record[:8])) or len(record) != size + 16:
         raise ValueError(f"{where}: the record's length does not hold")
@@ -118,16 +130,16 @@ def writer(folder: str, tokenizer: str, end_id: int, file_bytes: int):
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    payload = b"".join(map(words.__getitem__, (text or b"").split())) + end
-                    record = framed(payload)
+                    ids = b"".join(map(words.__getitem__, (text or b"").split())) + end
+                    record = framed(payload_of(ids))
                     if out is None or at and at + len(record) > file_bytes:
                         if out is not None:
                             out.close()
                         name = f"part-{part:06d}-{files:05d}-{task.taskAttemptId()}.rec"
                         out, at, files = system.open_output_stream(f"{root}/{name}"), 0, files + 1
                     out.write(record)
-                    n = len(payload) // 4
-                    rows.append((doc_id, part, total, n, zlib.crc32(payload), name, at, len(record)))
+                    n = len(ids) // 4
+                    rows.append((doc_id, part, total, n, zlib.crc32(ids), name, at, len(record)))
                     at, total = at + len(record), total + n
                 if rows:
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -169,9 +181,9 @@ def reader(folder: str):
                     if file is not None:
                         file.close()
                     name, file = where, system.open_input_file(f"{root}/{where}")
-                payload = payload_of(file.read_at(length, offset), f"{where} at {offset}")
-                counts.append(len(payload) // 4)
-                crcs.append(zlib.crc32(payload))
+                ids = ids_of(unframed(file.read_at(length, offset), f"{where} at {offset}"))
+                counts.append(len(ids) // 4)
+                crcs.append(zlib.crc32(ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
         if file is not None:
             file.close()
