@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language, line_quality, mixing, private_data, rules, secrets, token_files
+from . import common, language, line_quality, line_runs, mixing, private_data, rules, secrets, token_files
 
 
 def tokenizer_path() -> str:
@@ -44,6 +44,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(common.documents(spark, sf_dir))
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.delete_repeated_runs(common.documents(spark, sf_dir))
+    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.col("_runs").alias("deleted_lines"), "text")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
