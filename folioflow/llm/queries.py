@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language, line_quality, line_runs, mixing, private_data, rules, secrets, token_files
+from . import common, jaccard, language, line_quality, line_runs, mixing, private_data, rules, secrets, token_files
 
 
 def tokenizer_path() -> str:
@@ -40,6 +40,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(common.documents(spark, sf_dir), trusted)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(common.documents(spark, sf_dir))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(common.documents(spark, sf_dir))
 
