@@ -17,6 +17,7 @@ repeat a doc_id each get a record, one after another. An empty table gives an em
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,51 +31,57 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, broadcast_if, new_folder
 
+PUNCTUATION = string.punctuation
 INDEX = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long, file string, offset long, length long"
 #: Entries that a worker's caches of words hold before they start anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder(dict):
     """Word (UTF-8, without ASCII white space) -> its ids as bytes.
 
-    The tokenizer drops white space and merges within words only, so a text's ids are those of its words in turn.
+    The tokenizer drops white space and merges within words only, so a text's ids are those of its words in turn; it
+    likewise parts a word's letters from punctuation that follows them.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
-        self.cores: dict[str, bytes] = {}
-
-    def core(self, letters: str) -> bytes:
-        """Ids of lower-case ASCII letters, to which normalising and splitting do nothing."""
-        if (ids := self.cores.get(letters)) is None:
-            if len(self.cores) >= CACHE_WORDS:
-                self.cores.clear()
-            ids = self.cores[letters] = packed(x.id for x in self.merge(letters))
+        self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, text: str, letters: bool) -> bytes:
+        """Ids of lower-case letters, or of punctuation."""
+        if (ids := self.pieces.get(text)) is None:
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            if letters:
+                found = [x.id for x in self.merge(text if text.isascii() else self.spell(text)[0][0])]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.pieces[text] = packed(found)
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
         text = word.decode()
-        if not text.isascii():
-            ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        elif text.isalpha():
-            ids = self.core(text.lower())
-        elif text[-1] in ".,!?;:" and text[:-1].isalpha():
-            ids = self.core(text[:-1].lower()) + packed(self.tokenizer.encode(text[-1], add_special_tokens=False).ids)
+        letters = text.rstrip(PUNCTUATION)
+        # Latin letters that normalising leaves alone but for case, one by one.
+        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0180" and "\u0130" not in letters):
+            ids = self.piece(letters.lower(), True)
+            if len(letters) < len(text):
+                ids += self.piece(text[len(letters) :], False)
         else:
             ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         self[word] = ids
         return ids
 
 
-def packed(ids) -> bytes:
-    ids = list(ids)
+def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
