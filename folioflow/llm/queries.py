@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard, language, line_quality, line_runs, mixing, private_data, rules, secrets, token_files
+from . import common, decontaminate, jaccard, language, line_quality, line_runs, mixing, private_data, rules, secrets, token_files
 
 
 def tokenizer_path() -> str:
@@ -53,6 +53,11 @@ def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.col("_runs").alias("deleted_lines"), "text")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "similarity", "start", F.col("size").alias("n_words"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
