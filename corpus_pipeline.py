@@ -1,11 +1,72 @@
-"""A corpus from documents."""
+"""A training corpus from documents: filtered, without near copies and benchmark items, mixed, and written as ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as
+the next one's docs. All but the last return the columns of documents.
 
+Defined cases are those of the operators. Rows that repeat doc_id and text share every decision.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from folioflow.llm import common, decontaminate, jaccard, line_quality, mixing, queries as registered, token_files
+
+#: Score of the quality classifier from which a document stays.
+LEAST_QUALITY = 0.7
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = line_quality.with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), docs.columns)
+    return scored.where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: the one of least doc_id."""
+    away = common.written(jaccard.join_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
+    return docs.join(common.broadcast_if(away, away.count(), jaccard.BROADCAST_IDS), docs["doc_id"] == away["_id"], "left_anti")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_files.encode_to_files(docs, registered.tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", join_near),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mixed),
+    ("token-ID / binary output", encoded),
+]
+
+#: SQL cannot express the classifier's field; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, from documents."""
+    docs = common.documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def queries() -> dict:
+    return {"pipeline": run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
