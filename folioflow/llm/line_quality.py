@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .common import arrow_batches, split_of
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "shout", "symbol", "other", "wide")
 #: Features of a line by itself.
-OWN = 15
+OWN = 18
 #: Bytes of text whose features are made at once; a longer text is taken alone.
 CHUNK = 2 << 20
 
@@ -58,7 +59,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     capitals = np.bincount(line[begins & (cls == CLASSES.index("upper"))], minlength=n)
     sizes = np.array([t.count(b"\n") + 1 for t in texts])
     first = np.concatenate(([0], np.cumsum(sizes)))
-    again = np.zeros(n, np.float32)
+    again, same, distinct = np.zeros(n, np.float32), np.zeros(n, np.float32), np.ones(n, np.float32)
     at = 0
     for text in texts:
         seen: set[bytes] = set()
@@ -66,6 +67,9 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             if x and x in seen:
                 again[at] = 1
             seen.add(x)
+            if len(parts := x.split()) > 1:
+                same[at] = sum(map(eq, parts, parts[1:])) / (len(parts) - 1)
+                distinct[at] = len(set(parts)) / len(parts)
             at += 1
     own = np.zeros((n, OWN), np.float32)
     per = np.maximum(length, 1)[:, None]
@@ -76,6 +80,9 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     own[:, 12] = capitals / np.maximum(words, 1)
     own[:, 13] = again
     own[:, 14] = length == 0
+    own[:, 15] = same
+    own[:, 16] = distinct
+    own[:, 17] = words < 5
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     before[first[:-1]] = 0
