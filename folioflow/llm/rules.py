@@ -99,7 +99,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: flo
     return [math.log(share(target, i) / share(raw, i)) for i in range(buckets)]
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, smoothing: float = 1.0, least: float = -0.25) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, smoothing: float = 1.0, least: float = -0.05) -> DataFrame:
     """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
     ratios = log_ratios(docs, trusted, buckets, smoothing)
     table = F.broadcast(docs.sparkSession.createDataFrame([(ratios,)], "ratios array<double>"))  # one row of `buckets` numbers
