@@ -7,9 +7,10 @@ hash; a group shares two tokens unless all of its tokens in the prefix but one a
 by one token a group, and pairs of tokens of a group are indexed. Sets of fewer than SMALL tokens index single
 tokens only. Which tokens count as frequent affects cost and never the result.
 
-Documents with the same token set are one class from the start. Candidates are verified on their whole token sets.
-Groups of similar documents are not expanded into pairs: in each bucket, members are first verified against one hub,
-and buckets whose members are of one component by then are done. What is left (members of different components in
+Documents with the same token set are one class from the start. Candidates must pass two bounds that no linked pair
+fails: the indexed tokens that they share, and a sketch (tokens counted by hash in about as many bins as tokens; the
+lesser counts sum to no less than the shared tokens). Those that do are verified on their whole token sets. Groups of similar documents are not expanded into pairs: in each bucket, members are first verified against a hub
+of about their size, and buckets whose members are of one component by then are done. What is left (members of different components in
 one bucket, not yet verified) is verified pair by pair. Every linked pair thus ends in one component.
 
 Buckets of very frequent pairs are salted by class for the hub rounds. Only the table of frequent tokens is broadcast,
@@ -52,7 +53,26 @@ def set_key(tokens: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
 
 
-MEASURED = "doc_id long, text_hash long, n int, cls long, token long"
+MEASURED = "doc_id long, text_hash long, n int, cls long, token long, sketch binary"
+
+
+def sketch(tokens: np.ndarray) -> bytes | None:
+    """Counts of tokens in 2**k bins, at most as many as tokens; none if a count passes 255."""
+    if not len(tokens):
+        return None
+    bins = 1 << (len(tokens).bit_length() - 1)
+    counts = np.bincount((mixed(tokens) & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return None if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def may_share(x: bytes | None, y: bytes | None) -> int | None:
+    """At least as many tokens as the two sets share; none if that isn't known."""
+    if x is None or y is None:
+        return None
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    small = min(len(a), len(b))
+    a, b = (v.reshape(-1, small).sum(axis=0, dtype=np.int64) for v in (a, b))
+    return int(np.minimum(a, b).sum())
 
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,12 +85,12 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = counts >= LOCAL
         n = int(keep.sum())
         empty = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([empty, empty, pa.array(counts[keep], pa.int32()), empty, signed(tokens[keep])], names=[x.split()[0] for x in MEASURED.split(", ")])
+        return pa.RecordBatch.from_arrays([empty, empty, pa.array(counts[keep], pa.int32()), empty, signed(tokens[keep]), pa.nulls(n, pa.binary())], names=[x.split()[0] for x in MEASURED.split(", ")])
 
     for batch in batches:
         tokens = list(sets(batch.column("text").to_pylist()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, tokens), pa.int32()), pa.array(map(set_key, tokens), pa.int64()), pa.nulls(len(tokens), pa.int64())],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, tokens), pa.int32()), pa.array(map(set_key, tokens), pa.int64()), pa.nulls(len(tokens), pa.int64()), pa.array(map(sketch, tokens), pa.binary())],
             names=[x.split()[0] for x in MEASURED.split(", ")],
         )
         held += tokens
@@ -122,7 +142,7 @@ def indexer(frequent, percent: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks, counts = frequent.value
         for batch in batches:
-            found, salts, classes, sizes = [], [], [], []
+            found, salts, classes, sizes, pure = [], [], [], [], []
             for tokens in sets(batch.column("text").to_pylist()):
                 if not len(tokens):
                     continue
@@ -136,8 +156,10 @@ def indexer(frequent, percent: int):
                 salts.append((abs(cls) % dealt) if dealt.max(initial=1) > 1 else np.zeros(len(own), np.int64))
                 classes.append(np.full(len(own), cls, np.int64))
                 sizes.append(np.full(len(own), len(tokens), np.int32))
+                n = len(tokens)
+                pure.append(np.full(len(own), int((rank < 0).sum()) > n - -(-percent * n // 100)))
             if found:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names=["sig", "salt", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pure))], names=["sig", "salt", "cls", "n", "pure"])
 
     return index
 
@@ -161,11 +183,30 @@ def linker(percent: int):
     return link
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked, on whole token sets. A hub's set meets its members where they are; members' sets move once a pair."""
-    left = tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
-    right = tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+def sifter(percent: int):
+    """Keeps the pairs whose sketches allow a link."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True):
+                both = may_share(x, y)
+                keep.append(both is None or 100 * both >= percent * (n + m - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return sift
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, standing: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked of the pairs that may link by their sketches, on whole token sets. A set moves once a pair."""
+    left = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x"), "n")
+    right = sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+    close = written(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(sifter(percent), "a long, b long"), "sifted")
+    named = close.select(F.col("a").alias("cls")).unionByName(close.select(F.col("b").alias("cls"))).distinct()
+    chosen = written(standing.join(named, "cls", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "needed")
+    tokens = written(keyed(texts, chosen, "left_semi").select("text").mapInArrow(whole_sets, "cls long, tokens binary"), "tokens").dropDuplicates(["cls"])
+    left, right = tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
+    both = close.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return written(both.mapInArrow(linker(percent), "a long, b long, linked boolean"), "verified")
 
 
@@ -207,23 +248,23 @@ def join_components(docs: DataFrame, percent: int = 75, frequent: int = 64, most
 
     one_each = keyed(texts, copies, "left_anti")
     buckets = Window.partitionBy("sig", "salt")
-    signs = one_each.select("text").mapInArrow(indexer(table, percent), "sig long, salt int, cls long, n int")
-    hubs = signs.withColumn("size", F.count("*").over(buckets)).withColumn("hub", F.min(F.struct("cls", "n")).over(buckets))
+    signs = one_each.select("text").mapInArrow(indexer(table, percent), "sig long, salt int, cls long, n int, pure boolean")
+    alike = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
+    hubs = signs.withColumn("size", F.count("*").over(buckets)).withColumn("alike", alike).withColumn("hub", F.min(F.struct("cls", "n")).over(Window.partitionBy("sig", "salt", "alike")))
     # Buckets of one class are done; salted ones are met again through their hubs and in the last step.
-    index = written(hubs.where("size > 1 or salt > 0").select("sig", "salt", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), "index")
+    index = written(hubs.where("size > 1 or salt > 0").select("sig", "salt", "cls", "n", "pure", "alike", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), "index")
     salted = index.where("salt > 0").select("sig").distinct()
-    across = Window.partitionBy("sig")
-    heads = index.join(salted, "sig", "left_semi").select("sig", F.col("hub").alias("cls"), F.col("hub_n").alias("n")).distinct()
+    across = Window.partitionBy("sig", "alike")
+    heads = index.join(salted, "sig", "left_semi").select("sig", "alike", F.col("hub").alias("cls"), F.col("hub_n").alias("n")).distinct()
     heads = heads.withColumn("top", F.min(F.struct("cls", "n")).over(across)).select("sig", "cls", "n", F.col("top.cls").alias("hub"), F.col("top.n").alias("hub_n"))
     near = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("cls") != F.col("hub"))
     met = index.select("sig", "cls", "n", "hub", "hub_n").unionByName(heads).where(near).groupBy("cls", "hub").agg(F.count("*").alias("shared"))
     needed = index.select("cls").distinct()
-    chosen = standing.join(needed, "cls", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    tokens = written(keyed(texts, written(chosen, "needed"), "left_semi").select("text").mapInArrow(whole_sets, "cls long, tokens binary").dropDuplicates(["cls"]), "tokens")
+    sketches = written(members.join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
 
     # Round 0: each class against the hub that it shares most buckets with.
     pairs = met.groupBy(F.col("cls").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
-    done = verified(pairs, tokens, percent)
+    done = verified(pairs, sketches, texts, standing, percent)
     labels = components(done.where("linked"))
     for step in range(hub_rounds + 1):
         open_rows = written(unresolved(index, labels), "open")
@@ -234,7 +275,7 @@ def join_components(docs: DataFrame, percent: int = 75, frequent: int = 64, most
         last = step == hub_rounds or work["pairs"] <= 4 * work["rows"]
         pairs = crossing(open_rows, percent) if last else to_hubs(open_rows, percent, step)
         pairs = written(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
-        done = written(done.unionByName(verified(pairs, tokens, percent)), "done")
+        done = written(done.unionByName(verified(pairs, sketches, texts, standing, percent)), "done")
         labels = components(done.where("linked"))
         if last:
             break
@@ -252,8 +293,8 @@ def keyed(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def unresolved(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, cls, n, comp of the buckets that have members of different components."""
-    named = index.select("sig", "cls", "n").distinct().join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    """sig, cls, n, pure, comp of the buckets that have members of different components."""
+    named = index.select("sig", "cls", "n", "pure").distinct().join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     several = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
     return named.join(several, "sig", "left_semi")
 
@@ -266,7 +307,14 @@ def to_hubs(rows: DataFrame, percent: int, step: int) -> DataFrame:
 
 
 def crossing(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members that are of different components."""
-    other = rows.select("sig", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("comp").alias("with"))
+    """Pairs of a bucket's members that are of different components, and share enough of what is indexed.
+
+    Of two sets whose prefixes are rare tokens only, all that the one prefix that ends first shares is indexed; the
+    rest can add no more than the tokens after it.
+    """
+    other = rows.select("sig", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pure").alias("pure_b"), F.col("comp").alias("with"))
     near = (F.col("cls") < F.col("b")) & (F.col("comp") != F.col("with")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return rows.join(other, "sig").where(near).select(F.col("cls").alias("a"), "b").distinct()
+    met = rows.join(other, "sig").where(near).groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"), F.first(F.col("pure") & F.col("pure_b")).alias("pure"))
+    after = F.ceil(F.greatest("n", "m") * F.lit(percent) / 100) - 1
+    enough = (F.col("k") + after) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
+    return met.where(enough | ~F.col("pure")).select("a", "b")
