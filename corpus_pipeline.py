@@ -19,8 +19,9 @@ LEAST_QUALITY = 0.7
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = line_quality.with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), docs.columns)
-    return scored.where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    name = f"{common.prefix_for(docs.columns)}score"
+    scored = line_quality.with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), docs.columns, name)
+    return scored.where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

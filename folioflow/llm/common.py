@@ -61,3 +61,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_of(doc_id: Column, mod: int) -> Column:
     """crc32 of doc_id as text, modulo mod; a null doc_id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def prefix_for(columns: list[str]) -> str:
+    """Underscores that none of the columns begins with: for names that can't clash."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix

@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, train_documents: int) -> Field | N
     return fit(features, first, np.array([r["quality"] for r in rows]), np.concatenate(lengths))
 
 
-def scorer(field: Field | None):
+def scorer(field: Field | None, name: str):
     """Replaces the last column, a text's bytes, by its score."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,20 +228,20 @@ def scorer(field: Field | None):
                     continue
                 features, length, first = line_features(texts[a:b])
                 found.append(1 / (1 + np.exp(-(field.slope * logit(quality(field, features, first, length)) + field.shift))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found), pa.float64())], names=[*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found), pa.float64())], names=[*batch.schema.names[:-1], name])
 
     return score
 
 
-def with_score(docs: DataFrame, labels: DataFrame, columns: list[str], train_documents: int = 4000) -> DataFrame:
-    """The named columns of docs and _score."""
+def with_score(docs: DataFrame, labels: DataFrame, columns: list[str], name: str = "_score", train_documents: int = 4000) -> DataFrame:
+    """The named columns of docs, and the score under a name that isn't one of them."""
     arrow_batches(docs.sparkSession)
     field = train(docs, labels, train_documents)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes) + ", _score double"
-    return docs.select(*columns, F.col("text").cast("binary").alias("_text")).mapInArrow(scorer(field), schema)
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes) + f", `{name}` double"
+    return docs.select(*columns, F.col("text").cast("binary").alias(name)).mapInArrow(scorer(field, name), schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, train_documents: int = 4000, least: float = 0.7) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted."""
-    scored = with_score(docs, labels, ["doc_id"], train_documents)
+    scored = with_score(docs, labels, ["doc_id"], train_documents=train_documents)
     return scored.select("doc_id", (split_of(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= least).cast("int").alias("predicted"))

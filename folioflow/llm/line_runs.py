@@ -140,13 +140,13 @@ def covered(later: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"), F.sum(F.col("to") - F.col("from") + 1).cast("long").alias("n_deleted"))
 
 
-def delete_repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """docs with text less the later copies of repeated runs, and _lines, _deleted and _runs (`from-to`, comma-joined)."""
-    runs = written(repeated_runs(docs, min_words), "runs").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "runs", "n_deleted")
-    joined = docs.join(broadcast_if(runs, runs.count(), BROADCAST_RUNS), docs["doc_id"].eqNullSafe(runs["_id"]) & (F.xxhash64(docs["text"]) == runs["_mark"]), "left")
-    lines = F.split(docs["text"], "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.exists(F.col("runs"), lambda r: i.between(r["from"], r["to"]))), "\n")
-    others = [F.when(F.col("runs").isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["from"], r["to"])), ",")
+def delete_repeated_runs(docs: DataFrame, min_words: int = 50, prefix: str = "_") -> DataFrame:
+    """docs with text less the later copies of repeated runs; and, after prefix, lines, deleted, and runs (`from-to`, comma-joined)."""
+    runs = written(repeated_runs(docs, min_words), "runs").select(F.col("doc_id").alias(f"{prefix}id"), F.col("mark").alias(f"{prefix}mark"), F.col("runs").alias(f"{prefix}ranges"), F.col("n_deleted").alias(f"{prefix}n"))
+    joined = docs.join(broadcast_if(runs, runs.count(), BROADCAST_RUNS), docs["doc_id"].eqNullSafe(runs[f"{prefix}id"]) & (F.xxhash64(docs["text"]) == runs[f"{prefix}mark"]), "left")
+    lines, ranges = F.split(docs["text"], "\n", -1), runs[f"{prefix}ranges"]
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.exists(ranges, lambda r: i.between(r["from"], r["to"]))), "\n")
+    others = [F.when(ranges.isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    listed = F.array_join(F.transform(ranges, lambda r: F.concat_ws("-", r["from"], r["to"])), ",")
     count = F.when(docs["text"].isNull(), 0).otherwise(F.size(lines))
-    return joined.select(*others, count.cast("long").alias("_lines"), F.coalesce("n_deleted", F.lit(0)).alias("_deleted"), F.coalesce(listed, F.lit("")).alias("_runs"))
+    return joined.select(*others, count.cast("long").alias(f"{prefix}lines"), F.coalesce(runs[f"{prefix}n"], F.lit(0)).alias(f"{prefix}deleted"), F.coalesce(listed, F.lit("")).alias(f"{prefix}runs"))

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, word_count, written
+from .common import broadcast_if, prefix_for, word_count, written
 
 #: Rows of the source table up to which it is broadcast (each a short name and two numbers).
 BROADCAST_SOURCES = 100_000
@@ -67,19 +67,20 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float)
     )
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies; one row a document."""
-    table = targets(source_sizes(docs), weights, share, cap)
-    table = table.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    whole = F.floor("_rate")
-    copies = whole + F.when(draw(F.col("doc_id"), seed) < F.col("_rate") - whole, 1).otherwise(0)
-    joined = docs.join(broadcast_if(table, table.count(), BROADCAST_SOURCES), docs["source"].eqNullSafe(table["_source"]), "left")
+def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, prefix: str = "_") -> DataFrame:
+    """docs with size, source_size, target and copies, their names after prefix; one row a document."""
+    named = {c: f"{prefix}{c}" for c in ("source", "source_size", "target", "rate")}
+    table = targets(source_sizes(docs), weights, share, cap).withColumnsRenamed(named)
+    rate = table[named["rate"]]
+    copies = F.floor(rate) + F.when(draw(docs["doc_id"], seed) < rate - F.floor(rate), 1).otherwise(0)
+    joined = docs.join(broadcast_if(table, table.count(), BROADCAST_SOURCES), docs["source"].eqNullSafe(table[named["source"]]), "left")
     return joined.select(
-        *[docs[c] for c in docs.columns], word_count(docs["text"]).alias("_size"), "_source_size", "_target", copies.cast("long").alias("_copies")
+        *[docs[c] for c in docs.columns], word_count(docs["text"]).alias(f"{prefix}size"), table[named["source_size"]], table[named["target"]], copies.cast("long").alias(f"{prefix}copies")
     )
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: the columns of docs, each document as often as the mix takes it."""
-    plan = mix_plan(docs, **settings).where("_copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    prefix = prefix_for(docs.columns)
+    plan = mix_plan(docs, prefix=prefix, **settings).where(F.col(f"{prefix}copies") > 0)
+    return plan.withColumn(f"{prefix}copy", F.explode(F.sequence(F.lit(1), F.col(f"{prefix}copies")))).select(*docs.columns)

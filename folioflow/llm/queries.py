@@ -15,7 +15,7 @@ def tokenizer_path() -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(common.documents(spark, sf_dir))
+    plan = mixing.mix_plan(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
     return plan.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
@@ -49,7 +49,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_runs.delete_repeated_runs(common.documents(spark, sf_dir))
+    kept = line_runs.delete_repeated_runs(common.documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.col("_runs").alias("deleted_lines"), "text")
 
 
