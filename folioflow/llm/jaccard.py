@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, broadcast_if, written
-from .shingles import mixed, sets
+from .shingles import FACTOR, mixed, sets
 
 #: Token sets below this size index single tokens only.
 SMALL = 16
 #: Times a token must occur in a task to be counted there: others are rare for sure.
-LOCAL = 4
+LOCAL = 2
 #: Rows of a table of ids up to which it is broadcast.
 BROADCAST_IDS = 500_000
 #: Members that a salted bucket of a frequent pair is expected to have.
@@ -53,7 +53,14 @@ def set_key(tokens: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
 
 
-MEASURED = "doc_id long, text_hash long, n int, cls long, token long, sketch binary"
+MEASURED = "doc_id long, text_hash long, n int, cls long, token long, sketch binary, parity array<long>"
+#: Words of 64 bits of a set's parity: how often the tokens of a bin occur, modulo 2. Two sets differ in as many tokens at least as in bits.
+PARITY = 16
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mixed(tokens + FACTOR) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def sketch(tokens: np.ndarray) -> bytes | None:
@@ -85,17 +92,17 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = counts >= LOCAL
         n = int(keep.sum())
         empty = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([empty, empty, pa.array(counts[keep], pa.int32()), empty, signed(tokens[keep]), pa.nulls(n, pa.binary())], names=[x.split()[0] for x in MEASURED.split(", ")])
+        return pa.RecordBatch.from_arrays([empty, empty, pa.array(counts[keep], pa.int32()), empty, signed(tokens[keep]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], names=[x.split()[0] for x in MEASURED.split(", ")])
 
     for batch in batches:
         tokens = list(sets(batch.column("text").to_pylist()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, tokens), pa.int32()), pa.array(map(set_key, tokens), pa.int64()), pa.nulls(len(tokens), pa.int64()), pa.array(map(sketch, tokens), pa.binary())],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, tokens), pa.int32()), pa.array(map(set_key, tokens), pa.int64()), pa.nulls(len(tokens), pa.int64()), pa.array(map(sketch, tokens), pa.binary()), pa.array(map(parity, tokens), pa.list_(pa.int64()))],
             names=[x.split()[0] for x in MEASURED.split(", ")],
         )
         held += tokens
         size += sum(map(len, tokens))
-        if size > 4_000_000:
+        if size > 2_000_000:
             yield often()
             held, size = [], 0
     if held:
@@ -224,7 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join_components(docs: DataFrame, percent: int = 75, frequent: int = 64, most_frequent: int = 1 << 20, hub_rounds: int = 4) -> DataFrame:
+def join_components(docs: DataFrame, percent: int = 75, frequent: int = 24, most_frequent: int = 1 << 20, hub_rounds: int = 1) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -249,21 +256,25 @@ def join_components(docs: DataFrame, percent: int = 75, frequent: int = 64, most
     one_each = keyed(texts, copies, "left_anti")
     buckets = Window.partitionBy("sig", "salt")
     signs = one_each.select("text").mapInArrow(indexer(table, percent), "sig long, salt int, cls long, n int, pure boolean")
-    alike = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    hubs = signs.withColumn("size", F.count("*").over(buckets)).withColumn("alike", alike).withColumn("hub", F.min(F.struct("cls", "n")).over(Window.partitionBy("sig", "salt", "alike")))
     # Buckets of one class are done; salted ones are met again through their hubs and in the last step.
-    index = written(hubs.where("size > 1 or salt > 0").select("sig", "salt", "cls", "n", "pure", "alike", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), "index")
+    shared = written(signs.withColumn("size", F.count("*").over(buckets)).where("size > 1 or salt > 0"), "shared")
+    # A hub is the class of about the same size that meets most others: the origin of edited copies rather than one of them.
+    degree = shared.groupBy("cls").agg(F.sum("size").alias("degree"))
+    alike = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
+    around = buckets.orderBy("alike").rangeBetween(-1, 1)
+    hubs = shared.join(degree, "cls").withColumn("alike", alike).withColumn("hub", F.max(F.struct("degree", "cls", "n")).over(around))
+    index = written(hubs.select("sig", "salt", "cls", "n", "pure", "degree", "alike", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.degree").alias("hub_degree")), "index")
     salted = index.where("salt > 0").select("sig").distinct()
-    across = Window.partitionBy("sig", "alike")
-    heads = index.join(salted, "sig", "left_semi").select("sig", "alike", F.col("hub").alias("cls"), F.col("hub_n").alias("n")).distinct()
-    heads = heads.withColumn("top", F.min(F.struct("cls", "n")).over(across)).select("sig", "cls", "n", F.col("top.cls").alias("hub"), F.col("top.n").alias("hub_n"))
+    across = Window.partitionBy("sig").orderBy("alike").rangeBetween(-1, 1)
+    heads = index.join(salted, "sig", "left_semi").select("sig", "alike", F.col("hub").alias("cls"), F.col("hub_n").alias("n"), F.col("hub_degree").alias("degree")).distinct()
+    heads = heads.withColumn("top", F.max(F.struct("degree", "cls", "n")).over(across)).select("sig", "cls", "n", F.col("top.cls").alias("hub"), F.col("top.n").alias("hub_n"))
     near = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("cls") != F.col("hub"))
     met = index.select("sig", "cls", "n", "hub", "hub_n").unionByName(heads).where(near).groupBy("cls", "hub").agg(F.count("*").alias("shared"))
     needed = index.select("cls").distinct()
-    sketches = written(members.join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    sketches = written(members.join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")), "sketches")
 
     # Round 0: each class against the hub that it shares most buckets with.
-    pairs = met.groupBy(F.col("cls").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
+    pairs = met.groupBy(F.col("cls").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b")).distinct()
     done = verified(pairs, sketches, texts, standing, percent)
     labels = components(done.where("linked"))
     for step in range(hub_rounds + 1):
@@ -273,7 +284,7 @@ def join_components(docs: DataFrame, percent: int = 75, frequent: int = 64, most
         if not work["rows"]:
             break
         last = step == hub_rounds or work["pairs"] <= 4 * work["rows"]
-        pairs = crossing(open_rows, percent) if last else to_hubs(open_rows, percent, step)
+        pairs = crossing(open_rows, sketches, percent) if last else to_hubs(open_rows, percent, step)
         pairs = written(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
         done = written(done.unionByName(verified(pairs, sketches, texts, standing, percent)), "done")
         labels = components(done.where("linked"))
@@ -300,21 +311,46 @@ def unresolved(index: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def to_hubs(rows: DataFrame, percent: int, step: int) -> DataFrame:
-    """Members against a hub of their bucket, another one each round."""
-    hub = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(step))).alias("h"))
+    """Members against a hub of their bucket; each bucket has another one, and each round."""
+    hub = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", "sig", F.lit(step))).alias("h"))
     met = rows.join(hub, "sig").where(F.col("comp") != F.col("h.comp")).where(100 * F.least("n", F.col("h.n")) >= percent * F.greatest("n", F.col("h.n")))
     return met.select(F.col("cls").alias("a"), F.col("h.cls").alias("b")).distinct()
 
 
-def crossing(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members that are of different components, and share enough of what is indexed.
+def crossing(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of two components that meet in a bucket.
 
-    Of two sets whose prefixes are rare tokens only, all that the one prefix that ends first shares is indexed; the
-    rest can add no more than the tokens after it.
+    Components are paired first. Two of one class each must allow a link by their parities, and if their prefixes are
+    rare tokens only, share enough of what is indexed: all that the one prefix that ends first shares is, and the rest
+    can add no more than the tokens after it. Then a pair of components is expanded: into all pairs of their members
+    if those are fewer than the meetings in buckets, else into the pairs that meet.
     """
-    other = rows.select("sig", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pure").alias("pure_b"), F.col("comp").alias("with"))
-    near = (F.col("cls") < F.col("b")) & (F.col("comp") != F.col("with")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    met = rows.join(other, "sig").where(near).groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"), F.first(F.col("pure") & F.col("pure_b")).alias("pure"))
-    after = F.ceil(F.greatest("n", "m") * F.lit(percent) / 100) - 1
-    enough = (F.col("k") + after) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
-    return met.where(enough | ~F.col("pure")).select("a", "b")
+    words = [f"p{i}" for i in range(PARITY)]
+    known = sketches.select("cls", *[F.col("parity")[i].alias(w) for i, w in enumerate(words)])
+    classes = written(rows.select("cls", "n", "pure", "comp").distinct().join(known, "cls"), "open-classes")
+    one = F.count("*") == 1
+    info = classes.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.every("pure").alias("pure"), *[F.when(one, F.first(w)).alias(w) for w in words])
+    counts = written(rows.groupBy("sig", "comp").agg(F.count("*").alias("c")).join(info, "comp"), "bucket-counts")
+    other = counts.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("comp", "c", "size", "low", "high", "pure", *words)])
+
+    def close(n, m):
+        """Bits that differ, against the most tokens in which linked sets of these sizes do."""
+        bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_b"))))
+        return F.coalesce((100 + percent) * bits <= (100 - percent) * (n + m), F.lit(True))
+
+    fits = (F.col("comp") < F.col("comp_b")) & (100 * F.least("high", "high_b") >= percent * F.greatest("low", "low_b")) & close(F.col("low"), F.col("low_b"))
+    same = ("size", "size_b", "low", "low_b", "pure", "pure_b")
+    met = counts.join(other, "sig").where(fits).groupBy("comp", "comp_b").agg(F.count("*").alias("k"), F.sum(F.col("c") * F.col("c_b")).alias("met"), *[F.first(c).alias(c) for c in same])
+    after = F.ceil(F.greatest("low", "low_b") * F.lit(percent) / 100) - 1
+    enough = (F.col("k") + after) * (100 + percent) >= percent * (F.col("low") + F.col("low_b"))
+    alone = (F.col("size") == 1) & (F.col("size_b") == 1) & F.col("pure") & F.col("pure_b")
+    kept = written(met.where(enough | ~alone).select("comp", "comp_b", (F.col("size") * F.col("size_b") <= F.col("met")).alias("whole")), "component-pairs")
+    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & close(F.col("n"), F.col("m"))
+    own, its = classes.select("cls", "n", "comp", *words), classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), *[F.col(w).alias(f"{w}_b") for w in words])
+    all_pairs = kept.where("whole").join(own, "comp").join(its, (kept["comp_b"] == its["comp_b"]) & near).select(F.col("cls").alias("a"), "b")
+    # The others' buckets first, so that only members that meet are paired.
+    part = kept.where("not whole").select("comp", "comp_b")
+    meet = counts.select("sig", "comp").join(part, "comp").join(counts.select("sig", F.col("comp").alias("comp_b")), ["sig", "comp_b"])
+    ours, theirs = rows.select("sig", "cls").join(own, "cls"), rows.select("sig", F.col("cls").alias("b")).join(its, "b")
+    in_buckets = meet.join(ours, ["sig", "comp"]).join(theirs.withColumnsRenamed({"sig": "sig_b", "comp_b": "comp_c"}), (F.col("sig") == F.col("sig_b")) & (F.col("comp_b") == F.col("comp_c")) & near).select(F.col("cls").alias("a"), "b")
+    return all_pairs.unionByName(in_buckets).distinct()

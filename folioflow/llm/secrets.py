@@ -106,7 +106,8 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
         ands = [frozenset(x.lower()[i : i + 3] for i in range(len(x) - 2)) for x in run]
         if all(ands) and (best is None or min(map(len, ands)) > min(map(len, best))):
             best = ands
-    return sorted(set(best), key=sorted) if best else []
+    # An AND that contains another adds nothing to the OR.
+    return sorted({a for a in best if not any(b < a for b in best)}, key=sorted) if best else []
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
