@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, written
 from .secrets import row_key
-from .shingles import WIDTH, chunks, shingle_hashes, word_hashes
+from .shingles import FACTOR, WIDTH, chunks, mixed, shingle_hashes, word_hashes
 
 BLOCKS, BITS = 8, 8
 #: Bits in which two fingerprints may differ; shingle sets of similarity 0.75 differ in about 11, 3 more or less.
@@ -79,6 +79,8 @@ class Items:
         for r in rows:
             for h in r["hashes"]:
                 self.by_shingle[h].add(r["words"])
+        # Items of fewer words than a shingle are found as sequences of so many words.
+        self.short = {n: np.sort(np.array([h for r in rows if r["words"] == n for h in r["hashes"]], np.int64)) for n in range(1, WIDTH) if any(r["words"] == n for r in rows)}
         self.known = np.sort(np.array(list(self.by_shingle), np.int64))
         self.quick = np.zeros(1 << 16, bool)
         self.quick[self.known.view(np.uint64) & np.uint64(0xFFFF)] = True
@@ -94,6 +96,20 @@ class Items:
         own = hashes[maybe].view(np.int64)
         return maybe[self.known[np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)] == own]
 
+    def short_windows(self, words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(text, size, start, hash) of each sequence of words that is a short item."""
+        for size, known in self.short.items():
+            if len(words) < size:
+                continue
+            h = np.full(len(words) - size + 1, size, np.uint64)
+            for k in range(size):
+                h = h * FACTOR + words[k : len(words) - size + 1 + k]
+            h = mixed(h)
+            for at in np.flatnonzero(np.isin(h.view(np.int64), known)).tolist():
+                text = int(np.searchsorted(begin, at, side="right")) - 1
+                if at + size <= begin[text + 1]:
+                    yield text, size, at - int(begin[text]), h[at : at + 1]
+
     def windows(self, hashes: np.ndarray, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(size, shingles a window, starts, fingerprints, hashes from the first start on) of windows with a hit."""
         at: dict[int, list[int]] = defaultdict(list)
@@ -122,6 +138,8 @@ def segmenter(items):
                 with np.errstate(over="ignore"):
                     words, begin = word_hashes(texts[a:b])
                     hashes, first = shingle_hashes(words, begin)
+                    for i, size, start, part in block.short_windows(words, begin):
+                        rows.append((keys[a + i], ids[a + i], size, 1, start, fingerprints(part, block.weigh(part), 1).view(np.int64), part.view(np.int64)))
                 for i in np.unique(np.searchsorted(first, block.hits(hashes), side="right") - 1).tolist():
                     for size, wide, run, prints, part in block.windows(hashes[first[i] : first[i + 1]], int(begin[i + 1] - begin[i])):
                         rows.append((keys[a + i], ids[a + i], size, wide, int(run[0]), prints.view(np.int64), part.view(np.int64)))
