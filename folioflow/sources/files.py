@@ -11,7 +11,7 @@ LOG_COLUMNS = ("serial", "timestamp", "operation", "user", "file", "status", "du
 
 
 def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, length, modificationTime, content of each file."""
+    """path, length, modificationTime, content of each file; Spark's scans skip files of no bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
