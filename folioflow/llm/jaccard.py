@@ -160,7 +160,7 @@ def indexer(frequent, percent: int):
                     own, dealt = signatures(tokens, rank, np.where(hit, counts[at] if len(known) else 0, 0), percent)
                 cls = set_key(tokens)
                 found.append(own)
-                salts.append((abs(cls) % dealt) if dealt.max(initial=1) > 1 else np.zeros(len(own), np.int64))
+                salts.append(np.where(dealt > 1, abs(cls) % dealt, -1))
                 classes.append(np.full(len(own), cls, np.int64))
                 sizes.append(np.full(len(own), len(tokens), np.int32))
                 n = len(tokens)
@@ -257,19 +257,27 @@ def join_components(docs: DataFrame, percent: int = 75, frequent: int = 24, most
     buckets = Window.partitionBy("sig", "salt")
     signs = one_each.select("text").mapInArrow(indexer(table, percent), "sig long, salt int, cls long, n int, pure boolean")
     # Buckets of one class are done; salted ones are met again through their hubs and in the last step.
-    shared = written(signs.withColumn("size", F.count("*").over(buckets)).where("size > 1 or salt > 0"), "shared")
+    # Sums of 32 bits of two hashes name a bucket's members, repeated ones as often as they are there.
+    halves = [(F.shiftright(h, 32), h.bitwiseAND(0xFFFFFFFF)) for h in (F.xxhash64("cls"), F.xxhash64("cls", F.lit(7)))]
+    names = ["f", "g", "f2", "g2"]
+    marks = {"size": F.count("*")} | dict(zip(names, [F.sum(x) for pair in halves for x in pair], strict=True))
+    buckets_met = written(signs.withColumns({c: m.over(buckets) for c, m in marks.items()}).where("size > 1 or salt >= 0"), "buckets")
+    # Of buckets of equal members (tokens of one passage) one is kept, with their number as its weight.
+    whole = buckets_met.where("salt = -1")
+    kept = whole.groupBy("size", *names).agg(F.min("sig").alias("sig"), (F.count("*") / F.col("size")).cast("long").alias("w")).select("sig", "w")
+    shared = written(whole.join(kept, "sig").drop(*names).unionByName(buckets_met.where("salt >= 0").drop(*names).withColumn("w", F.lit(1).cast("long"))), "shared")
     # A hub is the class of about the same size that meets most others: the origin of edited copies rather than one of them.
-    degree = shared.groupBy("cls").agg(F.sum("size").alias("degree"))
+    degree = shared.groupBy("cls").agg(F.sum(F.col("size") * F.col("w")).alias("degree"))
     alike = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
     around = buckets.orderBy("alike").rangeBetween(-1, 1)
     hubs = shared.join(degree, "cls").withColumn("alike", alike).withColumn("hub", F.max(F.struct("degree", "cls", "n")).over(around))
-    index = written(hubs.select("sig", "salt", "cls", "n", "pure", "degree", "alike", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.degree").alias("hub_degree")), "index")
-    salted = index.where("salt > 0").select("sig").distinct()
+    index = written(hubs.select("sig", "salt", "cls", "n", "pure", "w", "degree", "alike", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.degree").alias("hub_degree")), "index")
+    salted = index.where("salt >= 0").select("sig").distinct()
     across = Window.partitionBy("sig").orderBy("alike").rangeBetween(-1, 1)
     heads = index.join(salted, "sig", "left_semi").select("sig", "alike", F.col("hub").alias("cls"), F.col("hub_n").alias("n"), F.col("hub_degree").alias("degree")).distinct()
-    heads = heads.withColumn("top", F.max(F.struct("degree", "cls", "n")).over(across)).select("sig", "cls", "n", F.col("top.cls").alias("hub"), F.col("top.n").alias("hub_n"))
+    heads = heads.withColumn("top", F.max(F.struct("degree", "cls", "n")).over(across)).select("sig", "cls", "n", F.col("top.cls").alias("hub"), F.col("top.n").alias("hub_n"), F.lit(1).cast("long").alias("w"))
     near = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("cls") != F.col("hub"))
-    met = index.select("sig", "cls", "n", "hub", "hub_n").unionByName(heads).where(near).groupBy("cls", "hub").agg(F.count("*").alias("shared"))
+    met = index.select("sig", "cls", "n", "hub", "hub_n", "w").unionByName(heads).where(near).groupBy("cls", "hub").agg(F.sum("w").alias("shared"))
     needed = index.select("cls").distinct()
     sketches = written(members.join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")), "sketches")
 
@@ -304,8 +312,8 @@ def keyed(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def unresolved(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, cls, n, pure, comp of the buckets that have members of different components."""
-    named = index.select("sig", "cls", "n", "pure").distinct().join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    """sig, cls, n, pure, w, comp of the buckets that have members of different components."""
+    named = index.select("sig", "cls", "n", "pure", "w").distinct().join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     several = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
     return named.join(several, "sig", "left_semi")
 
@@ -330,7 +338,7 @@ def crossing(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     classes = written(rows.select("cls", "n", "pure", "comp").distinct().join(known, "cls"), "open-classes")
     one = F.count("*") == 1
     info = classes.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.every("pure").alias("pure"), *[F.when(one, F.first(w)).alias(w) for w in words])
-    counts = written(rows.groupBy("sig", "comp").agg(F.count("*").alias("c")).join(info, "comp"), "bucket-counts")
+    counts = written(rows.groupBy("sig", "comp", "w").agg(F.count("*").alias("c")).join(info, "comp"), "bucket-counts")
     other = counts.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("comp", "c", "size", "low", "high", "pure", *words)])
 
     def close(n, m):
@@ -340,7 +348,7 @@ def crossing(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     fits = (F.col("comp") < F.col("comp_b")) & (100 * F.least("high", "high_b") >= percent * F.greatest("low", "low_b")) & close(F.col("low"), F.col("low_b"))
     same = ("size", "size_b", "low", "low_b", "pure", "pure_b")
-    met = counts.join(other, "sig").where(fits).groupBy("comp", "comp_b").agg(F.count("*").alias("k"), F.sum(F.col("c") * F.col("c_b")).alias("met"), *[F.first(c).alias(c) for c in same])
+    met = counts.join(other, "sig").where(fits).groupBy("comp", "comp_b").agg(F.sum("w").alias("k"), F.sum(F.col("w") * F.col("c") * F.col("c_b")).alias("met"), *[F.first(c).alias(c) for c in same])
     after = F.ceil(F.greatest("low", "low_b") * F.lit(percent) / 100) - 1
     enough = (F.col("k") + after) * (100 + percent) >= percent * (F.col("low") + F.col("low_b"))
     alone = (F.col("size") == 1) & (F.col("size_b") == 1) & F.col("pure") & F.col("pure_b")
