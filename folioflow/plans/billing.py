@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import business as b
 from ..operators import changes, identity, ledgers, reports
-from ..sources.views import VIEWS  # noqa: F401  the views that the SQL below names
 from .registry import Tables, query
 
 CONTRACTS = """c AS (
@@ -47,11 +46,11 @@ def b4(t: Tables) -> DataFrame:
     return contracts(t).select("id", "total_cost", b.contract_due(F.col("total_cost"), F.col("advance_bill"), False).alias("due_at_creation"), "due_amount", "payment_status", "duration_days", "pages_used", "pages_remaining")
 
 
-@query("b6_payments_posted", f"""WITH {CONTRACTS}, p AS (SELECT l_partkey AS id, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS paid FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), a AS (
+@query("b6_payments_posted", f"""WITH {CONTRACTS}, p AS (SELECT l_partkey AS id, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS paid FROM lineitem GROUP BY 1), a AS (
   SELECT c.id, CASE WHEN paid IS NULL THEN advance_bill ELSE round(advance_bill + paid, 2) END AS advance_bill, CASE WHEN paid IS NULL THEN due_amount ELSE round(greatest(0.0, total_cost - round(advance_bill + paid, 2)), 2) END AS due_amount
   FROM c LEFT JOIN p ON p.id = c.id) SELECT *, CASE WHEN due_amount <= 0 THEN 'paid' WHEN advance_bill > 0 THEN 'partial_paid' ELSE 'due' END AS payment_status FROM a""")
 def b6(t: Tables) -> DataFrame:
-    return changes.payments_posted(contracts(t), t.lineitem.where("l_linenumber = 1").select(F.col("l_partkey").alias("enterprise_id"), F.col("l_extendedprice").alias("amount")))
+    return changes.payments_posted(contracts(t), t.lineitem.select(F.col("l_partkey").alias("enterprise_id"), F.col("l_extendedprice").alias("amount")))
 
 
 @query("b9_invoice_numbers", """SELECT id, 'ENT-' || CASE WHEN id > 999999 THEN id::VARCHAR ELSE lpad(id::VARCHAR, 6, '0') END AS contract_no, user_id || '-' || upper(substr(sha256(id::VARCHAR), 1, 12)) AS payment_no, user_id AS parsed FROM payment_history""")
@@ -139,9 +138,10 @@ def e4(t: Tables) -> DataFrame:
     return reports.user_stats(t.users, t.ocr_documents)
 
 
-@query("e6_s5_pages_used", f"""WITH {CONTRACTS} SELECT c.id, pages_used + coalesce(m, 0) AS pages_used FROM c LEFT JOIN (SELECT enterprise_id, sum(total_pages)::BIGINT AS m FROM enterprise_ocr_documents WHERE id % 10 = 1 GROUP BY 1) x ON x.enterprise_id = c.id""")
+@query("e6_s5_pages_used", "SELECT e.id, coalesce(sum(d.total_pages), 0)::BIGINT AS pages_used FROM enterprises e LEFT JOIN enterprise_ocr_documents d ON d.enterprise_id = e.id GROUP BY 1")
 def e6(t: Tables) -> DataFrame:
-    return changes.appended(contracts(t), t.enterprise_ocr_documents.where("id % 10 = 1")).select("id", "pages_used")
+    """New contracts, and all documents appended to them."""
+    return changes.appended(t.enterprises.withColumn("pages_used", F.lit(0)), t.enterprise_ocr_documents).select("id", "pages_used")
 
 
 @query("w1_e5_newest_page", """SELECT id, filename, created_at, (SELECT count(*) FROM ocr_documents WHERE NOT is_deleted) AS total FROM ocr_documents WHERE NOT is_deleted ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 20""")
@@ -206,9 +206,9 @@ def j2(t: Tables) -> DataFrame:
 
 
 @query("j3_contract_history", """SELECT u.id AS caller_id, count(*) AS documents, sum(d.total_pages)::BIGINT AS pages FROM users u JOIN enterprises e ON (u.role = 'super_user' OR (e.created_by = u.id AND NOT e.is_deleted))
-JOIN enterprise_ocr_documents d ON d.enterprise_id = e.id WHERE u.role <> 'user' AND u.id <= 200 GROUP BY 1""")
+JOIN enterprise_ocr_documents d ON d.enterprise_id = e.id WHERE u.role <> 'user' GROUP BY 1""")
 def j3(t: Tables) -> DataFrame:
-    callers = t.users.where("role <> 'user' and id <= 200")
+    callers = t.users.where("role <> 'user'")
     return reports.contract_history(callers, t.enterprises, t.enterprise_ocr_documents).groupBy("caller_id").agg(F.count("*").alias("documents"), F.sum("total_pages").alias("pages"))
 
 
@@ -331,8 +331,9 @@ REQUESTS = "(SELECT * FROM ocr_requests WHERE file_size > 0 AND file_size <= 104
 
 
 def credited(t: Tables) -> DataFrame:
-    paid = t.payment_history.where("status = 'success' and id % 40 = 0")
-    return paid.select("user_id", F.col("id").alias("credit_id"), F.col("created_at").alias("paid_at"), F.col("pages_purchased").alias("pages"))
+    """Purchases, as the callbacks settle them."""
+    paid = ledgers.settled(t.payment_callbacks, t.payment_history, t.users).where("outcome = 'success'")
+    return paid.select(F.col("payer").alias("user_id"), F.col("callback_id").alias("credit_id"), F.col("received_at").alias("paid_at"), F.col("pages_purchased").alias("pages"))
 
 
 LEDGER = """e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY moment, kind, event_id) AS n FROM ev), f AS (SELECT k, n, event_id, kind, CASE WHEN kind = 1 AND free > 0 AND pages = 1 THEN free - 1 ELSE free END AS free,
@@ -341,9 +342,9 @@ LEDGER = """e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY moment, k
     CASE WHEN e.kind = 0 THEN NULL WHEN f.free > 0 AND e.pages > 1 THEN '400' WHEN f.free > 0 THEN 'free' WHEN e.pages <= f.bal THEN 'paid' ELSE '402' END FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1)"""
 
 
-@query("q1_t5_user_quota", f"""WITH RECURSIVE u AS (SELECT id AS k, role, greatest(0, 3 - free_ocr_used)::BIGINT AS free, (subscription_pages_total - subscription_pages_used)::BIGINT AS bal FROM users), ev AS (
+@query("q1_t5_user_quota", f"""WITH RECURSIVE {SETTLED}, u AS (SELECT id AS k, role, greatest(0, 3 - free_ocr_used)::BIGINT AS free, (subscription_pages_total - subscription_pages_used)::BIGINT AS bal FROM users), ev AS (
   SELECT k, requested_at AS moment, 1 AS kind, request_id AS event_id, pages_needed::BIGINT AS pages, free, bal FROM {REQUESTS} JOIN u ON k = user_id WHERE role = 'user'
-  UNION ALL SELECT k, created_at, 0, id, pages_purchased, free, bal FROM payment_history JOIN u ON k = user_id WHERE role = 'user' AND status = 'success' AND id % 40 = 0), {LEDGER}
+  UNION ALL SELECT k, paid_at, 0, 0, pages, free, bal FROM o JOIN u ON k = payer WHERE role = 'user' AND paid_at IS NOT NULL), {LEDGER}
 SELECT k AS key, event_id, decision FROM f WHERE kind = 1 UNION ALL SELECT k, request_id, 'unlimited' FROM {REQUESTS} JOIN u ON k = user_id WHERE role <> 'user'""")
 def q1(t: Tables) -> DataFrame:
     return ledgers.user_quota(t.ocr_requests.where("file_size > 0 and file_size <= 104857600"), t.users, credited(t))
@@ -371,11 +372,11 @@ def q4(t: Tables) -> DataFrame:
 
 
 @query("q5_consents", """WITH v AS (SELECT request_id, requested_at, sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS f, cookie_id FROM trial_requests), d AS (SELECT f AS device_id, min(cookie_id) AS cookie_id FROM v GROUP BY 1),
-  k AS (SELECT cookie_id, min(device_id) AS device_id FROM d WHERE cookie_id IS NOT NULL GROUP BY 1), m AS (SELECT v.*, coalesce(d.device_id, k.device_id) AS device_id, request_id % 4 <> 0 AS given FROM (SELECT request_id, requested_at, CASE WHEN request_id % 3 = 0 THEN 'other' ELSE f END AS f, cookie_id FROM v WHERE request_id % 2 = 1 OR request_id % 8 = 0) v
+  k AS (SELECT cookie_id, min(device_id) AS device_id FROM d WHERE cookie_id IS NOT NULL GROUP BY 1), m AS (SELECT v.*, coalesce(d.device_id, k.device_id) AS device_id, request_id % 4 <> 0 AS given FROM (SELECT request_id, requested_at, CASE WHEN request_id % 3 = 0 THEN 'other' ELSE f END AS f, cookie_id FROM v) v
   LEFT JOIN d ON d.device_id = v.f LEFT JOIN k ON k.cookie_id = v.cookie_id), l AS (SELECT device_id, arg_max({'g': given, 'at': requested_at, 'c': cookie_id}, (requested_at, request_id)) AS a FROM m WHERE device_id IS NOT NULL GROUP BY 1)
 SELECT d.device_id, a.g AS consent_given, a.at AS consent_at, CASE WHEN a IS NULL THEN d.cookie_id WHEN NOT a.g THEN NULL ELSE coalesce(a.c, d.cookie_id) END AS cookie_id FROM d LEFT JOIN l USING (device_id)""")
 def q5(t: Tables) -> DataFrame:
-    asked = visits(t).where("request_id % 2 = 1 or request_id % 8 = 0")
+    asked = visits(t)
     print_ = F.when(F.col("request_id") % 3 == 0, "other").otherwise(F.col("fingerprint"))
     answers = asked.select(F.col("request_id").alias("answer_id"), print_.alias("fingerprint"), "cookie_id", (F.col("request_id") % 4 != 0).alias("given"), F.col("requested_at").alias("at"))
     return identity.consents(devices(t), answers)
