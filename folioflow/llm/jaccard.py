@@ -55,11 +55,11 @@ def set_key(tokens: np.ndarray) -> int | None:
 
 MEASURED = "doc_id long, text_hash long, n int, cls long, token long, sketch binary, parity array<long>"
 #: Words of 64 bits of a set's parity: how often the tokens of a bin occur, modulo 2. Two sets differ in as many tokens at least as in bits.
-PARITY = 16
+PARITY = 12
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    odd = np.bincount((mixed(tokens + FACTOR) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    odd = np.bincount((mixed(tokens + FACTOR) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -348,17 +348,21 @@ def crossing(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     fits = (F.col("comp") < F.col("comp_b")) & (100 * F.least("high", "high_b") >= percent * F.greatest("low", "low_b")) & close(F.col("low"), F.col("low_b"))
     same = ("size", "size_b", "low", "low_b", "pure", "pure_b")
-    met = counts.join(other, "sig").where(fits).groupBy("comp", "comp_b").agg(F.sum("w").alias("k"), F.sum(F.col("w") * F.col("c") * F.col("c_b")).alias("met"), *[F.first(c).alias(c) for c in same])
+    meetings = written(counts.join(other, "sig").where(fits).select("sig", "comp", "comp_b", "w", "c", "c_b", *same), "meetings")
+    met = meetings.groupBy("comp", "comp_b").agg(F.sum("w").alias("k"), F.sum(F.col("w") * F.col("c") * F.col("c_b")).alias("met"), *[F.first(c).alias(c) for c in same])
     after = F.ceil(F.greatest("low", "low_b") * F.lit(percent) / 100) - 1
     enough = (F.col("k") + after) * (100 + percent) >= percent * (F.col("low") + F.col("low_b"))
     alone = (F.col("size") == 1) & (F.col("size_b") == 1) & F.col("pure") & F.col("pure_b")
-    kept = written(met.where(enough | ~alone).select("comp", "comp_b", (F.col("size") * F.col("size_b") <= F.col("met")).alias("whole")), "component-pairs")
+    # The smaller component comes first, so that its members meet the other's and not the other way round.
+    swap = F.col("size") > F.col("size_b")
+    first, second = F.when(swap, F.col("comp_b")).otherwise(F.col("comp")), F.when(swap, F.col("comp")).otherwise(F.col("comp_b"))
+    kept = written(met.where(enough | ~alone).select("comp", "comp_b", first.alias("small"), second.alias("large"), (F.col("size") * F.col("size_b") <= F.col("met")).alias("whole")), "component-pairs")
     near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & close(F.col("n"), F.col("m"))
     own, its = classes.select("cls", "n", "comp", *words), classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), *[F.col(w).alias(f"{w}_b") for w in words])
-    all_pairs = kept.where("whole").join(own, "comp").join(its, (kept["comp_b"] == its["comp_b"]) & near).select(F.col("cls").alias("a"), "b")
-    # The others' buckets first, so that only members that meet are paired.
-    part = kept.where("not whole").select("comp", "comp_b")
-    meet = counts.select("sig", "comp").join(part, "comp").join(counts.select("sig", F.col("comp").alias("comp_b")), ["sig", "comp_b"])
-    ours, theirs = rows.select("sig", "cls").join(own, "cls"), rows.select("sig", F.col("cls").alias("b")).join(its, "b")
-    in_buckets = meet.join(ours, ["sig", "comp"]).join(theirs.withColumnsRenamed({"sig": "sig_b", "comp_b": "comp_c"}), (F.col("sig") == F.col("sig_b")) & (F.col("comp_b") == F.col("comp_c")) & near).select(F.col("cls").alias("a"), "b")
+    whole = kept.where("whole").select("small", "large").join(own, F.col("small") == F.col("comp"))
+    all_pairs = whole.join(its, (F.col("large") == F.col("comp_b")) & near).select(F.col("cls").alias("a"), "b")
+    meet = meetings.join(kept.where("not whole").select("comp", "comp_b", "small", "large"), ["comp", "comp_b"]).select("sig", "small", "large")
+    ours, theirs = rows.select("sig", "cls").join(own, "cls"), rows.select(F.col("sig").alias("sig_b"), F.col("cls").alias("b")).join(its, "b")
+    near_members = meet.join(ours, (meet["sig"] == ours["sig"]) & (meet["small"] == ours["comp"])).select(meet["sig"].alias("at_sig"), "large", "cls", "n", *words)
+    in_buckets = near_members.join(theirs, (F.col("at_sig") == F.col("sig_b")) & (F.col("large") == F.col("comp_b")) & near).select(F.col("cls").alias("a"), "b")
     return all_pairs.unionByName(in_buckets).distinct()
