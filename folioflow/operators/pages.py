@@ -140,22 +140,22 @@ def replies(pages: DataFrame) -> DataFrame:
     return docs.select("document_id", joined.alias("plain"), titled.alias("by_page"), F.to_json(F.struct(F.col("document_id"), F.col("total_pages"), F.col("confidence"), listed.alias("pages"))).alias("document"), summary.alias("summary"))
 
 
-def language_profiles(labelled: DataFrame, n: int = 3, most_chars: int = 2000) -> DataFrame:
+def language_profiles(labelled: DataFrame, n: int = 3) -> DataFrame:
     """lang, gram, logp: smoothed log shares of character n-grams in labelled `lang, text`; counted by Spark."""
-    grams = trigrams(labelled.where("lang is not null"), n, most_chars).groupBy("lang", "gram").agg(F.count("*").alias("c"))
+    grams = trigrams(labelled.where("lang is not null"), n).groupBy("lang", "gram").agg(F.count("*").alias("c"))
     totals = grams.groupBy("lang").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"))
     return grams.join(F.broadcast(totals), "lang").select("lang", "gram", F.log((F.col("c") + 1) / (F.col("all") + F.col("kinds"))).alias("logp"), (-F.log(F.col("all") + F.col("kinds"))).alias("floor"))
 
 
-def trigrams(docs: DataFrame, n: int, most_chars: int) -> DataFrame:
-    low = docs.withColumn("_t", F.lower(F.substring("text", 1, most_chars)))
+def trigrams(docs: DataFrame, n: int) -> DataFrame:
+    low = docs.withColumn("_t", F.lower("text"))
     return low.withColumn("gram", F.explode(F.expr(f"transform(sequence(1, greatest(length(_t) - {n - 1}, 1)), i -> substring(_t, i, {n}))"))).drop("_t", "text")
 
 
-def language_shares(docs: DataFrame, profiles: DataFrame, n: int = 3, most_chars: int = 2000, sure: int = 30) -> DataFrame:
+def language_shares(docs: DataFrame, profiles: DataFrame, n: int = 3, sure: int = 30) -> DataFrame:
     """document_id, lang, p of `document_id, text` by the n-grams' summed log shares, as a softmax over languages."""
     langs = profiles.groupBy("lang").agg(F.first("floor").alias("floor"))
-    counted = trigrams(docs.select("document_id", "text"), n, most_chars).groupBy("document_id", "gram").agg(F.count("*").alias("c"))
+    counted = trigrams(docs.select("document_id", "text"), n).groupBy("document_id", "gram").agg(F.count("*").alias("c"))
     sizes = counted.groupBy("document_id").agg(F.sum("c").alias("grams"))
     hits = counted.join(profiles, "gram").groupBy("document_id", "lang").agg(F.sum(F.col("c") * (F.col("logp") - F.col("floor"))).alias("gain"))
     every = sizes.join(F.broadcast(langs)).join(hits, ["document_id", "lang"], "left")  # as many rows a document as languages

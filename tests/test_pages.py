@@ -88,3 +88,14 @@ def test_language_profiles_are_accurate(spark):
     held = docs.where("document_id % 3 = 1 and length(text) >= 50")
     got = pages.detected_languages(held, pages.language_shares(held, profiles)).join(held, "document_id").collect()
     assert sum(r["languages"][0] == r["lang"] for r in got) >= 0.95 * len(got)
+
+
+def test_languages_of_whole_texts(spark):
+    one = "abca bcab cabc " * 200
+    other = one.translate(str.maketrans("abc", "xyz"))
+    labelled = spark.createDataFrame([("aa", one + "ddd"), ("bb", other + "www")], "lang string, text string")
+    profiles = pages.language_profiles(labelled)
+    assert {r["gram"] for r in profiles.collect()} >= {"ddd", "www"}, "profiles are of whole texts"
+    docs = spark.createDataFrame([(1, one + other), (2, one)], "document_id long, text string")
+    got = {r["document_id"]: (sorted(r["languages"]), r["mode"]) for r in pages.detected_languages(docs, pages.language_shares(docs, profiles)).collect()}
+    assert got == {1: (["aa", "bb"], "mixed"), 2: (["aa"], "aa")}
