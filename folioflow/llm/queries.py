@@ -36,8 +36,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return rules.quality_rules(common.documents(spark, sf_dir), trusted)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rules.quality_rules(common.documents(spark, sf_dir), labels.where("quality = 1"), junk=labels.where("quality = 0"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

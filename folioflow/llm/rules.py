@@ -2,12 +2,17 @@
 
 Words and pairs of words are hashed into buckets. Two multinomials over the buckets, one of a trusted target and one
 of the raw corpus, are estimated from all their documents, smoothed; a document's score is the mean over its n-grams
-of log(target / raw), and it is kept when the score reaches `least`. Bucket counts are partial sums in each task; the
-table of log ratios has `buckets` entries, whatever the corpus, and is the only thing that is broadcast.
+of log(target / raw), and it is kept when the score reaches a threshold. Bucket counts are partial sums in each task; the
+table of log ratios has `buckets` entries, whatever the corpus, and is broadcast.
+
+Equal texts count as one text in the multinomials, so copies don't move the ratios: each of n rows of a text weighs 1/n.
+Where junk is named too, the threshold is taken from the scores of all trusted and all junk rows that pass the base
+rules: the middle of the scores at which the share of junk kept and that of trusted rows lost are least in sum. Scores
+are counted by STEP for that. Else, or if no such row of either kind is there, it is `least`.
 
 Defined cases: null text has no words. A text without words has score 0, and fails the base rule of words. Without
 any trusted document every score is 0. Trusted rows are found by doc_id; a repeated doc_id is trusted in each of its
-rows. An empty table gives an empty result. Extra columns are not read.
+rows, and a row named both trusted and junk counts as both. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -17,11 +22,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bind, written
+from .common import WORD, bind, broadcast_if, written
 
 SYMBOLS = "#*$%&|<>"
 #: Rows of the trusted table up to which it is broadcast (one long each).
 BROADCAST_TRUSTED = 1_000_000
+#: Rows of the table of repeated texts up to which it is broadcast (a hash and two longs each).
+BROADCAST_COPIES = 1_000_000
+#: Width of the steps in which scores are counted for the threshold.
+STEP = 0.001
 
 
 def words(text: Column) -> Column:
@@ -79,17 +88,20 @@ def measured(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float) -> list[float]:
-    """log(target share / raw share) of each bucket, from all documents: `buckets` numbers come to the driver."""
+    """log(target share / raw share) of each bucket, from all different texts: `buckets` numbers come to the driver."""
     wanted = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
     wanted = written(wanted, "trusted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_TRUSTED else wanted
-    hashed = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    marked = hashed.join(side, hashed["doc_id"] == side["_trusted"], "left")
-    counts = (
-        marked.select(F.col("_trusted").isNotNull().alias("t"), F.explode(grams(F.col("h"), buckets)).alias("bucket"))
-        .groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("t"), 1)).alias("target"))
+    side = broadcast_if(wanted, wanted.count(), BROADCAST_TRUSTED)
+    key = F.md5(F.col("text").cast("binary"))
+    marked = docs.select("doc_id", "text").join(side, docs["doc_id"] == side["_trusted"], "left").select("text", key.alias("_key"), F.col("_trusted").isNotNull().alias("t"))
+    copies = marked.groupBy("_key").agg(F.count("*").alias("_n"), F.count(F.when(F.col("t"), 1)).alias("_n_t")).where("_key is not null and _n > 1")
+    copies = written(copies.withColumnRenamed("_key", "_copied"), "copies")
+    weighed = marked.join(broadcast_if(copies, copies.count(), BROADCAST_COPIES), F.col("_key") == F.col("_copied"), "left")
+    hashed = weighed.select("t", F.coalesce("_n", F.lit(1)).alias("n"), F.coalesce("_n_t", F.lit(1)).alias("n_t"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    counts = hashed.select("t", "n", "n_t", F.explode(grams(F.col("h"), buckets)).alias("bucket")).groupBy("bucket").agg(
+        F.sum(1 / F.col("n")).alias("raw"), F.coalesce(F.sum(F.when(F.col("t"), 1 / F.col("n_t"))), F.lit(0.0)).alias("target")
     )
-    raw, target = [0] * buckets, [0] * buckets
+    raw, target = [0.0] * buckets, [0.0] * buckets
     for row in counts.collect():  # at most `buckets` rows
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
     if not sum(target):
@@ -99,7 +111,26 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: flo
     return [math.log(share(target, i) / share(raw, i)) for i in range(buckets)]
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, smoothing: float = 1.0, least: float = -0.05) -> DataFrame:
+def threshold(scored: DataFrame, trusted: DataFrame, junk: DataFrame, least: float) -> float:
+    """The score that parts trusted from junk rows best, from all of them that pass the base rules."""
+    named = trusted.select("doc_id", F.lit(True).alias("good")).unionByName(junk.select("doc_id", F.lit(False).alias("good"))).where("doc_id is not null").distinct()
+    steps = scored.where("not base_failed").select("doc_id", F.floor(F.col("llr") / F.lit(STEP)).alias("step")).join(named, "doc_id")
+    counts = steps.groupBy("step").agg(F.count(F.when(F.col("good"), 1)).alias("good"), F.count(F.when(~F.col("good"), 1)).alias("bad"))
+    rows = sorted((r["step"], r["good"], r["bad"]) for r in counts.collect())  # as many rows as steps that occur
+    n_good, n_bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    if not n_good or not n_bad:
+        return least
+    # Cuts before each step that occurs; a cut reaches from the end of the step before it.
+    lost, kept, found = 0, n_bad, []
+    for i, (step, good, bad) in enumerate(rows):
+        found.append((lost / n_good + kept / n_bad, rows[i - 1][0] + 1 if i else step, step))
+        lost, kept = lost + good, kept - bad
+    fewest = min(x[0] for x in found)
+    _, low, high = max((x for x in found if x[0] <= fewest + 1e-12), key=lambda x: x[2] - x[1])
+    return (low + high) / 2 * STEP
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, smoothing: float = 1.0, least: float = -0.05, junk: DataFrame | None = None) -> DataFrame:
     """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
     ratios = log_ratios(docs, trusted, buckets, smoothing)
     table = F.broadcast(docs.sparkSession.createDataFrame([(ratios,)], "ratios array<double>"))  # one row of `buckets` numbers
@@ -107,6 +138,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, sm
     total = F.aggregate(F.col("grams"), F.lit(0.0), lambda acc, b: acc + F.element_at(F.col("ratios"), b + 1))
     scored = joined.withColumn("llr", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "llr", (~failed & (F.col("llr") >= F.lit(least))).alias("kept")
-    )
+    scored = scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "llr")
+    if junk is not None:
+        scored = written(scored, "scored")
+        least = threshold(scored, trusted, junk, least)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(least)))

@@ -169,6 +169,24 @@ def test_rules(spark):
         assert got[i]["kept"] == (not got[i]["base_failed"] and got[i]["llr"] >= -0.05)
 
 
+def test_rules_hold_where_copies_abound(spark):
+    """Scores stay when one text is copied, and the threshold lies between what is labelled, wherever that is."""
+    r = random.Random(12)
+    clean, poor = [f"c{i}" for i in range(60)], [f"j{i}" for i in range(60)]
+    text = lambda share: " ".join(r.choice(poor if r.random() < share else clean) for _ in range(90))
+    rows = [(i, text(0.3 if i % 4 else 0.7), "en", "s", 0) for i in range(200)]
+    labels = [(i, int(i % 4 > 0)) for i in range(0, 200, 3)]
+    named = spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = []
+    for more in (0, 100):
+        docs = frame(spark, rows + [(1000 + i, rows[1][1], "en", "s", 0) for i in range(more)])
+        got = {g["doc_id"]: g for g in rows_of(rules.quality_rules(docs, named.where("quality = 1"), buckets=500, junk=named.where("quality = 0")))}
+        assert all(got[i]["kept"] == (i % 4 > 0) for i, q in labels)
+        kept.append({i: (pytest.approx(got[i]["llr"]), got[i]["kept"]) for i, *_ in rows})
+    assert kept[0] == {i: (got[i]["llr"], got[i]["kept"]) for i, *_ in rows}
+    assert all(got[1000 + i]["kept"] for i in range(100))
+
+
 def token_set(t):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
