@@ -1,11 +1,13 @@
 """Benchmark decontamination: item-sized windows, SimHash, multi-index Hamming blocks, exact verification.
 
 For each benchmark item, windows of the item's number of words slide over every document, one word at a time (a shorter
-document is one window). A window is fingerprinted by the SimHash of its weighted five-word shingles; a shingle's weight
-is log(1 + items / (1 + items that have it)). Fingerprints of 64 bits are cut into 8 blocks: of two within RADIUS bits at
-least one block differs in RADIUS // 8 bits at most, so each item is indexed under every such value of each block, and
-a window looks up its own blocks. This finds every fingerprint within the radius. Candidates are verified by the
-weighted Jaccard similarity of their shingle sets.
+document is one window). A window is fingerprinted by two SimHashes of its five-word shingles, one of weighted and one of
+equal ones; a shingle's weight is log(1 + items / (1 + items that have it)), where items of equal words count as one.
+Fingerprints of 64 bits are cut into 8 blocks: of two within RADIUS bits at least one block differs in RADIUS // 8 bits at
+most, so each item is indexed under every such value of each block, and a window looks up its own blocks. This finds every
+pair that is within the radius in either fingerprint. Candidates are verified by their shingle sets: they match if the
+weighted or the plain Jaccard similarity reaches the least one, as a shingle that no item has weighs more than the items'
+own. The similarity that is given is the weighted one, so it may be below the least one.
 
 Windows that have no shingle of any item have similarity 0 and are not fingerprinted: a task looks up each shingle of
 whole texts in a table of the items' shingles. The table is broadcast for a block of items at a time, of about
@@ -110,8 +112,8 @@ class Items:
                 if at + size <= begin[text + 1]:
                     yield text, size, at - int(begin[text]), h[at : at + 1]
 
-    def windows(self, hashes: np.ndarray, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(size, shingles a window, starts, fingerprints, hashes from the first start on) of windows with a hit."""
+    def windows(self, hashes: np.ndarray, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, shingles a window, starts, both fingerprints, hashes from the first start on) of windows with a hit."""
         at: dict[int, list[int]] = defaultdict(list)
         for place in self.hits(hashes).tolist():
             for size in self.by_shingle[int(hashes[place].view(np.int64))]:
@@ -122,10 +124,10 @@ class Items:
             starts = np.unique(np.concatenate([np.arange(max(0, p - wide + 1), min(p, last) + 1) for p in places]))
             for run in np.split(starts, np.flatnonzero((np.diff(starts) > 1) | (np.arange(1, len(starts)) % SEGMENT == 0)) + 1):
                 part = hashes[run[0] : run[-1] + wide]
-                yield size, wide, run, fingerprints(part, self.weigh(part), wide), part
+                yield size, wide, run, fingerprints(part, self.weigh(part), wide), fingerprints(part, np.ones(len(part)), wide), part
 
 
-SEGMENTS = "row_key string, doc_id long, size int, wide int, start int, prints array<long>, hashes array<long>"
+SEGMENTS = "row_key string, doc_id long, size int, wide int, start int, prints array<long>, plain array<long>, hashes array<long>"
 
 
 def segmenter(items):
@@ -139,27 +141,30 @@ def segmenter(items):
                     words, begin = word_hashes(texts[a:b])
                     hashes, first = shingle_hashes(words, begin)
                     for i, size, start, part in block.short_windows(words, begin):
-                        rows.append((keys[a + i], ids[a + i], size, 1, start, fingerprints(part, block.weigh(part), 1).view(np.int64), part.view(np.int64)))
+                        rows.append((keys[a + i], ids[a + i], size, 1, start, fingerprints(part, block.weigh(part), 1).view(np.int64), fingerprints(part, np.ones(1), 1).view(np.int64), part.view(np.int64)))
                 for i in np.unique(np.searchsorted(first, block.hits(hashes), side="right") - 1).tolist():
-                    for size, wide, run, prints, part in block.windows(hashes[first[i] : first[i + 1]], int(begin[i + 1] - begin[i])):
-                        rows.append((keys[a + i], ids[a + i], size, wide, int(run[0]), prints.view(np.int64), part.view(np.int64)))
+                    for size, wide, run, prints, plain, part in block.windows(hashes[first[i] : first[i + 1]], int(begin[i + 1] - begin[i])):
+                        rows.append((keys[a + i], ids[a + i], size, wide, int(run[0]), prints.view(np.int64), plain.view(np.int64), part.view(np.int64)))
             if rows:
-                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return segment
 
 
 def block_index(items: DataFrame) -> DataFrame:
-    """item_id, size, print, block, value: each item under every value of its blocks within the radius."""
+    """item_id, size, print, plain, kind (0: by weights, 1: plain), block, value: each item under every value of its blocks within the radius."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lambda h, w: int(fingerprints(np.array(h, np.int64).view(np.uint64), np.array(w), len(h)).view(np.int64)[0])
         for batch in batches:
-            found = [int(fingerprints(np.array(h, np.int64).view(np.uint64), np.array(w), len(h)).view(np.int64)[0]) for h, w in zip(batch.column("hashes").to_pylist(), batch.column("weights").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("words"), pa.array(found, pa.int64())], names=["item_id", "size", "print"])
+            hashes, weights = batch.column("hashes").to_pylist(), batch.column("weights").to_pylist()
+            found = [[one(h, w) for h, w in zip(hashes, weights, strict=True)], [one(h, [1.0] * len(h)) for h in hashes]]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("words"), *(pa.array(f, pa.int64()) for f in found)], names=["item_id", "size", "print", "plain"])
 
-    near = F.transform(F.array(*map(F.lit, flips())), lambda x: block_value(F.col("print"), F.col("block")).bitwiseXOR(x))
-    marked = items.mapInArrow(prints, "item_id long, size int, print long").withColumn("block", F.explode(F.array(*map(F.lit, range(BLOCKS)))))
+    own = F.when(F.col("kind") == 0, F.col("print")).otherwise(F.col("plain"))
+    near = F.transform(F.array(*map(F.lit, flips())), lambda x: block_value(own, F.col("block")).bitwiseXOR(x))
+    marked = items.mapInArrow(prints, "item_id long, size int, print long, plain long").withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("block", F.explode(F.array(*map(F.lit, range(BLOCKS)))))
     return marked.withColumn("value", F.explode(near))
 
 
@@ -171,13 +176,14 @@ def verifier(weights, unseen: float, least: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights.value.weights
         for batch in batches:
-            scores = []
+            scores, enough = [], []
             for window, item in zip(batch.column("window").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
                 a, b = set(window), set(item)
                 both = sum(known.get(h, unseen) for h in a & b)
                 scores.append(both / sum(known.get(h, unseen) for h in a | b))
+                enough.append(scores[-1] >= least or len(a & b) >= least * len(a | b))
             table = pa.table([*(batch.column(c) for c in ("row_key", "doc_id", "item_id", "start", "size")), pa.array(scores, pa.float64())], names=["row_key", "doc_id", "item_id", "start", "size", "similarity"])
-            yield from table.filter(pa.array([s >= least for s in scores], pa.bool_())).to_batches()
+            yield from table.filter(pa.array(enough, pa.bool_())).to_batches()
 
     return verify
 
@@ -189,9 +195,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, blo
     texts = docs.where("text is not null").select("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("binary").alias("text"))
     items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).mapInArrow(items_of, "item_id long, words int, hashes array<long>"), "items")
     shingles = items.select("item_id", F.explode(F.array_distinct("hashes")).alias("h"))
-    sums = items.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("shingles")).first()
-    unseen = float(np.log(1 + sums["items"]))
-    weights = written(shingles.groupBy("h").agg(F.log(1 + sums["items"] / (1 + F.count("*").cast("double"))).alias("w")), "weights")
+    sums = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("shingles")).first()
+    different = items.select("words", "hashes").distinct()
+    n_different = different.count()
+    unseen = float(np.log(1 + n_different))
+    counted = different.select(F.explode(F.array_distinct("hashes")).alias("h")).groupBy("h").agg(F.count("*").cast("double").alias("n"))
+    weights = written(counted.select("h", F.log(1 + n_different / (1 + F.col("n"))).alias("w")), "weights")
     n_blocks = max(1, -(-sums["shingles"] // block_shingles))
     found = None
     for block in range(n_blocks):
@@ -202,12 +211,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, blo
         segments = written(texts.mapInArrow(segmenter(table), SEGMENTS), "segments")
         weighed = spark.createDataFrame([(r["item_id"], r["words"], r["hashes"], [table.value.weights[h] for h in r["hashes"]]) for r in rows], "item_id long, words int, hashes array<long>, weights array<double>")
         index = block_index(weighed)
-        one = segments.select("row_key", "doc_id", "size", "wide", F.col("start").alias("_first"), F.col("hashes").alias("part"), F.posexplode("prints").alias("at", "window_print"))
-        blocks = one.select("row_key", "doc_id", "size", "wide", "_first", "part", "at", "window_print", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), block_value(F.col("window_print"), F.lit(i)).alias("value")) for i in range(BLOCKS)])).alias("b"))
-        met = blocks.select("*", "b.block", "b.value").drop("b").join(F.broadcast(index), ["size", "block", "value"])  # at most 8 * 37 rows an item
-        near = met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("window_print"))) <= RADIUS)
-        # A pair that meets in several blocks is taken in the first of them only.
-        first = F.array_min(F.filter(F.array(*map(F.lit, range(BLOCKS))), lambda i: F.bit_count(block_value(F.col("print"), i).bitwiseXOR(block_value(F.col("window_print"), i)).cast("long")) <= RADIUS // BLOCKS))
+        one = segments.select("row_key", "doc_id", "size", "wide", F.col("start").alias("_first"), F.col("hashes").alias("part"), F.posexplode(F.arrays_zip("prints", "plain")).alias("at", "p"))
+        one = one.select("*", F.col("p.prints").alias("window_print"), F.col("p.plain").alias("window_plain")).drop("p")
+        values = [F.struct(F.lit(k).alias("kind"), F.lit(i).alias("block"), block_value(F.col(c), F.lit(i)).alias("value")) for k, c in enumerate(("window_print", "window_plain")) for i in range(BLOCKS)]
+        blocks = one.withColumn("b", F.explode(F.array(*values)))
+        met = blocks.select("*", "b.kind", "b.block", "b.value").drop("b").join(F.broadcast(index), ["size", "kind", "block", "value"])  # at most 2 * 8 * 37 rows an item
+        # A pair that meets in several blocks is taken in the first of them only, and by plain ones only if weights don't find it.
+        by_weights, by_plain = F.col("print").bitwiseXOR(F.col("window_print")), F.col("plain").bitwiseXOR(F.col("window_plain"))
+        near = met.where(F.when(F.col("kind") == 0, F.bit_count(by_weights) <= RADIUS).otherwise((F.bit_count(by_plain) <= RADIUS) & (F.bit_count(by_weights) > RADIUS)))
+        differ = F.when(F.col("kind") == 0, by_weights).otherwise(by_plain)
+        first = F.array_min(F.filter(F.array(*map(F.lit, range(BLOCKS))), lambda i: F.bit_count(block_value(differ, i).cast("long")) <= RADIUS // BLOCKS))
         pairs = near.where(F.col("block") == first).select("row_key", "doc_id", "item_id", "size", (F.col("_first") + F.col("at")).alias("start"), F.slice("part", F.col("at") + 1, F.col("wide")).alias("window"))
         texts_of = weighed.select("item_id", "hashes")
         checked = pairs.join(F.broadcast(texts_of), "item_id").mapInArrow(verifier(table, unseen, least), "row_key string, doc_id long, item_id long, start int, size int, similarity double")

@@ -328,6 +328,18 @@ def test_decontaminate(spark, block):
     assert left == {i for i, *_ in rows} - {i for i, _ in want}
 
 
+@pytest.mark.parametrize(("same", "near", "others"), [(67, 0, 133), (1, 66, 133), (1, 0, 0)])
+def test_decontaminate_by_plain_similarity(spark, same, near, others):
+    """One changed word in 45 leaves 36 of 46 shingles, however many items share the text, and however many there are."""
+    r = random.Random(13)
+    words = sentence(r, 45).split()
+    items = [" ".join(words)] * same + [" ".join([*words[:-1], f"end{i}"]) for i in range(near)] + [sentence(r, 45) for _ in range(others)]
+    rows = [(i, " ".join([*sentence(r, 20).split(), *words[:22], f"changed{i}", *words[23:], *sentence(r, 20).split()]), "en", "s", 0) for i in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(g["doc_id"], g["item_id"]) for g in rows_of(decontaminate.contaminated(frame(spark, rows), bench)) if g["item_id"] < same}
+    assert got == {(i, j) for i in range(12) for j in range(same)}
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(3)
     near = set(decontaminate.flips())
