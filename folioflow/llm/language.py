@@ -4,8 +4,9 @@ A known word scores by its log frequency in each language. An unseen word falls
 the longest down: the first length of which any n-gram is known scores by the mean of those n-grams. A text's
 language is the one of the highest sum.
 
-Frequencies are counted by Spark over at most `train_documents` documents with a language, the first in order of a hash
-of doc_id; the model keeps the `most_words` most frequent words and `most_grams` n-grams, and is broadcast.
+Frequencies are counted by Spark over at most `train_documents` documents of each language, the first in order of a hash
+of doc_id; the model keeps the `most_words` most frequent words and `most_grams` n-grams of each language, with their
+counts in all languages, and is broadcast. It grows with the number of languages, not with the corpus.
 All documents are scored whole.
 
 Defined cases: text that is null or has no letters is `und` with score 0. A null lang is not learned from; without any
@@ -21,15 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, split_of
+from .common import arrow_batches, broadcast_if, split_of, written
 
 LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 4
 #: Unseen words whose scores a task remembers before it starts anew.
 CACHE_WORDS = 200_000
+#: Rows of the table of chosen documents up to which it is broadcast.
+BROADCAST_CHOSEN = 1_000_000
 #: Words that make a posterior as sure as it gets; more of them don't sharpen it.
 SURE = 40
 
@@ -104,14 +107,28 @@ class Model:
         return self.langs[best], float(1 / np.exp((sums - sums[best]) * min(1.0, SURE / total)).sum())
 
 
+def first_of(df: DataFrame, key: list[str], coarse: Column, fine: list[Column], most: Column) -> DataFrame:
+    """The first `most` rows of each key in order of coarse, then fine. Only rows of one coarse value are ever sorted together."""
+    marked = df.withColumn("_at", coarse)
+    up_to = Window.partitionBy(*key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = marked.groupBy(*key, "_at").agg(F.count("*").alias("_n"))
+    begun = sizes.withColumn("_before", F.sum("_n").over(up_to) - F.col("_n")).where(F.col("_before") < most).select(*key, "_at", "_before")
+    placed = marked.join(begun, [*key, "_at"]).withColumn("_place", F.row_number().over(Window.partitionBy(*key, "_at").orderBy(*fine)))
+    return placed.where(F.col("_before") + F.col("_place") <= most).select(*df.columns)
+
+
 def train(docs: DataFrame, train_documents: int, most_words: int, most_grams: int) -> Model:
     usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null").where(split_of(F.col("doc_id"), 3) != 1)
-    chosen = usable.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_documents).select(F.col("doc_id").alias("_id"))
-    sample = usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("lang", "text")
-    counts = sample.mapInArrow(counted, "lang string, n int, piece string, count long").groupBy("lang", "n", "piece").agg(F.sum("count").alias("count")).where("count > 1")
-    words_of, grams_of = counts.where("n = 0"), counts.where("n > 0")
-    top = [x.orderBy(F.desc("count"), "piece", "lang", "n").limit(most).collect() for x, most in ((words_of, most_words), (grams_of, most_grams))]
-    return Model([*top[0], *top[1]])
+    ids = usable.select("doc_id", "lang").where("doc_id is not null").distinct().withColumn("h", F.xxhash64("doc_id"))
+    chosen = written(first_of(ids, ["lang"], F.shiftright("h", 52), [F.col("h"), F.col("doc_id")], F.lit(train_documents)).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "chosen")
+    side = broadcast_if(chosen, chosen.count(), BROADCAST_CHOSEN)
+    sample = usable.join(side, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
+    counts = written(sample.mapInArrow(counted, "lang string, n int, piece string, count long").groupBy("lang", "n", "piece").agg(F.sum("count").alias("count")), "pieces")
+    # The most frequent pieces of each language; of pieces of equal counts the first in order of a hash.
+    ranked = counts.withColumns({"kind": F.when(F.col("n") == 0, 0).otherwise(1), "h": F.xxhash64("n", "piece")})
+    most = F.when(F.col("kind") == 0, most_words).otherwise(most_grams)
+    top = first_of(ranked, ["lang", "kind"], F.struct(-F.col("count"), F.shiftright("h", 54)), [F.col("h"), F.col("piece"), F.col("n")], most)
+    return Model(counts.join(top.select("n", "piece").distinct(), ["n", "piece"]).select("lang", "n", "piece", "count").collect())
 
 
 def identifier(model):

@@ -386,6 +386,22 @@ def test_language_on_held_out_documents(spark):
     assert sum(g["lang_pred"] == g["lang"] for g in got) >= 0.99 * len(got)
 
 
+def test_rare_languages_are_learned(spark):
+    """A big language takes no room from a rare one: neither in the sample nor among the words that are kept."""
+    r = random.Random(14)
+    rare = [sentence(r, 30, "nopqrst").split() for _ in range(2)]
+    held = [i for i in range(1000, 1040) if zlib.crc32(str(i).encode()) % 3 == 1]
+    learned = [i for i in range(1000, 1040) if i not in held]
+    rows = [(i, sentence(r, 30), "big", "s", 0) for i in range(400)]
+    rows += [(learned[0], " ".join(rare[0]), "rare", "s", 0), (learned[1], " ".join(rare[1]), "other", "s", 0)]
+    rows += [(i, " ".join(r.sample(rare[k % 2], 20)), ("rare", "other")[k % 2], "s", 0) for k, i in enumerate(held)]
+    got = {g["doc_id"]: g["lang_pred"] for g in rows_of(language.identify_language(frame(spark, rows), train_documents=20, most_words=40, most_grams=60))}
+    assert all(got[i] == lang for i, _, lang, *_ in rows)
+    model = language.train(frame(spark, [*rows, (learned[2], f"{rows[0][1].split()[0]} " + sentence(r, 30, "uvw"), "third", "s", 0)]), 1000, 10_000, 10_000)
+    both = model.tables[0][rows[0][1].split()[0].lower()]
+    assert len(both) == 4 and both[model.langs.index("third")] > min(both), "a kept word's single occurrence counts"
+
+
 def test_language_falls_back_to_grams():
     rows = [{"lang": "x", "n": 0, "piece": "aba", "count": 9}, {"lang": "y", "n": 0, "piece": "zyz", "count": 9}]
     rows += [{"lang": lang, "n": n, "piece": g, "count": 5} for lang, w in (("x", "aba"), ("y", "zyz")) for n in range(1, 5) for g in language.grams(w, n)]
