@@ -4,7 +4,8 @@ Base detectors find e-mail addresses, IP addresses, card numbers and phone numbe
 lexical patterns: the words around them. Patterns and identifier-like tokens form a graph that Spark scores
 iteratively: a pattern is as good for a kind as the instances in it (weighted by how many different seeds bear it
 out, against all that occurs in it), an instance as good as its patterns. Tokens in high-confidence patterns, of a
-form that fits the kind, are new spans. Base spans always stay.
+form that fits the kind, are new spans. Base spans always stay. A token is a run without white space, or digit groups
+joined by single spaces, brackets or hyphens; where both are found at one place the longer stays.
 
 All instances of all documents take part; counts are sums of rows, pre-aggregated, and the two joins of a round are
 between aggregated tables and the edges, by pattern or instance. Patterns are never collected.
@@ -21,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, written
@@ -35,6 +36,9 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DOTTED = re.compile(r"[0-9][0-9.]*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+GROUP = r"[0-9]++(?![^\W_]|[_@]|[.,:/][0-9A-Za-z])"
+#: Digit groups, of which a single space, a hyphen or a bracket stands between two.
+GROUPS = re.compile(rf"(?<![\w@])(?<![0-9][.,:/+-])\+?\(?{GROUP}(?:(?:[\x20-]|\)[\x20-]?|[\x20-]?\(){GROUP})+")
 EDGES = ".,;:!?()[]{}<>\"'"
 
 
@@ -116,11 +120,11 @@ def patterns(left: str, right: str) -> list[str]:
 
 
 def instances(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Identifier-like tokens: those of the base spans, and others of a form that fits a kind."""
+    """Identifier-like tokens: those of the base spans, and others of a form that fits a kind; place is where the longest one around begins."""
     found, taken = [], sorted((a, b) for _, a, b in spans)
     ends = 0
     tokens = []
-    for m in re.finditer(r"[0-9@]", text) if re.search(r"[0-9]{4}|@", text) else ():
+    for m in re.finditer(r"[0-9@]", text):
         if m.start() < ends:
             continue
         start, ends = m.start(), m.end()
@@ -133,24 +137,35 @@ def instances(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         a = start + token.find(core) if core else start
         if core and (kind := form(core)):
             tokens.append((kind, a, a + len(core)))
+    spaced = []
+    for m in GROUPS.finditer(text):
+        if " " not in m[0]:
+            continue
+        a = m.start() + (m[0][0] == "(" and ")" not in m[0])
+        if kind := form(text[a : m.end()]):
+            spaced.append((kind, a, m.end()))
+    tokens += spaced
     free, i = [], 0
     for kind, a, b in sorted(tokens, key=lambda t: t[1]):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if i == len(taken) or taken[i][0] >= b:
             free.append((kind, a, b))
+    within = {}
+    for _, a, b in spaced:
+        within |= dict.fromkeys(range(a, b), a)
     for (kind, a, b), seed in [*((s, True) for s in spans), *((s, False) for s in free)]:
         for pattern in patterns(text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]):
-            found.append({"kind": kind, "a": a, "b": b, "value": text[a:b], "seed": seed, "pattern": pattern})
+            found.append({"kind": kind, "a": a, "b": b, "value": text[a:b], "seed": seed, "pattern": pattern, "place": within.get(a, a)})
     return found
 
 
-SCAN = "doc_id long, row_key string, base array<struct<kind:string,a:int,b:int>>, found array<struct<kind:string,a:int,b:int,value:string,seed:boolean,pattern:string>>"
+SCAN = "doc_id long, row_key string, base array<struct<kind:string,a:int,b:int>>, found array<struct<kind:string,a:int,b:int,value:string,seed:boolean,pattern:string,place:int>>"
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
-    seen = pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("pattern", pa.string())])
+    seen = pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("pattern", pa.string()), ("place", pa.int32())])
     for batch in batches:
         base, found = [], []
         for text in batch.column("text").to_pylist():
@@ -189,7 +204,11 @@ def find_private(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, supp
     edges = scanned.select("row_key", F.explode("found").alias("f")).select("row_key", "f.*")
     good = score(edges, rounds, prior).where((F.col("score") >= confidence) & (F.col("support") >= support)).select("kind", "pattern")
     # A discovered span: an unseen token in a high-confidence pattern of the kind that its form fits.
-    new = edges.where("not seed").join(good, ["kind", "pattern"], "left_semi").groupBy("row_key").agg(F.collect_set(F.struct("kind", "a", "b")).alias("new"))
+    fit = edges.where("not seed").join(good, ["kind", "pattern"], "left_semi").select("row_key", "place", "kind", "a", "b").distinct()
+    # Where a token lies within digit groups that are found too, they stand for it.
+    longest = fit.withColumn("whole", F.max(F.struct((F.col("b") - F.col("a")).alias("length"), "b")).over(Window.partitionBy("row_key", "place")))
+    inside = (F.col("b") - F.col("a") < F.col("whole.length")) & (F.col("b") <= F.col("whole.b")) & (F.col("a") >= F.col("whole.b") - F.col("whole.length"))
+    new = longest.where(~inside).groupBy("row_key").agg(F.collect_set(F.struct("kind", "a", "b")).alias("new"))
     return scanned.join(new, "row_key", "left").select("doc_id", *digests("base", "new", KINDS))
 
 

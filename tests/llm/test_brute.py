@@ -88,6 +88,21 @@ def test_private_bootstrap(spark):
     assert got[51]["spans"] == "", "the same number elsewhere is not"
 
 
+def test_private_candidates_of_all_forms(spark):
+    """Candidates don't depend on other words of a text, and may be written in groups."""
+    r = random.Random(15)
+    rows = [(i, f"{sentence(r, 5)} my phone: +44 20 7946 {i:04} thanks {sentence(r, 3)}", "en", "s", 0) for i in range(40)]
+    rows += [(100 + i, f"{sentence(r, 5)} card number: 4{i:02}1111111111{private_luhn(f'4{i:02}1111111111')} thanks {sentence(r, 3)}", "en", "s", 0) for i in range(40)]
+    unseen = ["555-123-456", "06-12-34-56-78", "555 123 4567", "(020) 123 4567", "(020) 1234567", "020 123-4567", "411-111-111-111-111", "4111 1111 1111 1112", "4111-1111 1111 1112"]
+    for k, token in enumerate(unseen):
+        kind = "card number" if sum(map(str.isdigit, token)) >= 12 else "my phone"
+        rows.append((1000 + k, f"{sentence(r, 5)} {kind}: {token} thanks {sentence(r, 3)}", "en", "s", 0))
+    got = {g["doc_id"]: g["spans"] for g in rows_of(private_data.find_private(frame(spark, rows)))}
+    for k, token in enumerate(unseen):
+        a = rows[80 + k][1].index(token)
+        assert got[1000 + k] == f"{'card' if sum(map(str.isdigit, token)) >= 12 else 'phone'}:{a}:{a + len(token)}", token
+
+
 def private_luhn(head: str) -> str:
     return next(str(d) for d in range(10) if private_data.luhn(head + str(d)))
 
