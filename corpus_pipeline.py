@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as
 the next one's docs. All but the last return the columns of documents.
 
-Defined cases are those of the operators. Rows that repeat doc_id and text share every decision.
+Defined cases are those of the operators. Rows that repeat doc_id and text share every decision, but for
+the join of near copies, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -25,9 +26,27 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one of least doc_id."""
-    away = common.written(jaccard.join_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(common.broadcast_if(away, away.count(), jaccard.BROADCAST_IDS), docs["doc_id"] == away["_id"], "left_anti")
+    """One document of each component: the one of least doc_id, and of equal doc_ids of least hash; nulls come last. Texts without shingles stay."""
+    name = common.prefix_for(docs.columns)
+    key, place = f"{name}key", f"{name}row"
+    rows = jaccard.join_components(docs, by_row=True)
+    parts = rows.where("component is not null")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    first = parts.groupBy("component").agg(least.alias("first"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    # The row that stays goes by doc_id and hash as well; where it is there several times, one is kept.
+    named = parts.join(first, "component").groupBy("doc_id", "text_hash").agg(F.every(own).alias("stays"), F.count("*").alias("rows"))
+    away = common.written(named.where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "near-copies")
+    n_away = away.count()
+
+    def match(side):
+        return docs["doc_id"].cast("long").eqNullSafe(side["_id"]) & (F.xxhash64(docs["text"]) == side["_hash"])
+
+    repeated = away.where("stays")
+    once = docs.join(common.broadcast_if(away, n_away, jaccard.BROADCAST_IDS), match(away), "left_anti")
+    again = docs.join(common.broadcast_if(repeated, n_away, jaccard.BROADCAST_IDS), match(repeated), "left_semi")
+    one_each = again.groupBy(F.col("doc_id"), F.xxhash64("text").alias(key)).agg(F.min(F.struct(*docs.columns)).alias(place)).select(f"{place}.*")
+    return once.unionByName(one_each)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

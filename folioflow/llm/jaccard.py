@@ -231,8 +231,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join_components(docs: DataFrame, percent: int = 75, frequent: int = 24, most_frequent: int = 1 << 20, hub_rounds: int = 1) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id."""
+def join_components(docs: DataFrame, percent: int = 75, frequent: int = 24, most_frequent: int = 1 << 20, hub_rounds: int = 1, by_row: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id; if by_row, doc_id, text_hash, component (null if there are no shingles)."""
     spark = docs.sparkSession
     arrow_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
@@ -300,6 +300,8 @@ def join_components(docs: DataFrame, percent: int = 75, frequent: int = 24, most
             break
 
     named = standing.join(labels, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "doc_id")
+    if by_row:
+        return members.join(written(named.select("cls", F.col("comp").alias("component")), "components"), "cls", "left").select("doc_id", "text_hash", "component")
     ids = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_class = written(named.join(ids, "comp").select(F.col("cls"), "component_id"), "components")
     found = members.join(of_class, "cls", "left")

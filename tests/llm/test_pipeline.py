@@ -31,3 +31,16 @@ def test_pipeline(spark, tmp_path):
     assert Counter(x["doc_id"] for x in out) == seen["mixing sources to target weights"]
     starts = sorted((x["start"], x["n_tokens"]) for x in out)
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_one_of_each_component_stays(spark):
+    r = random.Random(16)
+    a, b, c, d = [sentence(r, 60) for _ in range(4)]
+    near = lambda t: " ".join([*t.split()[:-1], "edited"])
+    rows = [(None, a), (None, near(a)), (1, b), (1, b), (2, c), (3, d), (3, near(c)), (None, None), (None, "")]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    kept = corpus_pipeline.join_near(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = Counter((x["doc_id"], x["text"]) for x in kept.collect())
+    assert sum(got[None, t] for t in (a, near(a))) == 1
+    assert {k: n for k, n in got.items() if k[1] not in (a, near(a))} == {(1, b): 1, (2, c): 1, (3, d): 1, (None, None): 1, (None, ""): 1}
