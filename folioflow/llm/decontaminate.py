@@ -13,7 +13,8 @@ Windows that have no shingle of any item have similarity 0 and are not fingerpri
 whole texts in a table of the items' shingles. The table is broadcast for a block of items at a time, of about
 `block_shingles` shingles, so its size does not grow with the benchmark.
 
-Defined cases: null or empty texts, of documents or items, match nothing. Items with equal texts all match. A row is
+Defined cases: null or empty texts, of documents or items, match nothing. Items with equal texts all match. An item is known
+by item_id, which may be null, and a hash of its words; matches of items that share a (null) item_id are given as one. A row is
 known by doc_id and a 64-bit hash of its text; rows that repeat both give one match. Empty tables give an empty
 result. Extra columns are not read.
 """
@@ -153,18 +154,18 @@ def segmenter(items):
 
 
 def block_index(items: DataFrame) -> DataFrame:
-    """item_id, size, print, plain, kind (0: by weights, 1: plain), block, value: each item under every value of its blocks within the radius."""
+    """item_key, size, print, plain, kind (0: by weights, 1: plain), block, value: each item under every value of its blocks within the radius."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = lambda h, w: int(fingerprints(np.array(h, np.int64).view(np.uint64), np.array(w), len(h)).view(np.int64)[0])
         for batch in batches:
             hashes, weights = batch.column("hashes").to_pylist(), batch.column("weights").to_pylist()
             found = [[one(h, w) for h, w in zip(hashes, weights, strict=True)], [one(h, [1.0] * len(h)) for h in hashes]]
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("words"), *(pa.array(f, pa.int64()) for f in found)], names=["item_id", "size", "print", "plain"])
+            yield pa.RecordBatch.from_arrays([batch.column("item_key"), batch.column("words"), *(pa.array(f, pa.int64()) for f in found)], names=["item_key", "size", "print", "plain"])
 
     own = F.when(F.col("kind") == 0, F.col("print")).otherwise(F.col("plain"))
     near = F.transform(F.array(*map(F.lit, flips())), lambda x: block_value(own, F.col("block")).bitwiseXOR(x))
-    marked = items.mapInArrow(prints, "item_id long, size int, print long, plain long").withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("block", F.explode(F.array(*map(F.lit, range(BLOCKS)))))
+    marked = items.mapInArrow(prints, "item_key string, size int, print long, plain long").withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("block", F.explode(F.array(*map(F.lit, range(BLOCKS)))))
     return marked.withColumn("value", F.explode(near))
 
 
@@ -210,6 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, blo
         table = spark.sparkContext.broadcast(Items(rows, {r["h"]: r["w"] for r in of.collect()}, unseen))
         segments = written(texts.mapInArrow(segmenter(table), SEGMENTS), "segments")
         weighed = spark.createDataFrame([(r["item_id"], r["words"], r["hashes"], [table.value.weights[h] for h in r["hashes"]]) for r in rows], "item_id long, words int, hashes array<long>, weights array<double>")
+        weighed = weighed.withColumn("item_key", row_key(F.col("item_id"), F.array_join(F.col("hashes").cast("array<string>"), " ")))
         index = block_index(weighed)
         one = segments.select("row_key", "doc_id", "size", "wide", F.col("start").alias("_first"), F.col("hashes").alias("part"), F.posexplode(F.arrays_zip("prints", "plain")).alias("at", "p"))
         one = one.select("*", F.col("p.prints").alias("window_print"), F.col("p.plain").alias("window_plain")).drop("p")
@@ -221,9 +223,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, blo
         near = met.where(F.when(F.col("kind") == 0, F.bit_count(by_weights) <= RADIUS).otherwise((F.bit_count(by_plain) <= RADIUS) & (F.bit_count(by_weights) > RADIUS)))
         differ = F.when(F.col("kind") == 0, by_weights).otherwise(by_plain)
         first = F.array_min(F.filter(F.array(*map(F.lit, range(BLOCKS))), lambda i: F.bit_count(block_value(differ, i).cast("long")) <= RADIUS // BLOCKS))
-        pairs = near.where(F.col("block") == first).select("row_key", "doc_id", "item_id", "size", (F.col("_first") + F.col("at")).alias("start"), F.slice("part", F.col("at") + 1, F.col("wide")).alias("window"))
-        texts_of = weighed.select("item_id", "hashes")
-        checked = pairs.join(F.broadcast(texts_of), "item_id").mapInArrow(verifier(table, unseen, least), "row_key string, doc_id long, item_id long, start int, size int, similarity double")
+        pairs = near.where(F.col("block") == first).select("row_key", "doc_id", "item_key", "size", (F.col("_first") + F.col("at")).alias("start"), F.slice("part", F.col("at") + 1, F.col("wide")).alias("window"))
+        texts_of = weighed.select("item_key", "item_id", "hashes").dropDuplicates(["item_key"])
+        checked = pairs.join(F.broadcast(texts_of), ["item_key"]).mapInArrow(verifier(table, unseen, least), "row_key string, doc_id long, item_id long, start int, size int, similarity double")
         best = checked.groupBy("row_key", "doc_id", "item_id").agg(F.max_by(F.struct("similarity", "start", "size"), F.struct("similarity", -F.col("start"))).alias("m"))
         best = written(best.select("doc_id", "row_key", "item_id", "m.similarity", "m.start", "m.size"), "matches")
         found = best if found is None else found.unionByName(best)

@@ -355,6 +355,15 @@ def test_decontaminate_by_plain_similarity(spark, same, near, others):
     assert got == {(i, j) for i in range(12) for j in range(same)}
 
 
+def test_items_without_id_are_found(spark):
+    r = random.Random(17)
+    items = [(None, sentence(r, 20)), (None, sentence(r, 30)), (1, sentence(r, 20)), (1, sentence(r, 30)), (None, None)]
+    rows = [(i, f"{sentence(r, 20)} {t} {sentence(r, 20)}", "en", "s", 0) for i, (_, t) in enumerate(items[:4])] + [(9, sentence(r, 60), "en", "s", 0)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(g["doc_id"], g["item_id"]) for g in rows_of(decontaminate.contaminated(frame(spark, rows), bench))} == {(0, None), (1, None), (2, 1), (3, 1)}
+    assert [g["doc_id"] for g in rows_of(decontaminate.without_contaminated(frame(spark, rows), bench))] == [9]
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(3)
     near = set(decontaminate.flips())
