@@ -31,6 +31,8 @@ BROADCAST_TRUSTED = 1_000_000
 BROADCAST_COPIES = 1_000_000
 #: Width of the steps in which scores are counted for the threshold.
 STEP = 0.001
+#: Repeated windows of a text up to which places are found by looking each up; beyond, by sorting.
+LOOKED_UP = 16
 
 
 def words(text: Column) -> Column:
@@ -42,51 +44,76 @@ def from_place(values: Column, start: int, fewer: int) -> Column:
     return F.slice(values, F.lit(start), F.greatest(F.size(values) - F.lit(fewer), F.lit(0)))
 
 
-def grams(hashes: Column, buckets: int) -> Column:
-    """Buckets of words and of pairs of neighbouring words."""
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    two = F.zip_with(from_place(hashes, 1, 1), from_place(hashes, 2, 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
+def head(values: Column, fewer: int) -> Column:
+    return from_place(values, 1, fewer)
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words in windows of three that occur twice or more; 64-bit hashes stand for words."""
-    windows = F.zip_with(
-        F.zip_with(from_place(hashes, 1, 2), from_place(hashes, 2, 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        from_place(hashes, 3, 2), lambda ab, c: F.xxhash64(ab["a"], ab["b"], c),
-    )
+def tail(values: Column, after: int) -> Column:
+    return from_place(values, 1 + after, after)
+
+
+def joined_hash(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def with_grams(rows: DataFrame) -> DataFrame:
+    """Adds one and two, the hashes of `words` and of pairs of neighbours: arrays of longs, which stay quick in lambdas."""
+    hashed = rows.withColumn("one", F.transform("words", lambda w: F.xxhash64(w)))
+    return hashed.withColumn("two", F.zip_with(head(F.col("one"), 1), tail(F.col("one"), 1), joined_hash))
+
+
+def bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
+
+
+def repeated_words(windows: Column) -> Column:
+    """Words in windows of three that occur twice or more, from the windows' hashes."""
 
-    def covered(w: Column) -> Column:
-        placed = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def found_twice(w: Column) -> Column:
+        equal = lambda s: F.zip_with(head(s, 1), tail(s, 1), lambda x, y: F.when(x == y, x))
+        return F.array_distinct(F.filter(bind(F.sort_array(w), equal), lambda h: h.isNotNull()))
 
-        def twice(s: Column) -> Column:
-            # Each next to its neighbour in order of hash: both of an equal pair are repeated.
-            pairs = F.zip_with(from_place(s, 1, 1), from_place(s, 2, 1), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
-            starts = F.flatten(F.filter(pairs, lambda p: p.isNotNull()))
-            return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
+    def placed(w: Column) -> Column:
+        # Each next to its neighbour in order of hash: both of an equal pair are repeated.
+        by_hash = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        pairs = bind(by_hash, lambda s: F.zip_with(head(s, 1), tail(s, 1), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))))
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
 
-        return bind(placed, twice)
+    def starts(w: Column, twice: Column) -> Column:
+        looked_up = F.filter(F.transform(w, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull())
+        return F.when(F.size(twice) <= LOOKED_UP, looked_up).otherwise(placed(w))
 
-    return bind(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(0))
+    def covered(s: Column) -> Column:
+        steps = F.zip_with(head(s, 1), tail(s, 1), lambda x, y: F.least(y - x, F.lit(3)))
+        return F.aggregate(steps, F.lit(3), lambda acc, n: acc + n)
 
+    return bind(windows, lambda w: bind(found_twice(w), lambda twice: F.when(F.size(twice) > 0, bind(starts(w, twice), covered)).otherwise(0)))
 
-def measured(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, the base counts, and the n-grams' buckets, of whole texts."""
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts, and the hashes of words and pairs, of whole texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    hashed = docs.select(
-        F.col("doc_id"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"),
-    )
-    return hashed.select(
-        "doc_id", F.size("h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        repeated_words(F.col("h")).cast("long").alias("n_repeat_words"), grams(F.col("h"), buckets).alias("grams"),
+    split = with_grams(docs.select(
+        "doc_id", words(F.col("text")).alias("words"), F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.when(text.contains("\n"), bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0).cast("long").alias("n_dup_lines"),
+    ))
+    windows = F.zip_with(head(F.col("two"), 1), tail(F.col("one"), 2), joined_hash)
+    return split.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "n_symbols", "n_dup_lines", repeated_words(windows).cast("long").alias("n_repeat_words"), F.concat("one", "two").alias("grams"),
     )
 
 
+def scored(docs: DataFrame, ratios: list[float]) -> DataFrame:
+    """doc_id, the base counts, base_failed, and llr: the mean log ratio of a text's words and pairs of words."""
+    table = F.broadcast(docs.sparkSession.createDataFrame([(ratios,)], "ratios array<double>"))  # one row of `buckets` numbers
+    total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.element_at("ratios", bucket(g, len(ratios)) + 1))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    llr = F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)
+    return measured(docs).join(table).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), llr.alias("llr"))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float) -> list[float]:
     """log(target share / raw share) of each bucket, from all different texts: `buckets` numbers come to the driver."""
     wanted = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
@@ -97,10 +124,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: flo
     copies = marked.groupBy("_key").agg(F.count("*").alias("_n"), F.count(F.when(F.col("t"), 1)).alias("_n_t")).where("_key is not null and _n > 1")
     copies = written(copies.withColumnRenamed("_key", "_copied"), "copies")
     weighed = marked.join(broadcast_if(copies, copies.count(), BROADCAST_COPIES), F.col("_key") == F.col("_copied"), "left")
-    hashed = weighed.select("t", F.coalesce("_n", F.lit(1)).alias("n"), F.coalesce("_n_t", F.lit(1)).alias("n_t"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    counts = hashed.select("t", "n", "n_t", F.explode(grams(F.col("h"), buckets)).alias("bucket")).groupBy("bucket").agg(
-        F.sum(1 / F.col("n")).alias("raw"), F.coalesce(F.sum(F.when(F.col("t"), 1 / F.col("n_t"))), F.lit(0.0)).alias("target")
-    )
+    raw, target = 1 / F.coalesce("_n", F.lit(1)), F.when(F.col("t"), 1 / F.coalesce("_n_t", F.lit(1))).otherwise(0.0)
+    split = with_grams(weighed.select(raw.alias("raw"), target.alias("target"), words(F.col("text")).alias("words")))
+    each = split.select("raw", "target", F.explode(F.concat("one", "two")).alias("gram"))
+    counts = each.groupBy(bucket(F.col("gram"), buckets).alias("bucket")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = [0.0] * buckets, [0.0] * buckets
     for row in counts.collect():  # at most `buckets` rows
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
@@ -111,19 +138,19 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: flo
     return [math.log(share(target, i) / share(raw, i)) for i in range(buckets)]
 
 
-def threshold(scored: DataFrame, trusted: DataFrame, junk: DataFrame, least: float) -> float:
+def threshold(rows: DataFrame, trusted: DataFrame, junk: DataFrame, least: float) -> float:
     """The score that parts trusted from junk rows best, from all of them that pass the base rules."""
     named = trusted.select("doc_id", F.lit(True).alias("good")).unionByName(junk.select("doc_id", F.lit(False).alias("good"))).where("doc_id is not null").distinct()
-    steps = scored.where("not base_failed").select("doc_id", F.floor(F.col("llr") / F.lit(STEP)).alias("step")).join(named, "doc_id")
+    steps = rows.where("not base_failed").select("doc_id", F.floor(F.col("llr") / F.lit(STEP)).alias("step")).join(named, "doc_id")
     counts = steps.groupBy("step").agg(F.count(F.when(F.col("good"), 1)).alias("good"), F.count(F.when(~F.col("good"), 1)).alias("bad"))
-    rows = sorted((r["step"], r["good"], r["bad"]) for r in counts.collect())  # as many rows as steps that occur
-    n_good, n_bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    steps_met = sorted((r["step"], r["good"], r["bad"]) for r in counts.collect())  # as many rows as steps that occur
+    n_good, n_bad = sum(r[1] for r in steps_met), sum(r[2] for r in steps_met)
     if not n_good or not n_bad:
         return least
     # Cuts before each step that occurs; a cut reaches from the end of the step before it.
     lost, kept, found = 0, n_bad, []
-    for i, (step, good, bad) in enumerate(rows):
-        found.append((lost / n_good + kept / n_bad, rows[i - 1][0] + 1 if i else step, step))
+    for i, (step, good, bad) in enumerate(steps_met):
+        found.append((lost / n_good + kept / n_bad, steps_met[i - 1][0] + 1 if i else step, step))
         lost, kept = lost + good, kept - bad
     fewest = min(x[0] for x in found)
     _, low, high = max((x for x in found if x[0] <= fewest + 1e-12), key=lambda x: x[2] - x[1])
@@ -132,14 +159,8 @@ def threshold(scored: DataFrame, trusted: DataFrame, junk: DataFrame, least: flo
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, smoothing: float = 1.0, least: float = -0.05, junk: DataFrame | None = None) -> DataFrame:
     """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
-    ratios = log_ratios(docs, trusted, buckets, smoothing)
-    table = F.broadcast(docs.sparkSession.createDataFrame([(ratios,)], "ratios array<double>"))  # one row of `buckets` numbers
-    joined = measured(docs, buckets).join(table)
-    total = F.aggregate(F.col("grams"), F.lit(0.0), lambda acc, b: acc + F.element_at(F.col("ratios"), b + 1))
-    scored = joined.withColumn("llr", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "llr")
+    found = scored(docs, log_ratios(docs, trusted, buckets, smoothing))
     if junk is not None:
-        scored = written(scored, "scored")
-        least = threshold(scored, trusted, junk, least)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(least)))
+        found = written(found, "scored")
+        least = threshold(found, trusted, junk, least)
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(least)))
