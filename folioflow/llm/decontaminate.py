@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, written
+from .common import arrow_batches, broadcast_if, tidy, written
 from .secrets import row_key
 from .shingles import FACTOR, WIDTH, chunks, mixed, shingle_hashes, word_hashes
 
@@ -39,6 +39,8 @@ BLOCKS, BITS = 8, 8
 RADIUS = 23
 #: Words that a window may be longer than; documents' windows are cut into segments of so many starts.
 SEGMENT = 512
+#: Rows of the block index up to which it is broadcast (about 60 bytes each); beyond, windows are dealt by block value.
+BROADCAST_INDEX = 500_000
 SIGNS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int8) * 2 - 1
 
 
@@ -65,6 +67,7 @@ def shingles_of(text: bytes | None) -> tuple[np.ndarray, int]:
         return shingle_hashes(words, first)[0], len(words)
 
 
+@tidy
 def items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """item_id, words, hashes (in order of place) of items with words."""
     for batch in batches:
@@ -74,30 +77,38 @@ def items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Items:
-    """A block of items, for use in tasks."""
+    """A block of items as sorted arrays, for use in tasks: shingles, their weights, and the sizes of the items that have them."""
 
     def __init__(self, rows, weight_of: dict[int, float], unseen: float):
-        self.unseen, self.by_shingle = unseen, defaultdict(set)
-        self.weights = {h: weight_of[h] for r in rows for h in r["hashes"]}
-        for r in rows:
-            for h in r["hashes"]:
-                self.by_shingle[h].add(r["words"])
+        self.unseen = unseen
+        hashes = np.concatenate([np.zeros(0, np.int64), *(np.array(r["hashes"], np.int64) for r in rows)])
+        words = np.repeat(np.array([r["words"] for r in rows], np.int64), [len(r["hashes"]) for r in rows])
+        pairs = np.unique(np.stack((hashes, words), axis=1), axis=0)
         # Items of fewer words than a shingle are found as sequences of so many words.
-        self.short = {n: np.sort(np.array([h for r in rows if r["words"] == n for h in r["hashes"]], np.int64)) for n in range(1, WIDTH) if any(r["words"] == n for r in rows)}
-        self.known = np.sort(np.array(list(self.by_shingle), np.int64))
+        self.short = {n: pairs[pairs[:, 1] == n, 0] for n in range(1, WIDTH) if (pairs[:, 1] == n).any()}
+        self.known, self.first = np.unique(pairs[:, 0], return_index=True)
+        self.first = np.append(self.first, len(pairs))
+        self.sizes = pairs[:, 1]
+        self.weights = np.array([weight_of[h] for h in self.known.tolist()])
         self.quick = np.zeros(1 << 16, bool)
         self.quick[self.known.view(np.uint64) & np.uint64(0xFFFF)] = True
 
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands among the known ones, and whether it does."""
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        own = hashes.view(np.int64)
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        return at, self.known[at] == own
+
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        return np.array([self.weights.get(h, self.unseen) for h in hashes.view(np.int64).tolist()])
+        at, known = self.places(hashes)
+        return np.where(known, self.weights[at] if len(self.weights) else 0.0, self.unseen)
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Places of shingles that an item of the block has."""
         maybe = np.flatnonzero(self.quick[hashes & np.uint64(0xFFFF)])
-        if not len(maybe) or not len(self.known):
-            return maybe[:0]
-        own = hashes[maybe].view(np.int64)
-        return maybe[self.known[np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)] == own]
+        return maybe[self.places(hashes[maybe])[1]]
 
     def short_windows(self, words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
         """(text, size, start, hash) of each sequence of words that is a short item."""
@@ -116,8 +127,9 @@ class Items:
     def windows(self, hashes: np.ndarray, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(size, shingles a window, starts, both fingerprints, hashes from the first start on) of windows with a hit."""
         at: dict[int, list[int]] = defaultdict(list)
-        for place in self.hits(hashes).tolist():
-            for size in self.by_shingle[int(hashes[place].view(np.int64))]:
+        hits = self.hits(hashes)
+        for place, k in zip(hits.tolist(), self.places(hashes[hits])[0].tolist(), strict=True):
+            for size in self.sizes[self.first[k] : self.first[k + 1]].tolist():
                 at[size].append(place)
         for size, places in sorted(at.items()):
             wide = len(hashes) if words <= size else max(1, size - WIDTH + 1)
@@ -132,6 +144,7 @@ SEGMENTS = "row_key string, doc_id long, size int, wide int, start int, prints a
 
 
 def segmenter(items):
+    @tidy
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, names = items.value, [x.split()[0] for x in SEGMENTS.split(", ")]
         for batch in batches:
@@ -156,6 +169,7 @@ def segmenter(items):
 def block_index(items: DataFrame) -> DataFrame:
     """item_key, size, print, plain, kind (0: by weights, 1: plain), block, value: each item under every value of its blocks within the radius."""
 
+    @tidy
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = lambda h, w: int(fingerprints(np.array(h, np.int64).view(np.uint64), np.array(w), len(h)).view(np.int64)[0])
         for batch in batches:
@@ -173,29 +187,30 @@ def block_value(print_, block):
     return F.element_at(F.array(*[F.shiftrightunsigned(print_, BITS * i).bitwiseAND((1 << BITS) - 1).cast("int") for i in range(BLOCKS)]), block + 1)
 
 
-def verifier(weights, unseen: float, least: float):
+def verifier(weights, least: float):
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = weights.value.weights
+        block = weights.value
         for batch in batches:
             scores, enough = [], []
-            for window, item in zip(batch.column("window").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-                a, b = set(window), set(item)
-                both = sum(known.get(h, unseen) for h in a & b)
-                scores.append(both / sum(known.get(h, unseen) for h in a | b))
-                enough.append(scores[-1] >= least or len(a & b) >= least * len(a | b))
+            for window, item in zip(batch.column("window"), batch.column("hashes"), strict=True):
+                a, b = (np.unique(x.values.to_numpy()) for x in (window, item))
+                both = np.intersect1d(a, b, assume_unique=True)
+                shared, own, its = (block.weigh(x).sum() for x in (both, a, b))
+                scores.append(float(shared / (own + its - shared)))
+                enough.append(scores[-1] >= least - 1e-12 or len(both) >= least * (len(a) + len(b) - len(both)))
             table = pa.table([*(batch.column(c) for c in ("row_key", "doc_id", "item_id", "start", "size")), pa.array(scores, pa.float64())], names=["row_key", "doc_id", "item_id", "start", "size", "similarity"])
             yield from table.filter(pa.array(enough, pa.bool_())).to_batches()
 
     return verify
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, block_shingles: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, block_shingles: int = 200_000) -> DataFrame:
     """doc_id, row_key, item_id, similarity, start, size: the best window of each document and item that match."""
     spark = docs.sparkSession
     arrow_batches(spark)
     texts = docs.where("text is not null").select("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("binary").alias("text"))
-    items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).mapInArrow(items_of, "item_id long, words int, hashes array<long>"), "items")
-    shingles = items.select("item_id", F.explode(F.array_distinct("hashes")).alias("h"))
+    items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).mapInArrow(items_of, "item_id long, words int, hashes array<long>").distinct(), "items")
     sums = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("shingles")).first()
     different = items.select("words", "hashes").distinct()
     n_different = different.count()
@@ -205,29 +220,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, blo
     n_blocks = max(1, -(-sums["shingles"] // block_shingles))
     found = None
     for block in range(n_blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
+        own = items.where(F.pmod(F.xxhash64("item_id", "hashes"), F.lit(n_blocks)) == block)
         rows = own.collect()  # about block_shingles longs
-        of = shingles.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).select("h").distinct().join(weights, "h")
-        table = spark.sparkContext.broadcast(Items(rows, {r["h"]: r["w"] for r in of.collect()}, unseen))
+        of = own.select(F.explode("hashes").alias("h")).distinct().join(weights, "h")
+        items_in = Items(rows, {r["h"]: r["w"] for r in of.collect()}, unseen)
+        table = spark.sparkContext.broadcast(items_in)
         segments = written(texts.mapInArrow(segmenter(table), SEGMENTS), "segments")
-        weighed = spark.createDataFrame([(r["item_id"], r["words"], r["hashes"], [table.value.weights[h] for h in r["hashes"]]) for r in rows], "item_id long, words int, hashes array<long>, weights array<double>")
+        weighed = spark.createDataFrame([(r["item_id"], r["words"], r["hashes"], items_in.weigh(np.array(r["hashes"], np.int64)).tolist()) for r in rows], "item_id long, words int, hashes array<long>, weights array<double>")
         weighed = weighed.withColumn("item_key", row_key(F.col("item_id"), F.array_join(F.col("hashes").cast("array<string>"), " ")))
         index = block_index(weighed)
-        one = segments.select("row_key", "doc_id", "size", "wide", F.col("start").alias("_first"), F.col("hashes").alias("part"), F.posexplode(F.arrays_zip("prints", "plain")).alias("at", "p"))
-        one = one.select("*", F.col("p.prints").alias("window_print"), F.col("p.plain").alias("window_plain")).drop("p")
+        one = segments.select("row_key", "size", F.col("start").alias("_first"), F.posexplode(F.arrays_zip("prints", "plain")).alias("at", "p"))
+        one = one.select("row_key", "size", "_first", "at", F.col("p.prints").alias("window_print"), F.col("p.plain").alias("window_plain"))
         values = [F.struct(F.lit(k).alias("kind"), F.lit(i).alias("block"), block_value(F.col(c), F.lit(i)).alias("value")) for k, c in enumerate(("window_print", "window_plain")) for i in range(BLOCKS)]
-        blocks = one.withColumn("b", F.explode(F.array(*values)))
-        met = blocks.select("*", "b.kind", "b.block", "b.value").drop("b").join(F.broadcast(index), ["size", "kind", "block", "value"])  # at most 2 * 8 * 37 rows an item
+        blocks = one.withColumn("b", F.explode(F.array(*values))).select("*", "b.kind", "b.block", "b.value").drop("b")
+        # An item has two fingerprints of 8 blocks under 37 values each.
+        met = blocks.join(broadcast_if(index, len(rows) * 2 * BLOCKS * len(flips()), BROADCAST_INDEX), ["size", "kind", "block", "value"])
         # A pair that meets in several blocks is taken in the first of them only, and by plain ones only if weights don't find it.
         by_weights, by_plain = F.col("print").bitwiseXOR(F.col("window_print")), F.col("plain").bitwiseXOR(F.col("window_plain"))
         near = met.where(F.when(F.col("kind") == 0, F.bit_count(by_weights) <= RADIUS).otherwise((F.bit_count(by_plain) <= RADIUS) & (F.bit_count(by_weights) > RADIUS)))
         differ = F.when(F.col("kind") == 0, by_weights).otherwise(by_plain)
         first = F.array_min(F.filter(F.array(*map(F.lit, range(BLOCKS))), lambda i: F.bit_count(block_value(differ, i).cast("long")) <= RADIUS // BLOCKS))
-        pairs = near.where(F.col("block") == first).select("row_key", "doc_id", "item_key", "size", (F.col("_first") + F.col("at")).alias("start"), F.slice("part", F.col("at") + 1, F.col("wide")).alias("window"))
-        texts_of = weighed.select("item_key", "item_id", "hashes").dropDuplicates(["item_key"])
-        checked = pairs.join(F.broadcast(texts_of), ["item_key"]).mapInArrow(verifier(table, unseen, least), "row_key string, doc_id long, item_id long, start int, size int, similarity double")
+        pairs = written(near.where(F.col("block") == first).select("row_key", "size", F.col("_first").alias("start"), "at", "item_key"), "pairs")
+        # Shingles come to the pairs last: a segment's once, and the window is cut from it.
+        windows = pairs.join(segments.select("row_key", "doc_id", "size", "wide", "start", "hashes").withColumnRenamed("hashes", "part"), ["row_key", "size", "start"])
+        windows = windows.select("row_key", "doc_id", "item_key", "size", (F.col("start") + F.col("at")).alias("start"), F.slice("part", F.col("at") + 1, F.col("wide")).alias("window"))
+        texts_of = weighed.select("item_key", "item_id", "hashes").dropDuplicates(["item_key"])  # about block_shingles longs
+        checked = windows.join(F.broadcast(texts_of), ["item_key"]).mapInArrow(verifier(table, least), "row_key string, doc_id long, item_id long, start int, size int, similarity double")
         best = checked.groupBy("row_key", "doc_id", "item_id").agg(F.max_by(F.struct("similarity", "start", "size"), F.struct("similarity", -F.col("start"))).alias("m"))
         best = written(best.select("doc_id", "row_key", "item_id", "m.similarity", "m.start", "m.size"), "matches")
+        table.destroy()
         found = best if found is None else found.unionByName(best)
     return found
 
