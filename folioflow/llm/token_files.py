@@ -17,6 +17,7 @@ repeat a doc_id each get a record, one after another. An empty table gives an em
 
 from __future__ import annotations
 
+import json
 import string
 import struct
 import zlib
@@ -29,30 +30,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, broadcast_if, new_folder
+from .common import arrow_batches, broadcast_if, new_folder, tidy
 
 PUNCTUATION = string.punctuation
 INDEX = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long, file string, offset long, length long"
-#: Entries that a worker's caches of words hold before they start anew.
-CACHE_WORDS = 500_000
-_encoders: dict[str, WordEncoder] = {}
+#: Entries that each of a task's two caches of words holds before it starts anew.
+CACHE_WORDS = 200_000
+#: The tokenizer settings under which words, and letters and the punctuation after them, have ids of their own.
+WORDS_APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class WordEncoder(dict):
     """Word (UTF-8, without ASCII white space) -> its ids as bytes.
 
-    The tokenizer drops white space and merges within words only, so a text's ids are those of its words in turn; it
-    likewise parts a word's letters from punctuation that follows them.
+    With the settings WORDS_APART, the tokenizer drops white space and merges within words only, so a text's ids are those
+    of its words in turn; it likewise parts a word's letters from punctuation that follows them. With others, whole texts
+    are encoded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            settings = json.load(file)
+        self.words_apart = settings["model"]["type"] == "BPE" and all(settings.get(k) == v for k, v in WORDS_APART.items())
         self.merge = self.tokenizer.model.tokenize
         self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.pieces: dict[str, bytes] = {}
 
+    def ids(self, text: bytes) -> bytes:
+        if not self.words_apart:
+            return packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+        return b"".join(map(self.__getitem__, text.split()))
+
     def piece(self, text: str, letters: bool) -> bytes:
         """Ids of lower-case letters, or of punctuation."""
         if (ids := self.pieces.get(text)) is None:
@@ -85,13 +105,6 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def encoder(path: str) -> WordEncoder:
-    """One for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
 def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
@@ -127,8 +140,9 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def writer(folder: str, tokenizer: str, end_id: int, file_bytes: int):
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task = encoder(tokenizer), TaskContext.get()
+        words, task = WordEncoder(tokenizer), TaskContext.get()  # the caches end with the task
         system, root = opened(folder)
         system.create_dir(root, recursive=True)
         part, files, at, total, out, end = task.partitionId(), 0, 0, 0, None, packed([end_id])
@@ -137,7 +151,7 @@ def writer(folder: str, tokenizer: str, end_id: int, file_bytes: int):
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = b"".join(map(words.__getitem__, (text or b"").split())) + end
+                    ids = words.ids(text or b"") + end
                     record = framed(payload_of(ids))
                     if out is None or at and at + len(record) > file_bytes:
                         if out is not None:
@@ -178,6 +192,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
 
 
 def reader(folder: str):
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = opened(folder)
         name, file = None, None
