@@ -4,8 +4,9 @@ Every line is labelled good or bad from its own features and its neighbours'. Ma
 recursions, weighted by line length, make a document's quality; a logistic curve, fitted on the training documents,
 turns it into a score. All lines of a training document bear its label.
 
-The field is fitted on at most `train_documents` labelled documents, the first in order of a hash of doc_id; their line
-features (some bytes a line) come to the driver. All documents are scored whole, in the executors, batch by batch.
+The field is fitted on at most `train_documents` rows of labelled documents, the first in order of a hash of doc_id, and of
+these on as many as have `train_lines` lines together; their line features (108 bytes a line) come to the driver. All
+documents are scored whole, in the executors, batch by batch.
 
 Defined cases: null text counts as empty, and empty text is one empty line. Without labels every score is 0.5. A
 label that is null, or whose doc_id is, is not learned from; of several labels of one doc_id the highest holds.
@@ -20,16 +21,16 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, split_of
+from .common import arrow_batches, split_of, tidy
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "shout", "symbol", "other", "wide")
 #: Features of a line by itself.
 OWN = 18
 #: Bytes of text whose features are made at once; a longer text is taken alone.
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 
 
 def char_classes() -> np.ndarray:
@@ -186,6 +187,7 @@ def quality(field: Field, features: np.ndarray, first: np.ndarray, lengths: np.n
     return np.add.reduceat(marginals * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
 
 
+@tidy
 def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """quality, features and lengths of each training document."""
     for batch in batches:
@@ -200,13 +202,18 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(feats, pa.binary()), pa.array(lens, pa.binary())], names=["quality", "features", "lengths"])
 
 
-def train(docs: DataFrame, labels: DataFrame, train_documents: int) -> Field | None:
-    """The field, from at most train_documents labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, train_documents: int, train_lines: int) -> Field | None:
+    """The field, from at most train_documents rows of labelled documents that are not held out."""
     usable = labels.where("doc_id is not null and quality is not null").where(split_of(F.col("doc_id"), 4) != 2)
     chosen = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_documents)
     chosen = chosen.select(F.col("doc_id").alias("_id"), "quality")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = texts.select("quality", "text").mapInArrow(sampled, "quality int, features binary, lengths binary").collect()
+    lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(1))
+    texts = docs.select("doc_id", "text", lines.alias("_lines")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    order = [F.xxhash64("_id"), F.col("_id"), F.xxhash64("text")]
+    # Rows may repeat a doc_id: bounded once more, then by a running sum over at most train_documents rows.
+    upto = F.sum("_lines").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    few = texts.orderBy(*order).limit(train_documents).withColumn("_upto", upto).where(F.col("_upto") <= train_lines)
+    rows = few.select("quality", F.col("text").cast("binary").alias("text")).mapInArrow(sampled, "quality int, features binary, lengths binary").collect()
     if not rows:
         return None
     lengths = [np.frombuffer(r["lengths"], "<i4") for r in rows]
@@ -218,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, train_documents: int) -> Field | N
 def scorer(field: Field | None, name: str):
     """Replaces the last column, a text's bytes, by its score."""
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.columns[-1].to_pylist()]
@@ -233,15 +241,15 @@ def scorer(field: Field | None, name: str):
     return score
 
 
-def with_score(docs: DataFrame, labels: DataFrame, columns: list[str], name: str = "_score", train_documents: int = 4000) -> DataFrame:
+def with_score(docs: DataFrame, labels: DataFrame, columns: list[str], name: str = "_score", train_documents: int = 4000, train_lines: int = 400_000) -> DataFrame:
     """The named columns of docs, and the score under a name that isn't one of them."""
     arrow_batches(docs.sparkSession)
-    field = train(docs, labels, train_documents)
+    field = train(docs, labels, train_documents, train_lines)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes) + f", `{name}` double"
     return docs.select(*columns, F.col("text").cast("binary").alias(name)).mapInArrow(scorer(field, name), schema)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train_documents: int = 4000, least: float = 0.7) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, train_documents: int = 4000, train_lines: int = 400_000, least: float = 0.7) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted."""
-    scored = with_score(docs, labels, ["doc_id"], train_documents=train_documents)
+    scored = with_score(docs, labels, ["doc_id"], train_documents=train_documents, train_lines=train_lines)
     return scored.select("doc_id", (split_of(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= least).cast("int").alias("predicted"))
