@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +35,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
 
 
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -39,9 +45,32 @@ def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch, so that batches with very long texts stay small."""
+def arrow_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> None:
+    """Bounds the rows and bytes of the session's Arrow batches, so that batches with very long texts stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, and after it freed memory goes back to the system: Python workers are used again by later stages."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
+def removed(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing reads them any more."""
+    for table in tables:
+        place = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def word_count(text: Column) -> Column:

@@ -24,14 +24,15 @@ empty result. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, broadcast_if, written
+from .common import arrow_batches, broadcast_if, removed, tidy, written
 from .shingles import FACTOR, mixed, sets
 
 #: Token sets below this size index single tokens only.
@@ -42,6 +43,8 @@ LOCAL = 2
 BROADCAST_IDS = 500_000
 #: Members that a salted bucket of a frequent pair is expected to have.
 SALTED = 2000
+#: Pairs in buckets, by row, up to which members meet pair by pair at once and not their hubs first.
+FEW_PAIRS = 16
 
 
 def signed(values: np.ndarray) -> pa.Array:
@@ -56,11 +59,24 @@ def set_key(tokens: np.ndarray) -> int | None:
 MEASURED = "doc_id long, text_hash long, n int, cls long, token long, sketch binary, parity array<long>"
 #: Words of 64 bits of a set's parity: how often the tokens of a bin occur, modulo 2. Two sets differ in as many tokens at least as in bits.
 PARITY = 12
+#: The first words of a parity: all of it folded into so many, enough to tell sets of up to WIDE tokens apart. Larger ones have the rest too.
+FOLDED = 4
+WIDE = 256
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
     odd = np.bincount((mixed(tokens + FACTOR) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    parts = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, FOLDED)
+    folded = np.bitwise_xor.reduce(parts)
+    return np.concatenate((folded, parts[1:].ravel() if len(tokens) > WIDE else np.zeros(PARITY - FOLDED, np.int64)))
+
+
+def bits_apart(a: str, b: str, both_wide: Column) -> Column:
+    """Bits in which two parities differ; words of the first are in columns a0, a1 .., of the second in b0, b1 .."""
+    xor = [F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}")) for i in range(PARITY)]
+    first = [reduce(Column.bitwiseXOR, xor[i::FOLDED]) for i in range(FOLDED)]
+    total = lambda parts: reduce(Column.__add__, map(F.bit_count, parts))
+    return F.when(both_wide, total(first + xor[FOLDED:])).otherwise(total(xor[:FOLDED]))
 
 
 def sketch(tokens: np.ndarray) -> bytes | None:
@@ -82,6 +98,7 @@ def may_share(x: bytes | None, y: bytes | None) -> int | None:
     return int(np.minimum(a, b).sum())
 
 
+@tidy
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a document, with size and class; then rows (n: count, token) of tokens that the task met often."""
     held: list[np.ndarray] = []
@@ -146,10 +163,13 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, count: np.ndarray, percent:
 
 
 def indexer(frequent, percent: int):
+    """sig, cls, and a note: the bucket's salt (-1: none), and in the low half twice the size, and 1 if the prefix is of rare tokens only."""
+
+    @tidy
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks, counts = frequent.value
         for batch in batches:
-            found, salts, classes, sizes, pure = [], [], [], [], []
+            found, classes, notes = [], [], []
             for tokens in sets(batch.column("text").to_pylist()):
                 if not len(tokens):
                     continue
@@ -159,18 +179,18 @@ def indexer(frequent, percent: int):
                 with np.errstate(over="ignore"):
                     own, dealt = signatures(tokens, rank, np.where(hit, counts[at] if len(known) else 0, 0), percent)
                 cls = set_key(tokens)
+                n = len(tokens)
+                pure = int((rank < 0).sum()) > n - -(-percent * n // 100)
                 found.append(own)
-                salts.append(np.where(dealt > 1, abs(cls) % dealt, -1))
                 classes.append(np.full(len(own), cls, np.int64))
-                sizes.append(np.full(len(own), len(tokens), np.int32))
-                n = len(tokens)
-                pure.append(np.full(len(own), int((rank < 0).sum()) > n - -(-percent * n // 100)))
+                notes.append((np.where(dealt > 1, abs(cls) % dealt, -1) << 32) + 2 * n + pure)
             if found:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pure))], names=["sig", "salt", "cls", "n", "pure"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(notes))], names=["sig", "cls", "note"])
 
     return index
 
 
+@tidy
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = list(sets(batch.column("text").to_pylist()))
@@ -178,6 +198,7 @@ def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linker(percent: int):
+    @tidy
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -193,6 +214,7 @@ def linker(percent: int):
 def sifter(percent: int):
     """Keeps the pairs whose sketches allow a link."""
 
+    @tidy
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -206,15 +228,19 @@ def sifter(percent: int):
 
 def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, standing: DataFrame, percent: int) -> DataFrame:
     """a, b, linked of the pairs that may link by their sketches, on whole token sets. A set moves once a pair."""
-    left = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x"), "n")
-    right = sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+    dealt = sketches.select("cls", "sketch", "n").repartition("cls")  # once, for both sides
+    left = dealt.select(F.col("cls").alias("a"), F.col("sketch").alias("x"), "n")
+    right = dealt.select(F.col("cls").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
     close = written(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(sifter(percent), "a long, b long"), "sifted")
     named = close.select(F.col("a").alias("cls")).unionByName(close.select(F.col("b").alias("cls"))).distinct()
     chosen = written(standing.join(named, "cls", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "needed")
-    tokens = written(keyed(texts, chosen, "left_semi").select("text").mapInArrow(whole_sets, "cls long, tokens binary"), "tokens").dropDuplicates(["cls"])
-    left, right = tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
+    tokens = written(keyed(texts, chosen, "left_semi").select("text").mapInArrow(whole_sets, "cls long, tokens binary"), "tokens")
+    dealt = tokens.dropDuplicates(["cls"]).repartition("cls")
+    left, right = dealt.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), dealt.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
     both = close.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(linker(percent), "a long, b long, linked boolean"), "verified")
+    found = written(both.mapInArrow(linker(percent), "a long, b long, linked boolean"), "verified")
+    removed(pairs.sparkSession, close, chosen, tokens)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,14 +280,19 @@ def join_components(docs: DataFrame, percent: int = 75, frequent: int = 24, most
     table = spark.sparkContext.broadcast((token[order], rank[order], count[order]))
 
     one_each = keyed(texts, copies, "left_anti")
+    signs = one_each.select("text").mapInArrow(indexer(table, percent), "sig long, cls long, note long")
+    low = F.col("note").bitwiseAND(0xFFFFFFFF)
+    facts = {"salt": F.shiftright("note", 32).cast("int"), "n": F.shiftright(low, 1).cast("int"), "pure": low.bitwiseAND(1) == 1}
     buckets = Window.partitionBy("sig", "salt")
-    signs = one_each.select("text").mapInArrow(indexer(table, percent), "sig long, salt int, cls long, n int, pure boolean")
+    met_in = Window.partitionBy("sig", F.shiftright("note", 32))
     # Buckets of one class are done; salted ones are met again through their hubs and in the last step.
     # Sums of 32 bits of two hashes name a bucket's members, repeated ones as often as they are there.
     halves = [(F.shiftright(h, 32), h.bitwiseAND(0xFFFFFFFF)) for h in (F.xxhash64("cls"), F.xxhash64("cls", F.lit(7)))]
     names = ["f", "g", "f2", "g2"]
     marks = {"size": F.count("*")} | dict(zip(names, [F.sum(x) for pair in halves for x in pair], strict=True))
-    buckets_met = written(signs.withColumns({c: m.over(buckets) for c, m in marks.items()}).where("size > 1 or salt >= 0"), "buckets")
+    buckets_met = signs.withColumns({c: m.over(met_in) for c, m in marks.items()}).where("size > 1 or note >= 0")
+    buckets_met = written(buckets_met.withColumns(facts).drop("note"), "buckets")
+    table.destroy()
     # Of buckets of equal members (tokens of one passage) one is kept, with their number as its weight.
     whole = buckets_met.where("salt = -1")
     kept = whole.groupBy("size", *names).agg(F.min("sig").alias("sig"), (F.count("*") / F.col("size")).cast("long").alias("w")).select("sig", "w")
@@ -272,6 +303,7 @@ def join_components(docs: DataFrame, percent: int = 75, frequent: int = 24, most
     around = buckets.orderBy("alike").rangeBetween(-1, 1)
     hubs = shared.join(degree, "cls").withColumn("alike", alike).withColumn("hub", F.max(F.struct("degree", "cls", "n")).over(around))
     index = written(hubs.select("sig", "salt", "cls", "n", "pure", "w", "degree", "alike", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.degree").alias("hub_degree")), "index")
+    removed(spark, buckets_met, shared)
     salted = index.where("salt >= 0").select("sig").distinct()
     across = Window.partitionBy("sig").orderBy("alike").rangeBetween(-1, 1)
     heads = index.join(salted, "sig", "left_semi").select("sig", "alike", F.col("hub").alias("cls"), F.col("hub_n").alias("n"), F.col("hub_degree").alias("degree")).distinct()
@@ -291,11 +323,12 @@ def join_components(docs: DataFrame, percent: int = 75, frequent: int = 24, most
         work = counts.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
         if not work["rows"]:
             break
-        last = step == hub_rounds or work["pairs"] <= 4 * work["rows"]
+        last = step == hub_rounds or work["pairs"] <= FEW_PAIRS * work["rows"]
         pairs = crossing(open_rows, sketches, percent) if last else to_hubs(open_rows, percent, step)
         pairs = written(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
         done = written(done.unionByName(verified(pairs, sketches, texts, standing, percent)), "done")
         labels = components(done.where("linked"))
+        removed(spark, open_rows, pairs)
         if last:
             break
 
@@ -341,30 +374,41 @@ def crossing(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     one = F.count("*") == 1
     info = classes.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.every("pure").alias("pure"), *[F.when(one, F.first(w)).alias(w) for w in words])
     counts = written(rows.groupBy("sig", "comp", "w").agg(F.count("*").alias("c")).join(info, "comp"), "bucket-counts")
-    other = counts.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("comp", "c", "size", "low", "high", "pure", *words)])
+    # Dealt once: the other side of the join is the same exchange under other names.
+    dealt = counts.repartition("sig")
+    other = dealt.select("sig", *[F.col(c).alias(f"b_{c}") for c in ("comp", "w", "c", "size", "low", "high", "pure")], *[F.col(w).alias(f"b_{w}") for w in words])
 
     def close(n, m):
-        """Bits that differ, against the most tokens in which linked sets of these sizes do."""
-        bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_b"))))
+        """Bits that differ, against the most tokens in which linked sets of these sizes do; true where a parity is not known."""
+        bits = bits_apart("p", "b_p", (n > WIDE) & (m > WIDE))
         return F.coalesce((100 + percent) * bits <= (100 - percent) * (n + m), F.lit(True))
 
-    fits = (F.col("comp") < F.col("comp_b")) & (100 * F.least("high", "high_b") >= percent * F.greatest("low", "low_b")) & close(F.col("low"), F.col("low_b"))
-    same = ("size", "size_b", "low", "low_b", "pure", "pure_b")
-    meetings = written(counts.join(other, "sig").where(fits).select("sig", "comp", "comp_b", "w", "c", "c_b", *same), "meetings")
-    met = meetings.groupBy("comp", "comp_b").agg(F.sum("w").alias("k"), F.sum(F.col("w") * F.col("c") * F.col("c_b")).alias("met"), *[F.first(c).alias(c) for c in same])
-    after = F.ceil(F.greatest("low", "low_b") * F.lit(percent) / 100) - 1
-    enough = (F.col("k") + after) * (100 + percent) >= percent * (F.col("low") + F.col("low_b"))
-    alone = (F.col("size") == 1) & (F.col("size_b") == 1) & F.col("pure") & F.col("pure_b")
+    fits = (F.col("comp") < F.col("b_comp")) & (100 * F.least("high", "b_high") >= percent * F.greatest("low", "b_low")) & close(F.col("low"), F.col("b_low"))
+    same = ("size", "b_size", "low", "b_low", "pure", "b_pure")
+    meetings = written(dealt.join(other, "sig").where(fits).select("sig", "comp", "b_comp", F.least("w", "b_w").alias("w"), "c", "b_c", *same), "meetings")
+    met = meetings.groupBy("comp", "b_comp").agg(F.sum("w").alias("k"), F.sum(F.col("w") * F.col("c") * F.col("b_c")).alias("met"), *[F.first(c).alias(c) for c in same])
+    after = F.ceil(F.greatest("low", "b_low") * F.lit(percent) / 100) - 1
+    enough = (F.col("k") + after) * (100 + percent) >= percent * (F.col("low") + F.col("b_low"))
+    alone = (F.col("size") == 1) & (F.col("b_size") == 1) & F.col("pure") & F.col("b_pure")
     # The smaller component comes first, so that its members meet the other's and not the other way round.
-    swap = F.col("size") > F.col("size_b")
-    first, second = F.when(swap, F.col("comp_b")).otherwise(F.col("comp")), F.when(swap, F.col("comp")).otherwise(F.col("comp_b"))
-    kept = written(met.where(enough | ~alone).select("comp", "comp_b", first.alias("small"), second.alias("large"), (F.col("size") * F.col("size_b") <= F.col("met")).alias("whole")), "component-pairs")
-    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & close(F.col("n"), F.col("m"))
-    own, its = classes.select("cls", "n", "comp", *words), classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), *[F.col(w).alias(f"{w}_b") for w in words])
-    whole = kept.where("whole").select("small", "large").join(own, F.col("small") == F.col("comp"))
-    all_pairs = whole.join(its, (F.col("large") == F.col("comp_b")) & near).select(F.col("cls").alias("a"), "b")
-    meet = meetings.join(kept.where("not whole").select("comp", "comp_b", "small", "large"), ["comp", "comp_b"]).select("sig", "small", "large")
-    ours, theirs = rows.select("sig", "cls").join(own, "cls"), rows.select(F.col("sig").alias("sig_b"), F.col("cls").alias("b")).join(its, "b")
+    swap = F.col("size") > F.col("b_size")
+    first, second = F.when(swap, F.col("b_comp")).otherwise(F.col("comp")), F.when(swap, F.col("comp")).otherwise(F.col("b_comp"))
+    # Two single classes that meet are the pair itself.
+    single = (F.col("size") == 1) & (F.col("b_size") == 1)
+    kept = met.where(enough | ~alone).select("comp", "b_comp", first.alias("small"), second.alias("large"), single.alias("single"), (F.col("size") * F.col("b_size") <= F.col("met")).alias("whole"))
+    kept = written(kept, "component-pairs")
+    near = (100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n")) & close(F.col("n"), F.col("b_n"))
+    own, its = classes.select("cls", "n", "comp", *words), classes.select(F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), *[F.col(w).alias(f"b_{w}") for w in words])
+    only = classes.groupBy("comp").agg(F.first("cls").alias("cls"), F.count("*").alias("classes")).where("classes = 1").select("comp", "cls")
+    singles = kept.where("single").select("comp", "b_comp").join(only, "comp").withColumnRenamed("cls", "a")
+    singles = singles.join(only.select(F.col("comp").alias("b_comp"), F.col("cls").alias("b")), "b_comp").select("a", "b")
+    whole = kept.where("whole and not single").select("small", "large").join(own, F.col("small") == F.col("comp"))
+    all_pairs = whole.join(its, (F.col("large") == F.col("b_comp")) & near).select(F.col("cls").alias("a"), "b")
+    meet = meetings.join(kept.where("not whole and not single").select("comp", "b_comp", "small", "large"), ["comp", "b_comp"]).select("sig", "small", "large")
+    several = kept.where("not whole and not single").select("small", "large")
+    needed = several.select(F.col("small").alias("comp")).unionByName(several.select(F.col("large").alias("comp"))).distinct()
+    members = rows.select("sig", "cls").join(own.join(needed, "comp", "left_semi"), "cls").repartition("sig", "comp")
+    ours, theirs = members, members.select(F.col("sig").alias("sig_b"), F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), *[F.col(w).alias(f"b_{w}") for w in words])
     near_members = meet.join(ours, (meet["sig"] == ours["sig"]) & (meet["small"] == ours["comp"])).select(meet["sig"].alias("at_sig"), "large", "cls", "n", *words)
-    in_buckets = near_members.join(theirs, (F.col("at_sig") == F.col("sig_b")) & (F.col("large") == F.col("comp_b")) & near).select(F.col("cls").alias("a"), "b")
-    return all_pairs.unionByName(in_buckets).distinct()
+    in_buckets = near_members.join(theirs, (F.col("at_sig") == F.col("sig_b")) & (F.col("large") == F.col("b_comp")) & near).select(F.col("cls").alias("a"), "b")
+    return singles.unionByName(all_pairs).unionByName(in_buckets).distinct()

@@ -12,31 +12,43 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-#: Distinct words whose hashes a worker remembers before it starts anew.
-CACHE_WORDS = 300_000
 #: Bytes of text worked on at once; a longer text is taken alone.
-CHUNK = 2 << 20
+CHUNK = 512 << 10
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 4096
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIXER = np.uint64(0xBF58476D1CE4E5B9)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_words = WordHashes()
+BLANK = np.zeros(256, bool)
+BLANK[list(b" \t\n\x0b\x0c\r")] = True
+#: Masks of a word's first 0 to 8 bytes.
+MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' words, and where each text's begin (one more than texts)."""
-    split = [t.lower().split() if t else [] for t in texts]
-    first = np.concatenate(([0], np.cumsum([len(x) for x in split], dtype=np.int64)))
-    flat = np.fromiter((_words[w] for x in split for w in x), np.uint64, int(first[-1]))
-    return flat, first
+    """Hashes of all texts' words, and where each text's begin (one more than texts).
+
+    Eight bytes of all words at a time are mixed in, so words of up to eight bytes never share a hash.
+    """
+    joined = b"\n".join(t or b"" for t in texts).lower()
+    raw = np.frombuffer(joined + bytes(8), np.uint8)
+    blank = BLANK[raw]
+    blank[-8:] = True
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edges = np.concatenate(([0], edges))
+    begin, left = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(joined) + 1, "<u8", raw, strides=(1,))
+    found = left.astype(np.uint64) * FACTOR
+    for w in np.flatnonzero(left >= LONG_WORD):
+        found[w] = xxhash.xxh64_intdigest(joined[begin[w] : begin[w] + left[w]])
+    words = np.flatnonzero(left < LONG_WORD)
+    at, left = begin[words], left[words]
+    while len(words):
+        found[words] = mixed(found[words] ^ (eight[at] & MASKS[np.minimum(left, 8)]) * FACTOR)
+        more = left > 8
+        words, at, left = words[more], at[more] + 8, left[more] - 8
+    starts = np.cumsum([0, *[len(t or b"") + 1 for t in texts]])
+    return found, np.searchsorted(begin, starts)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -83,4 +95,5 @@ def sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
         with np.errstate(over="ignore"):
             hashes, first = shingle_hashes(*word_hashes(texts[a:b]))
         for i in range(b - a):
-            yield np.unique(hashes[first[i] : first[i + 1]])
+            own = np.sort(hashes[first[i] : first[i + 1]])
+            yield own[np.concatenate((own[:1] == own[:1], own[1:] != own[:-1]))]
