@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, written
+from .common import arrow_batches, tidy, written
 from .secrets import digest, row_key
 
 #: Kinds, in the order in which spans of one start are listed.
@@ -163,6 +163,7 @@ def instances(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
 SCAN = "doc_id long, row_key string, base array<struct<kind:string,a:int,b:int>>, found array<struct<kind:string,a:int,b:int,value:string,seed:boolean,pattern:string,place:int>>"
 
 
+@tidy
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
     seen = pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("pattern", pa.string()), ("place", pa.int32())])

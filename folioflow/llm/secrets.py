@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, broadcast_if, written
+from .common import arrow_batches, broadcast_if, tidy, written
 
 try:
     from re import _parser as tree
@@ -147,6 +147,7 @@ def finder(rules: tuple[Rule, ...], base: int):
     order = {r.kind: i for i, r in enumerate(rules)}
     always = {r.kind for r in rules if not trigram_query(r.regex)}
 
+    @tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(base + 2)]

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -172,8 +173,9 @@ def test_rules(spark):
         assert {k: got[i][k] for k in want} == want
         assert got[i]["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
     # The ratio: buckets as Spark hashes them, all else by hand.
-    hashed = frame(spark, rows).select("doc_id", rules.grams(rules.F.transform(rules.words(rules.F.col("text")), lambda x: rules.F.xxhash64(x)), 50).alias("g"))
+    hashed = rules.measured(frame(spark, rows)).select("doc_id", rules.F.transform("grams", lambda g: rules.bucket(g, 50)).alias("g"))
     grams = {x["doc_id"]: x["g"] for x in hashed.collect()}
+    assert all(len(grams[i]) == max(0, 2 * len(WORD.findall(t)) - 1) for i, t, *_ in rows)
     raw, target = Counter(), Counter()
     for i, g in grams.items():
         raw.update(g)
@@ -422,12 +424,62 @@ def test_rare_languages_are_learned(spark):
     got = {g["doc_id"]: g["lang_pred"] for g in rows_of(language.identify_language(frame(spark, rows), train_documents=20, most_words=40, most_grams=60))}
     assert all(got[i] == lang for i, _, lang, *_ in rows)
     model = language.train(frame(spark, [*rows, (learned[2], f"{rows[0][1].split()[0]} " + sentence(r, 30, "uvw"), "third", "s", 0)]), 1000, 10_000, 10_000)
-    both = model.tables[0][rows[0][1].split()[0].lower()]
+    both = model.word_logs[np.searchsorted(model.known, language.Words([rows[0][1].split()[0]]).hashes[0])]
     assert len(both) == 4 and both[model.langs.index("third")] > min(both), "a kept word's single occurrence counts"
 
 
+def test_language_scores_by_brute_force(spark):
+    """Words first, then the longest known n-grams, summed over all words; in plain Python, from the same documents."""
+    r = random.Random(21)
+    letters = {"x": "abcdé", "y": "cdefg", "z": "असमीि"}
+    rows = [(i, "; ".join(sentence(r, r.randint(1, 12), letters[lang]).replace(" ", r.choice([" ", ", ", "1"])) for _ in range(3)), lang, "s", 0) for i in range(120) for lang in [r.choice("xyz")]]
+    rows += [(500, "… 12", "x", "s", 0), (501, None, "y", "s", 0), (502, "ी ी", None, "s", 0), (503, "ABC aBć Def", None, "s", 0)]
+    learned = [(t, lang) for i, t, lang, *_ in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1 and t]
+
+    def split(text):
+        words, run = [], ""
+        for c in (text or "").lower() + "\n":
+            if unicodedata.category(c)[0] in "LM":
+                run += c
+            elif run:
+                words += [run] if any(unicodedata.category(x)[0] == "L" for x in run) else []
+                run = ""
+        return words
+
+    langs = sorted({lang for _, lang in learned})
+    counts = [defaultdict(Counter) for _ in range(5)]
+    for text, lang in learned:
+        for w in split(text):
+            counts[0][w][lang] += 1
+            for n in range(1, 5):
+                for g in language.grams(w, n):
+                    counts[n][g][lang] += 1
+    sums = [{lang: sum(c[lang] for c in t.values()) for lang in langs} for t in counts]
+    log = lambda n, piece: [math.log((counts[n][piece][x] + 0.5) / (sums[n][x] + 0.5 * len(counts[n]))) for x in langs]
+
+    def score(w):
+        if w in counts[0]:
+            return log(0, w)
+        for n in range(min(4, len(w) + 2), 0, -1):
+            if hits := [log(n, g) for g in language.grams(w, n) if g in counts[n]]:
+                return [sum(x) / len(hits) for x in zip(*hits)]
+        return [0.0] * len(langs)
+
+    got = {g["doc_id"]: g for g in rows_of(language.identify_language(frame(spark, rows)))}
+    for i, text, *_ in rows:
+        words = split(text)
+        if not words:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        total = [sum(x) for x in zip(*map(score, words))]
+        best = max(range(len(langs)), key=lambda k: total[k])
+        assert got[i]["lang_pred"] == langs[best]
+        assert got[i]["score"] == pytest.approx(1 / sum(math.exp((x - total[best]) * min(1, 40 / len(words))) for x in total))
+
+
 def test_language_falls_back_to_grams():
     rows = [{"lang": "x", "n": 0, "piece": "aba", "count": 9}, {"lang": "y", "n": 0, "piece": "zyz", "count": 9}]
     rows += [{"lang": lang, "n": n, "piece": g, "count": 5} for lang, w in (("x", "aba"), ("y", "zyz")) for n in range(1, 5) for g in language.grams(w, n)]
     model = language.Model(rows)
-    assert model.language("aba aba")[0] == "x" and model.language("zyzyz")[0] == "y" and model.language("123 ...") == ("und", 0.0)
+    got = model.languages(["aba aba", "zyzyz", "123 ...", None], {})
+    assert [g[0] for g in got] == ["x", "y", "und", "und"] and got[2] == got[3] == ("und", 0.0)
