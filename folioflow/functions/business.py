@@ -17,6 +17,11 @@ def zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at both ends, of whatever kind."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def at_least_zero(c: Column) -> Column:
     return F.greatest(F.lit(0), c)
 

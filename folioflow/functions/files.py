@@ -16,6 +16,7 @@ MB = 1024 * 1024
 #: Largest upload by channel, in bytes.
 UPLOAD_LIMITS = {"user": 100 * MB, "trial": 10 * MB, "enterprise": 50 * MB}
 COMPRESS_ABOVE, ENGINE_LIMIT = 45 * MB, 50 * MB
+#: What an engine's error says when a file is too large.
 TOO_LARGE_ERRORS = ("413", "Payload Too Large", "Request size limit")
 RIFF, WEBP = "52494646", "57454250"
 
@@ -80,14 +81,18 @@ def engine(role: Column, active: Column) -> Column:
     return F.when(role.isNull(), "docai").when(role.isin("super_user", "admin"), "mistral").when(F.coalesce(active, F.lit(False)), "mistral").otherwise("docai")
 
 
-def size_route(size: Column, compressed: Column, error: Column) -> Column:
-    """struct(route, reason): compress large files, fall back if still too large or refused as such, else an error."""
+def size_route(engine: Column, size: Column, compressed: Column, error: Column) -> Column:
+    """struct(route, reason): of files for mistral, compress large ones, fall back if still too large or refused as such, else an error.
+
+    Files for another engine go to docai whatever their size.
+    """
     refused = F.lit(False)
     for text in TOO_LARGE_ERRORS:
         refused = refused | F.coalesce(F.contains(error, F.lit(text)), F.lit(False))
     left = F.when(size > COMPRESS_ABOVE, F.coalesce(compressed, size)).otherwise(size)
-    route = F.when(left > ENGINE_LIMIT, "docai").when(refused, "docai").when(error.isNotNull(), "error").when(size > COMPRESS_ABOVE, "compress").otherwise("mistral")
-    reason = F.when(left > ENGINE_LIMIT, "size").when(refused, "refused").when(error.isNotNull(), "error")
+    other = engine != "mistral"
+    route = F.when(other, "docai").when(left > ENGINE_LIMIT, "docai").when(refused, "docai").when(error.isNotNull(), "error").when(size > COMPRESS_ABOVE, "compress").otherwise("mistral")
+    reason = F.when(other, None).when(left > ENGINE_LIMIT, "size").when(refused, "refused").when(error.isNotNull(), "error")
     return F.struct(route.alias("route"), reason.alias("reason"))
 
 

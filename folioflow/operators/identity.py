@@ -66,7 +66,7 @@ def code_outcomes(codes: DataFrame, attempts: DataFrame) -> DataFrame:
     tried = attempts.select("email", "at", F.lit(1).alias("kind"), "attempt_id", F.col("code").alias("given"), F.lit(None).cast(issued.schema["code"].dataType).alias("code"))
     upto = Window.partitionBy("email").orderBy("at", "kind", "attempt_id").rowsBetween(Window.unboundedPreceding, 0)
     met = issued.unionByName(tried).withColumn("_code", F.last("code", ignorenulls=True).over(upto)).where("kind = 1")
-    look = F.when(F.col("_code").isNull(), "none").when(F.col("at") > F.col("_code.expires_at"), "expired").when(F.col("given") != F.col("_code.code"), "wrong").otherwise("ok")
+    look = F.when(F.col("_code").isNull(), "none").when(F.col("at") > F.col("_code.expires_at"), "expired").when(b.stripped(F.col("given")) != F.col("_code.code"), "wrong").otherwise("ok")
     of_code = Window.partitionBy("email", "_code").orderBy("at", "attempt_id").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.max(F.col("_look").isin("expired", "ok").cast("int")).over(of_code), F.lit(0)) == 1
     return met.withColumn("_look", look).select("attempt_id", F.when(used, "none").otherwise(F.col("_look")).alias("outcome"))
@@ -132,14 +132,29 @@ def trial_identities(visits: DataFrame, folder: str) -> DataFrame:
 
 
 def consents(devices: DataFrame, answers: DataFrame) -> DataFrame:
-    """answers (answer_id, fingerprint, cookie_id, given, at) matched to devices by fingerprint, then cookie; the latest per device holds."""
+    """devices after the answers (answer_id, fingerprint, cookie_id, given, at), in order of time.
+
+    An answer is its device's by fingerprint, else by the cookie that a device had before all answers. A yes with a
+    cookie sets it, a no clears it.
+    """
+    met = answered(devices, answers).where("device_id is not null")
+    place = F.struct("at", "answer_id")
+    sets = F.col("given") & (F.coalesce("cookie_id", F.lit("")) != "")
+    last = met.groupBy("device_id").agg(
+        F.max_by(F.struct("given", "at"), place).alias("a"), F.max(F.when(~F.col("given"), place)).alias("cleared"), F.max(F.when(sets, place)).alias("set"), F.max_by("cookie_id", F.when(sets, place)).alias("new"),
+    )
+    joined = devices.join(last, "device_id", "left")
+    is_set = F.col("set").isNotNull() & (F.col("cleared").isNull() | (F.col("set") > F.col("cleared")))
+    cookie = F.when(is_set, F.col("new")).when(F.col("cleared").isNull(), F.col("cookie_id"))
+    return joined.select("device_id", F.col("a.given").alias("consent_given"), F.col("a.at").alias("consent_at"), cookie.alias("cookie_id"))
+
+
+def answered(devices: DataFrame, answers: DataFrame) -> DataFrame:
+    """answers with device_id, and reply: 200, or 404 where no device fits."""
     by_print = devices.select(F.col("device_id").alias("fingerprint"), F.col("device_id").alias("_p"))
-    by_cookie = devices.where("cookie_id is not null").groupBy("cookie_id").agg(F.min("device_id").alias("_c"))
+    by_cookie = devices.where("coalesce(cookie_id, '') <> ''").groupBy("cookie_id").agg(F.min("device_id").alias("_c"))
     met = answers.join(by_print, "fingerprint", "left").join(by_cookie, "cookie_id", "left").withColumn("device_id", F.coalesce("_p", "_c"))
-    last = met.where("device_id is not null").groupBy("device_id").agg(F.max_by(F.struct("given", "at", "cookie_id"), F.struct("at", "answer_id")).alias("a"))
-    joined = devices.join(last, "device_id", "left")
-    cookie = F.when(F.col("a").isNull(), F.col("cookie_id")).when(~F.col("a.given"), None).otherwise(F.coalesce("a.cookie_id", "cookie_id"))
-    return joined.select("device_id", F.coalesce("a.given", F.lit(None).cast("boolean")).alias("consent_given"), F.col("a.at").alias("consent_at"), cookie.alias("cookie_id"))
+    return met.drop("_p", "_c").withColumn("reply", F.when(F.col("device_id").isNull(), 404).otherwise(200))
 
 
 def blocked(devices: DataFrame, keys: DataFrame) -> DataFrame:

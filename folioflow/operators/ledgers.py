@@ -113,7 +113,7 @@ def settled(callbacks: DataFrame, payments: DataFrame, users: DataFrame) -> Data
     people = users.select(F.col("id").alias("payer"), F.lit(True).alias("has_user"))
     joined = callbacks.join(bills, "invoice_number", "left").join(people, "payer", "left")
     amount = F.expr("try_cast(reported_amount AS DOUBLE)")
-    word = F.lower(F.trim(F.coalesce("reported_status", F.lit(""))))
+    word = F.lower(b.stripped(F.coalesce("reported_status", F.lit(""))))
     first_look = (
         F.when(F.col("payment_id").isNull(), "not found").when(F.coalesce(F.abs(amount - F.col("payment_amount")) > 0.01, F.lit(False)), "amount mismatch")
         .when(~word.isin(*b.PAID_WORDS), F.when(word == "failed", "failed").otherwise("cancelled")).when(F.col("has_user").isNull(), "no user").otherwise("success")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import files, tables, text
 
 PAGE = ["document_id", "page_number"]
+#: Links that are no images, and image references.
 TABLE_LINK = r"(?<!!)\[([^\]]+)\]\(([^)\s]+)\)"
 IMAGE_LINK = r"!\[([^\]]*)\]\(([^)\s]+)\)"
 RESPONSE = (
@@ -32,14 +33,15 @@ def from_responses(responses: DataFrame) -> DataFrame:
 
 def figures(images: DataFrame, base_url: str = "") -> DataFrame:
     """Figure rows of `document_id, page_number, image_id, image_base64`: bytes, name, url, mime, size_kb."""
-    usable = images.where("coalesce(image_id, '') <> '' and coalesce(image_base64, '') <> ''")
+    place = F.col("place") if "place" in images.columns else F.lit(0)
+    usable = images.withColumn("place", place).where("coalesce(image_id, '') <> '' and coalesce(image_base64, '') <> ''")
     raw = F.when(F.col("image_base64").startswith("data:"), F.expr("substring(image_base64, locate(',', image_base64) + 1)")).otherwise(F.col("image_base64"))
     decoded = usable.withColumn("_raw", raw).withColumn("content", F.try_to_binary("_raw", F.lit("base64"))).where("content is not null")
     mime = files.base64_mime(F.col("_raw"))
     key = F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), F.col("page_number").cast("string"), "image_id"), 256)
     name = F.concat(F.lit("ocr_img_"), F.substring(key, 1, 32), F.lit("."), files.extension_of(mime))
     root = f"{base_url.rstrip('/')}/api/v1/ocr/images/"
-    return decoded.select(*PAGE, "image_id", name.alias("filename"), F.concat(F.lit(root), name).alias("url"), mime.alias("mime"), F.round(F.length("content") / 1024, 1).alias("size_kb"), "content")
+    return decoded.select(*PAGE, "place", "image_id", name.alias("filename"), F.concat(F.lit(root), name).alias("url"), mime.alias("mime"), F.round(F.length("content") / 1024, 1).alias("size_kb"), "content")
 
 
 def links(pages: DataFrame, pattern: str) -> DataFrame:
@@ -63,17 +65,25 @@ def other_spelling(c: Column) -> Column:
     return F.when(c.endswith(".md"), F.regexp_replace(c, r"\.md$", "")).otherwise(F.concat(c, F.lit(".md")))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """PAGE, key, order, with: a key stands where it first occurs, with the value that it has last."""
+    return rows.groupBy(*PAGE, "key").agg(F.min("order").alias("order"), F.max_by("with", "order").alias("with"))
+
+
 def best(matches: DataFrame) -> DataFrame:
     """Of several matches of a link, the one of least rank, then order."""
     return matches.groupBy(*PAGE, "at").agg(F.min_by("with", F.struct("rank", "order")).alias("with"))
 
 
 def with_tables(pages: DataFrame, table_rows: DataFrame) -> DataFrame:
-    """Placeholders such as [tbl-0.md](tbl-0.md) replaced by the repaired table of `PAGE, table_id, content`."""
+    """Placeholders such as [tbl-0.md](tbl-0.md) replaced by the repaired table of `PAGE, table_id, content`.
+
+    Tables of a page stand in order of `place`, or of table_id where there is no such column; the last of equal ids holds.
+    """
     usable = table_rows.where("coalesce(table_id, '') <> '' and coalesce(content, '') <> ''").withColumn("content", tables.repaired(F.col("content")))
-    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("table_id"))
+    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("place" if "place" in table_rows.columns else "table_id"))
     spelled = F.explode(F.array(F.struct(F.col("table_id").alias("key"), F.lit(0).alias("o")), F.struct(other_spelling(F.col("table_id")).alias("key"), F.lit(1).alias("o"))))
-    keys = usable.withColumn("_n", order).withColumn("k", spelled).select(*PAGE, "k.key", (2 * F.col("_n") + F.col("k.o")).alias("order"), F.col("content").alias("with"))
+    keys = in_order(usable.withColumn("_n", order).withColumn("k", spelled).select(*PAGE, "k.key", (2 * F.col("_n") + F.col("k.o")).alias("order"), F.col("content").alias("with")))
     found = links(pages, TABLE_LINK)
     tried = F.array(F.col("label"), F.col("href"), other_spelling(F.col("label")), other_spelling(F.col("href")))
     wanted = found.select(*PAGE, "at", F.posexplode(tried).alias("rank", "key"))
@@ -86,8 +96,8 @@ def with_tables(pages: DataFrame, table_rows: DataFrame) -> DataFrame:
 
 def with_figures(pages: DataFrame, figure_rows: DataFrame) -> DataFrame:
     """Image references replaced by the figures' URLs; an empty label becomes `image`."""
-    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("key"))
-    keys = figure_rows.select(*PAGE, F.col("image_id").alias("key"), "url").withColumn("order", order)
+    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("place", "key"))
+    keys = in_order(figure_rows.select(*PAGE, "place", F.col("image_id").alias("key"), F.col("url").alias("with")).withColumn("order", order)).withColumnRenamed("with", "url")
     found = links(pages, IMAGE_LINK).withColumn("label", F.coalesce(F.nullif("label", F.lit("")), F.lit("image")))
     image = F.concat(F.lit("!["), F.col("label"), F.lit("]("), F.col("url"), F.lit(")"))
     exact = best(found.withColumn("key", F.col("href")).join(keys, [*PAGE, "key"]).select(*PAGE, "at", F.lit(0).alias("rank"), "order", image.alias("with")))
@@ -105,8 +115,8 @@ def finished(pages: DataFrame) -> DataFrame:
 
 def page_pipeline(pages: DataFrame, base_url: str = "") -> DataFrame:
     """The whole chain from from_responses: tables, figures, header and footer, confidence."""
-    table_rows = pages.select(*PAGE, F.explode("tables").alias("t")).select(*PAGE, F.col("t.id").alias("table_id"), "t.content")
-    image_rows = pages.select(*PAGE, F.explode("images").alias("i")).select(*PAGE, F.col("i.id").alias("image_id"), "i.image_base64")
+    table_rows = pages.select(*PAGE, F.posexplode("tables").alias("place", "t")).select(*PAGE, "place", F.col("t.id").alias("table_id"), "t.content")
+    image_rows = pages.select(*PAGE, F.posexplode("images").alias("place", "i")).select(*PAGE, "place", F.col("i.id").alias("image_id"), "i.image_base64")
     return finished(with_figures(with_tables(pages, table_rows), figures(image_rows, base_url)))
 
 

@@ -25,34 +25,38 @@ def contracts(enterprises: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def status_counts() -> list[Column]:
+    return [F.count_if(F.col("payment_status") == s).alias(f"{s}_count") for s in b.ENTERPRISE_STATUS]
+
+
 def billing_summary(c: DataFrame) -> DataFrame:
     """One row over contracts that aren't deleted."""
-    counts = [F.count_if(F.col("payment_status") == s).alias(f"{s}_count") for s in b.ENTERPRISE_STATUS]
     return c.where("not is_deleted").agg(
         F.count("*").alias("total_enterprises"), F.coalesce(F.sum("total_pages"), F.lit(0)).alias("total_pages"), money(F.col("total_cost")).alias("total_cost"),
-        money(F.col("advance_bill")).alias("total_advance"), money(F.col("due_amount")).alias("total_due"), *counts,
+        money(F.col("advance_bill")).alias("total_advance"), money(F.col("due_amount")).alias("total_due"), *status_counts(),
     )
 
 
 def portfolio(admins: DataFrame, c: DataFrame, own_documents: DataFrame) -> DataFrame:
-    """Per admin (`id`): contracts, pages (remaining clamped after the sum), money, own documents; empty admins show 0."""
+    """Per admin (`id`): contracts, pages (remaining clamped after the sum), advances collected and due, counts by status, own documents; empty admins show 0."""
     sums = c.where("not is_deleted").groupBy(F.col("created_by").alias("id")).agg(
         F.count("*").alias("contracts"), F.sum("total_pages").alias("allocated"), F.sum("pages_used").alias("used"),
-        money(F.col("total_cost")).alias("revenue"), money(F.col("advance_bill")).alias("advance"), money(F.col("due_amount")).alias("due"),
+        money(F.col("advance_bill")).alias("revenue_collected"), money(F.col("due_amount")).alias("due"), *status_counts(),
     )
     docs = own_documents.where("not is_deleted").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("documents"))
     joined = admins.select("id").join(sums, "id", "left").join(docs, "id", "left").na.fill(0)
     return joined.withColumn("remaining", b.at_least_zero(F.col("allocated") - F.col("used")))
 
 
-def platform(users: DataFrame, docs: DataFrame, payments: DataFrame, c: DataFrame) -> DataFrame:
-    """One row: joins of frames of one row each."""
+def platform(users: DataFrame, docs: DataFrame, payments: DataFrame, c: DataFrame, devices: DataFrame) -> DataFrame:
+    """One row: joins of frames of one row each. Revenue is what was collected: settled payments, and advances on live contracts."""
     roles = [F.count_if(F.col("role") == r).alias(f"{r}s") for r in ("user", "admin", "super_user")]
-    people = users.agg(*roles, F.count_if(b.zero(F.col("subscription_pages_total")) > b.zero(F.col("subscription_pages_used"))).alias("active_subscriptions"))
+    people = users.agg(F.count("*").alias("total_users"), *roles, F.count_if(b.zero(F.col("subscription_pages_total")) > b.zero(F.col("subscription_pages_used"))).alias("active_subscriptions"))
     live = docs.where("not is_deleted").agg(F.count("*").alias("documents"))
     revenue = payments.where("status = 'success'").agg(money(F.col("payment_amount")).alias("subscription_revenue"))
-    deals = c.where("not is_deleted").agg(F.count("*").alias("enterprises"), money(F.col("total_cost")).alias("enterprise_revenue"), money(F.col("due_amount")).alias("enterprise_due"))
-    return people.crossJoin(live).crossJoin(revenue).crossJoin(deals)
+    deals = c.where("not is_deleted").agg(F.count("*").alias("enterprises"), money(F.col("advance_bill")).alias("enterprise_revenue_collected"), money(F.col("due_amount")).alias("enterprise_due"))
+    trials = devices.agg(F.count("*").alias("free_trial_users"))
+    return people.crossJoin(live).crossJoin(revenue).crossJoin(deals).crossJoin(trials)
 
 
 def user_stats(users: DataFrame, docs: DataFrame) -> DataFrame:
@@ -68,8 +72,10 @@ def user_stats(users: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def page_of(df: DataFrame, order: list[Column], limit: int, offset: int = 0, cap: int = 200) -> DataFrame:
-    """A page of a listing; order must end in a key."""
-    return df.orderBy(*order).offset(offset).limit(min(limit, cap))
+    """A page of a listing; order must end in a key. A limit beyond the listing's cap is refused."""
+    if not 1 <= limit <= cap:
+        raise ValueError(f"limit {limit} is not from 1 to {cap}")
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def page_per_owner(df: DataFrame, owner: str, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -99,14 +105,18 @@ def missing(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return keys.select(key).distinct().join(df, key, "left_anti")
 
 
-def visible(callers: DataFrame, docs: DataFrame) -> DataFrame:
-    """caller_id and document of all that each caller sees: all documents for super users, own live ones for others."""
-    rows = docs.select("id", "user_id", "is_deleted")
+def visible(docs: DataFrame, caller_id: int, role: str) -> DataFrame:
+    """The documents that a caller sees: all for super users, own live ones for others."""
+    return docs if role == "super_user" else docs.where((F.col("user_id") == caller_id) & ~F.col("is_deleted"))
+
+
+def visible_totals(callers: DataFrame, docs: DataFrame) -> DataFrame:
+    """caller_id, documents, id_sum of what each caller sees, of callers that see any; what all super users see is summed once."""
+    totals = [F.count("*").alias("documents"), F.sum("id").alias("id_sum")]
+    own = docs.where("not is_deleted").groupBy(F.col("user_id").alias("caller_id")).agg(*totals)
+    others = callers.where("role <> 'super_user'").select(F.col("id").alias("caller_id")).join(own, "caller_id")
     supers = callers.where("role = 'super_user'").select(F.col("id").alias("caller_id"))
-    others = callers.where("role <> 'super_user'").select(F.col("id").alias("caller_id"))
-    everything = supers.crossJoin(rows)  # what a super user sees is all documents, by definition
-    own = others.join(rows.where("not is_deleted"), F.col("caller_id") == F.col("user_id"))
-    return everything.unionByName(own)
+    return others.unionByName(supers.crossJoin(docs.agg(*totals))).where("documents > 0")  # one row a super user
 
 
 def by_enum(df: DataFrame, column: str, value: str | None, allowed: tuple[str, ...]) -> DataFrame:
@@ -124,10 +134,18 @@ def with_creator(c: DataFrame, users: DataFrame, key: str = "created_by", name:
     return c.join(people, key, "left")
 
 
-def contract_history(callers: DataFrame, c: DataFrame, documents: DataFrame) -> DataFrame:
+def contract_history(c: DataFrame, documents: DataFrame, caller_id: int, role: str) -> DataFrame:
     """Documents of the contracts that a caller owns; deleted contracts only for super users, who own all."""
+    own = c if role == "super_user" else c.where((F.col("created_by") == caller_id) & ~F.col("is_deleted"))
+    return documents.join(own.select(F.col("id").alias("enterprise_id")), "enterprise_id", "left_semi")
+
+
+def contract_totals(callers: DataFrame, c: DataFrame, documents: DataFrame) -> DataFrame:
+    """caller_id, documents, pages of each caller's contract history; what all super users see is summed once."""
+    by_contract = documents.groupBy(F.col("enterprise_id").alias("id")).agg(F.count("*").alias("n"), F.sum("total_pages").alias("p"))
+    met = c.select("id", "created_by", "is_deleted").join(by_contract, "id")
+    totals = [F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.sum("p").alias("pages")]
+    own = met.where("not is_deleted").groupBy(F.col("created_by").alias("caller_id")).agg(*totals)
+    others = callers.where("role <> 'super_user'").select(F.col("id").alias("caller_id")).join(own, "caller_id")
     supers = callers.where("role = 'super_user'").select(F.col("id").alias("caller_id"))
-    owners = callers.where("role <> 'super_user'").select(F.col("id").alias("caller_id"))
-    own = owners.join(c.where("not is_deleted"), F.col("caller_id") == F.col("created_by")).select("caller_id", c["id"].alias("enterprise_id"))
-    every = supers.crossJoin(c.select(F.col("id").alias("enterprise_id")))
-    return documents.join(own.unionByName(every), "enterprise_id")
+    return others.unionByName(supers.crossJoin(met.agg(*totals))).where("documents > 0")  # one row a super user

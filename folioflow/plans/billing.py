@@ -116,20 +116,22 @@ def e1(t: Tables) -> DataFrame:
     return reports.billing_summary(contracts(t))
 
 
-@query("e2_portfolio", f"""WITH {CONTRACTS}, s AS (SELECT created_by AS id, count(*) AS contracts, sum(total_pages)::BIGINT AS allocated, sum(pages_used)::BIGINT AS used, sum(total_cost::DECIMAL(18,2))::DOUBLE AS revenue,
-  sum(advance_bill::DECIMAL(18,2))::DOUBLE AS advance, sum(due_amount::DECIMAL(18,2))::DOUBLE AS due FROM c WHERE NOT is_deleted GROUP BY 1), d AS (SELECT user_id AS id, count(*) AS documents FROM ocr_documents WHERE NOT is_deleted GROUP BY 1)
-SELECT u.id, coalesce(contracts, 0) AS contracts, coalesce(allocated, 0) AS allocated, coalesce(used, 0) AS used, coalesce(revenue, 0) AS revenue, coalesce(advance, 0) AS advance, coalesce(due, 0) AS due,
+@query("e2_portfolio", f"""WITH {CONTRACTS}, s AS (SELECT created_by AS id, count(*) AS contracts, sum(total_pages)::BIGINT AS allocated, sum(pages_used)::BIGINT AS used, sum(advance_bill::DECIMAL(18,2))::DOUBLE AS revenue_collected,
+  sum(due_amount::DECIMAL(18,2))::DOUBLE AS due, count(*) FILTER (payment_status = 'paid') AS paid_count, count(*) FILTER (payment_status = 'partial_paid') AS partial_paid_count, count(*) FILTER (payment_status = 'due') AS due_count FROM c WHERE NOT is_deleted GROUP BY 1), d AS (SELECT user_id AS id, count(*) AS documents FROM ocr_documents WHERE NOT is_deleted GROUP BY 1)
+SELECT u.id, coalesce(contracts, 0) AS contracts, coalesce(allocated, 0) AS allocated, coalesce(used, 0) AS used, coalesce(revenue_collected, 0) AS revenue_collected, coalesce(due, 0) AS due,
+  coalesce(paid_count, 0) AS paid_count, coalesce(partial_paid_count, 0) AS partial_paid_count, coalesce(due_count, 0) AS due_count,
   coalesce(documents, 0) AS documents, greatest(0, coalesce(allocated, 0) - coalesce(used, 0)) AS remaining FROM users u LEFT JOIN s ON s.id = u.id LEFT JOIN d ON d.id = u.id WHERE role <> 'user'""")
 def e2(t: Tables) -> DataFrame:
     return reports.portfolio(t.users.where("role <> 'user'"), contracts(t), t.ocr_documents)
 
 
-@query("e3_e7_e8_platform", f"""WITH {CONTRACTS}, p AS (SELECT count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'admin') AS admins, count(*) FILTER (role = 'super_user') AS super_users,
+@query("e3_e7_e8_platform", f"""WITH {CONTRACTS}, p AS (SELECT count(*) AS total_users, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'admin') AS admins, count(*) FILTER (role = 'super_user') AS super_users,
   count(*) FILTER (subscription_pages_total > subscription_pages_used) AS active_subscriptions FROM users), l AS (SELECT count(*) AS documents FROM ocr_documents WHERE NOT is_deleted),
   r AS (SELECT sum(payment_amount::DECIMAL(18,2))::DOUBLE AS subscription_revenue FROM payment_history WHERE status = 'success'),
-  e AS (SELECT count(*) AS enterprises, sum(total_cost::DECIMAL(18,2))::DOUBLE AS enterprise_revenue, sum(due_amount::DECIMAL(18,2))::DOUBLE AS enterprise_due FROM c WHERE NOT is_deleted) SELECT * FROM p, l, r, e""")
+  e AS (SELECT count(*) AS enterprises, sum(advance_bill::DECIMAL(18,2))::DOUBLE AS enterprise_revenue_collected, sum(due_amount::DECIMAL(18,2))::DOUBLE AS enterprise_due FROM c WHERE NOT is_deleted),
+  f AS (SELECT count(DISTINCT sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown')) AS free_trial_users FROM trial_requests) SELECT * FROM p, l, r, e, f""")
 def e3(t: Tables) -> DataFrame:
-    return reports.platform(t.users, t.ocr_documents, t.payment_history, contracts(t))
+    return reports.platform(t.users, t.ocr_documents, t.payment_history, contracts(t), devices(t))
 
 
 @query("e4_user_stats", """SELECT u.id, coalesce(n, 0) AS documents, coalesce(p, 0) AS pages, latest_file, latest_at, greatest(0, 3 - free_ocr_used) AS free_remaining, greatest(0, subscription_pages_total - subscription_pages_used) AS pages_remaining
@@ -180,7 +182,7 @@ def f1(t: Tables) -> DataFrame:
 
 @query("f2_visibility", """SELECT u.id AS caller_id, count(*) AS documents, sum(d.id)::BIGINT AS id_sum FROM users u JOIN ocr_documents d ON u.role = 'super_user' OR (d.user_id = u.id AND NOT d.is_deleted) GROUP BY 1""")
 def f2(t: Tables) -> DataFrame:
-    return reports.visible(t.users, t.ocr_documents).groupBy("caller_id").agg(F.count("*").alias("documents"), F.sum("id").alias("id_sum"))
+    return reports.visible_totals(t.users, t.ocr_documents)
 
 
 @query("f3_f5_filters", """SELECT 'status' AS filter, count(*) AS n FROM payment_history WHERE status = 'failed' UNION ALL SELECT 'bad status', count(*) FROM payment_history
@@ -209,7 +211,7 @@ def j2(t: Tables) -> DataFrame:
 JOIN enterprise_ocr_documents d ON d.enterprise_id = e.id WHERE u.role <> 'user' GROUP BY 1""")
 def j3(t: Tables) -> DataFrame:
     callers = t.users.where("role <> 'user'")
-    return reports.contract_history(callers, t.enterprises, t.enterprise_ocr_documents).groupBy("caller_id").agg(F.count("*").alias("documents"), F.sum("total_pages").alias("pages"))
+    return reports.contract_totals(callers, t.enterprises, t.enterprise_ocr_documents)
 
 
 NEW = "new AS (SELECT o_orderkey AS id, 'user' || (o_custkey % 400) AS username, 'u' || (o_orderkey % 3000) || '@example.com' AS email FROM orders)"
@@ -251,7 +253,8 @@ def j7(t: Tables) -> DataFrame:
 def w6(t: Tables) -> DataFrame:
     e = t.events.select("event_id", "ts", (F.col("user_id") % 50).cast("string").alias("email"), (F.col("event_id") % 3).cast("string").alias("code"))
     codes = e.where("event_id % 4 = 0").select("email", "code", F.col("ts").alias("issued_at"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("expires_at"))
-    return identity.code_outcomes(codes, e.where("event_id % 4 <> 0").select(F.col("event_id").alias("attempt_id"), "email", "code", F.col("ts").alias("at")))
+    typed = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(" "), "code", F.lit("\t"))).otherwise(F.col("code"))  # white space around a code is not part of it
+    return identity.code_outcomes(codes, e.where("event_id % 4 <> 0").select(F.col("event_id").alias("attempt_id"), "email", typed.alias("code"), F.col("ts").alias("at")))
 
 
 @query("s7_partial_update", f"""WITH {CONTRACTS} SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE start_date END AS start_date, CASE WHEN id % 2 = 0 THEN 7.5 ELSE unit_price END AS unit_price,
@@ -371,10 +374,13 @@ def q4(t: Tables) -> DataFrame:
     return identity.trial_identities(visits(t), t.folder("devices"))
 
 
-@query("q5_consents", """WITH v AS (SELECT request_id, requested_at, sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS f, cookie_id FROM trial_requests), d AS (SELECT f AS device_id, min(cookie_id) AS cookie_id FROM v GROUP BY 1),
+@query("q5_consents", """WITH RECURSIVE v AS (SELECT request_id, requested_at, sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS f, cookie_id FROM trial_requests), d AS (SELECT f AS device_id, min(cookie_id) AS cookie_id FROM v GROUP BY 1),
   k AS (SELECT cookie_id, min(device_id) AS device_id FROM d WHERE cookie_id IS NOT NULL GROUP BY 1), m AS (SELECT v.*, coalesce(d.device_id, k.device_id) AS device_id, request_id % 4 <> 0 AS given FROM (SELECT request_id, requested_at, CASE WHEN request_id % 3 = 0 THEN 'other' ELSE f END AS f, cookie_id FROM v) v
-  LEFT JOIN d ON d.device_id = v.f LEFT JOIN k ON k.cookie_id = v.cookie_id), l AS (SELECT device_id, arg_max({'g': given, 'at': requested_at, 'c': cookie_id}, (requested_at, request_id)) AS a FROM m WHERE device_id IS NOT NULL GROUP BY 1)
-SELECT d.device_id, a.g AS consent_given, a.at AS consent_at, CASE WHEN a IS NULL THEN d.cookie_id WHEN NOT a.g THEN NULL ELSE coalesce(a.c, d.cookie_id) END AS cookie_id FROM d LEFT JOIN l USING (device_id)""")
+  LEFT JOIN d ON d.device_id = v.f LEFT JOIN k ON k.cookie_id = v.cookie_id),
+  o AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY requested_at, request_id) AS n FROM m WHERE device_id IS NOT NULL),
+  s AS (SELECT d.device_id, 0::BIGINT AS n, NULL::BOOLEAN AS g, NULL::TIMESTAMP AS moment, d.cookie_id AS c FROM d
+    UNION ALL SELECT s.device_id, o.n, o.given, o.requested_at, CASE WHEN NOT o.given THEN NULL WHEN coalesce(o.cookie_id, '') <> '' THEN o.cookie_id ELSE s.c END FROM s JOIN o ON o.device_id = s.device_id AND o.n = s.n + 1)
+SELECT device_id, arg_max({'g': g}, n).g AS consent_given, arg_max({'m': moment}, n).m AS consent_at, arg_max({'c': c}, n).c AS cookie_id FROM s GROUP BY device_id""")
 def q5(t: Tables) -> DataFrame:
     asked = visits(t)
     print_ = F.when(F.col("request_id") % 3 == 0, "other").otherwise(F.col("fingerprint"))
@@ -382,6 +388,14 @@ def q5(t: Tables) -> DataFrame:
     return identity.consents(devices(t), answers)
 
 
+@query("q5_replies", """WITH v AS (SELECT request_id, sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS f, cookie_id FROM trial_requests), d AS (SELECT f, min(cookie_id) AS cookie_id FROM v GROUP BY 1)
+SELECT request_id AS answer_id, CASE WHEN request_id % 3 <> 0 OR cookie_id IN (SELECT cookie_id FROM d WHERE cookie_id IS NOT NULL) THEN 200 ELSE 404 END AS reply FROM v""")
+def q5_replies(t: Tables) -> DataFrame:
+    print_ = F.when(F.col("request_id") % 3 == 0, "other").otherwise(F.col("fingerprint"))
+    answers = visits(t).select(F.col("request_id").alias("answer_id"), print_.alias("fingerprint"), "cookie_id")
+    return identity.answered(devices(t), answers).select("answer_id", "reply")
+
+
 @query("q6_blocked", """WITH d AS (SELECT sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS device_id, count(*) AS n, bool_or(request_id % 100 = 0) AS b FROM trial_requests GROUP BY 1) SELECT device_id, n % 5 = 0 OR b AS is_blocked FROM d""")
 def q6(t: Tables) -> DataFrame:
     return identity.blocked(devices(t), visits(t).where("request_id % 100 = 0").select(F.col("fingerprint").alias("device_id"))).select("device_id", "is_blocked")

@@ -69,14 +69,16 @@ def t6(t: Tables) -> DataFrame:
 
 
 @query("t7_size_route", """
-SELECT request_id, CASE WHEN rest > 52428800 THEN 'docai' WHEN error IS NOT NULL AND contains(error, '413') THEN 'docai' WHEN error IS NOT NULL THEN 'error' WHEN size > 47185920 THEN 'compress' ELSE 'mistral' END AS route,
-  CASE WHEN rest > 52428800 THEN 'size' WHEN error IS NOT NULL AND contains(error, '413') THEN 'refused' WHEN error IS NOT NULL THEN 'error' END AS reason
+SELECT request_id, CASE WHEN engine = 'docai' THEN 'docai' WHEN rest > 52428800 THEN 'docai' WHEN error IS NOT NULL AND contains(error, '413') THEN 'docai' WHEN error IS NOT NULL THEN 'error' WHEN size > 47185920 THEN 'compress' ELSE 'mistral' END AS route,
+  CASE WHEN engine = 'docai' THEN NULL WHEN rest > 52428800 THEN 'size' WHEN error IS NOT NULL AND contains(error, '413') THEN 'refused' WHEN error IS NOT NULL THEN 'error' END AS reason
 FROM (SELECT *, CASE WHEN size > 47185920 THEN size * 7 // 10 ELSE size END AS rest FROM (SELECT request_id, (request_id * 7919 % 100000000)::BIGINT AS size,
-  CASE WHEN request_id % 7 = 0 THEN 'HTTP 413' WHEN request_id % 11 = 0 THEN 'timeout' END AS error FROM ocr_requests))""")
+  CASE WHEN request_id % 7 = 0 THEN 'HTTP 413' WHEN request_id % 11 = 0 THEN 'timeout' END AS error,
+  CASE WHEN role IN ('super_user', 'admin') OR subscription_pages_total > subscription_pages_used THEN 'mistral' ELSE 'docai' END AS engine FROM ocr_requests LEFT JOIN users ON id = user_id))""")
 def t7(t: Tables) -> DataFrame:
     size, error = (F.col("request_id") * 7919 % 100000000).cast("long"), F.when(F.col("request_id") % 7 == 0, "HTTP 413").when(F.col("request_id") % 11 == 0, "timeout")
-    rows = t.ocr_requests.select("request_id", size.alias("size"), error.alias("error")).withColumn("compressed", F.expr("size * 7 div 10"))
-    return rows.select("request_id", files.size_route(F.col("size"), F.col("compressed"), F.col("error")).alias("r")).select("request_id", "r.*")
+    rows = t6(t).select("request_id", "engine", size.alias("size"), error.alias("error")).withColumn("compressed", F.expr("size * 7 div 10"))
+    route = files.size_route(F.col("engine"), F.col("size"), F.col("compressed"), F.col("error"))
+    return rows.select("request_id", route.alias("r")).select("request_id", "r.*")
 
 
 @query("t8_stored_name", r"""SELECT id, strftime(created_at, '%Y%m%d_%H%M%S') || '_' || substr(sha256(id::VARCHAR), 1, 8) || '_' || substr(regexp_replace(source, '[^\p{L}\p{N}_-]', '', 'g'), 1, 50) || '.pdf' AS stored

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: The log's columns.
-LOG_COLUMNS = ("serial", "timestamp", "operation", "user", "file", "status", "duration", "message")
+LOG_COLUMNS = ("serial", "date", "time", "level", "user_id", "user_email", "module", "event")
 
 
 def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -30,9 +30,10 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str, low: int, hig
 
 
 def operation_log(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the log: lines whose first field is a number; `-` is null."""
+    """Rows of the log: lines whose first field is a number; `-` is null. Headers, rules, details and tracebacks are left out."""
     lines = spark.read.text(path)
     parts = F.transform(F.split("value", r" \| ", len(LOG_COLUMNS)), lambda x: F.trim(x))
     rows = lines.select(parts.alias("p")).where(F.col("p")[0].rlike("^[0-9]+$") & (F.size("p") == len(LOG_COLUMNS)))
     typed = rows.select(*[F.nullif(F.col("p")[i], F.lit("-")).alias(c) for i, c in enumerate(LOG_COLUMNS)])
-    return typed.withColumns({"serial": F.col("serial").cast("long"), "timestamp": F.try_to_timestamp("timestamp"), "duration": F.expr("try_cast(regexp_replace(duration, 's$', '') AS DOUBLE)")})
+    at = F.expr("try_to_timestamp(concat(date, ' ', time), 'yyyy-MM-dd HH:mm:ss')")
+    return typed.select(F.col("serial").cast("long").alias("serial"), at.alias("at"), "level", F.expr("try_cast(user_id AS BIGINT)").alias("user_id"), "user_email", "module", "event")

@@ -127,10 +127,18 @@ def test_arriving_files(spark, tmp_path):
 
 
 def test_operation_log(spark, tmp_path):
-    lines = ["#  | Timestamp | Operation | User | File | Status | Duration | Message", "-" * 60, "1    | 2024-01-01 10:00:00 | OCR  | 7 | a.pdf | OK | 1.5s | fine", "     Details: more", "2 | 2024-01-01 10:00:05 | OCR | - | - | FAILED | - | bad"]
+    row = lambda *x: " | ".join(f"{v:<{w}}" for v, w in zip(x, (6, 12, 10, 8, 8, 28, 25, 40)))
+    lines = [
+        "=" * 158, f"{'OPERATION LOG':^158}", "=" * 158, row("#", "Date", "Time", "Level", "User ID", "User Email", "Module/Function", "Event"), "-" * 158,
+        row(1, "2024-01-01", "10:00:00", "INFO", 7, "a@x.org", "ocr_service.run", "engine | mistral"), row(2, "2024-01-01", "10:00:05", "ERROR", "-", "-", "ocr_service.run", "it failed because of ..."),
+        f"{'':9}Details: it failed because of all | 1 | that", f"{'':9}Exception: Traceback", "  File 12 | x", "-" * 158,
+    ]
     (tmp_path / "log.txt").write_text("\n".join(lines))
     got = files.operation_log(spark, str(tmp_path / "log.txt")).orderBy("serial").collect()
-    assert [(r["serial"], r["user"], r["status"], r["duration"]) for r in got] == [(1, "7", "OK", 1.5), (2, None, "FAILED", None)]
+    assert [tuple(r) for r in got] == [
+        (1, datetime.datetime(2024, 1, 1, 10), "INFO", 7, "a@x.org", "ocr_service.run", "engine | mistral"),
+        (2, datetime.datetime(2024, 1, 1, 10, 0, 5), "ERROR", None, None, "ocr_service.run", "it failed because of ..."),
+    ]
 
 
 def test_append_documents(spark, tmp_path):
