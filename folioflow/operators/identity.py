@@ -9,25 +9,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import business as b
+from ..sources.shared import new_folder, written
 
 
 def conflicts(new: DataFrame, users: DataFrame) -> DataFrame:
-    """id, conflict (username, email or null) of registrations (id, username, email), against users and earlier rows."""
-    first = lambda c: F.min("id").over(Window.partitionBy(c))
-    earlier = new.withColumns({"_u": first("username") < F.col("id"), "_e": first("email") < F.col("id")})
-    names = users.select("username", F.lit(True).alias("_tu")).distinct()
-    mails = users.select("email", F.lit(True).alias("_te")).distinct()
-    joined = earlier.join(names, "username", "left").join(mails, "email", "left")
-    taken = lambda old, own: F.coalesce(F.col(old), F.lit(False)) | F.col(own)
-    return joined.select("id", F.when(taken("_tu", "_u"), "username").when(taken("_te", "_e"), "email").alias("conflict"))
+    """id, conflict (username, email or null) of registrations (id, username, email), in order of id.
+
+    What a refused registration asked for stays free. In each round, rows that are the first of both their username and
+    their e-mail are taken, and the others of either go; rounds are as many as the longest chain of such ties.
+    """
+    names, mails = users.select("username").distinct(), users.select("email").distinct()
+    left = new.select("id", "username", "email").join(names, "username", "left_anti").join(mails, "email", "left_anti")
+    left = written(left.select("id", "username", "email"), "registrations")
+    taken = left.limit(0)
+    while not left.isEmpty():
+        first = left.groupBy("username").agg(F.min("id").alias("id")).select("id").intersect(left.groupBy("email").agg(F.min("id").alias("id")).select("id"))
+        won = written(left.join(first, "id", "left_semi").select("id", "username", "email"), "taken")
+        taken = taken.unionByName(won)
+        left = written(left.join(won.select("username"), "username", "left_anti").join(won.select("email"), "email", "left_anti").select("id", "username", "email"), "registrations")
+    by_name = names.withColumn("_u", F.lit(None).cast("long")).unionByName(taken.select("username", F.col("id").alias("_u"))).withColumn("_tu", F.lit(True))
+    by_mail = mails.withColumn("_e", F.lit(None).cast("long")).unionByName(taken.select("email", F.col("id").alias("_e"))).withColumn("_te", F.lit(True))
+    joined = new.join(by_name, "username", "left").join(by_mail, "email", "left")
+    before = lambda found, owner: F.col(found) & (F.col(owner).isNull() | (F.col(owner) < F.col("id")))
+    return joined.select("id", F.when(before("_tu", "_u"), "username").when(before("_te", "_e"), "email").alias("conflict"))
 
 
 def linked(logins: DataFrame, users: DataFrame) -> DataFrame:
-    """login_id, action (by id, by email, new), user_id of (login_id, external_id, email, full_name)."""
-    by_id = users.where("google_id is not null").select(F.col("google_id").alias("external_id"), F.col("id").alias("_a"))
-    by_mail = users.select("email", F.col("id").alias("_b"))
-    joined = logins.join(by_id, "external_id", "left").join(by_mail, "email", "left")
-    return joined.select("login_id", F.when(F.col("_a").isNotNull(), "by id").when(F.col("_b").isNotNull(), "by email").otherwise("new").alias("action"), F.coalesce("_a", "_b").alias("user_id"))
+    """login_id, action (by id, by email, new), user_id, opened_by, full_name of logins (login_id, external_id, email, full_name), in order of login_id.
+
+    Users are (id, google_id, email, full_name). An account found by e-mail takes the external id from then on, and the
+    name if it had none; one that is opened has no user_id yet and is known by the login that opened it. Components of
+    external ids and e-mails bound what can meet; the rule runs in order inside each.
+    """
+    kinds = "kind int, n long, external_id string, email string, full_name string"
+    old = users.select(F.lit(0).alias("kind"), F.col("id").cast("long").alias("n"), F.col("google_id").alias("external_id"), "email", "full_name")
+    rows = old.unionByName(logins.select(F.lit(1).alias("kind"), F.col("login_id").cast("long").alias("n"), "external_id", "email", "full_name"))
+    keyed = rows.withColumns({"fingerprint": F.coalesce(F.concat(F.lit("id:"), "external_id"), F.concat(F.lit("mail:"), "email")), "cookie_id": F.col("email")})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, by_id, by_mail = None, {}, {}
+        text = lambda v: v if isinstance(v, str) and v else None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.group != group:
+                    group, by_id, by_mail = r.group, {}, {}
+                external, mail, name = text(r.external_id), text(r.email), text(r.full_name)
+                account, action = by_id.get(external), "by id"
+                if r.kind == 1 and account is None and (account := by_mail.get(mail)) is not None:
+                    action = "by email"
+                    by_id.pop(account["external"], None)
+                    account |= {"external": external, "name": account["name"] or name}
+                    by_id[external] = account
+                elif account is None or r.kind == 0:
+                    action = "new"
+                    account = {"user": int(r.n) if r.kind == 0 else None, "opened": int(r.n) if r.kind == 1 else None, "external": external, "name": name}
+                    by_mail.setdefault(mail, account)
+                    if external:
+                        by_id[external] = account
+                if r.kind == 1:
+                    out.append((int(r.n), action, account["user"], account["opened"], account["name"]))
+            yield pd.DataFrame(out, columns=["login_id", "action", "user_id", "opened_by", "full_name"]).astype({"user_id": "Int64", "opened_by": "Int64"})
+
+    grouped = device_components(keyed, new_folder(users.sparkSession, "accounts"))
+    ordered = grouped.select("group", *[x.split()[0] for x in kinds.split(", ")]).repartition("group").sortWithinPartitions("group", "kind", "n")
+    return ordered.mapInPandas(fold, "login_id long, action string, user_id long, opened_by long, full_name string")
 
 
 def free_names(new: DataFrame, taken: DataFrame) -> DataFrame:

@@ -155,9 +155,12 @@ def item(label: str, value: Column, when: Column | None = None) -> Column:
 
 
 def subscription_invoice(payments: DataFrame) -> DataFrame:
+    """Lines of paid subscriptions, with the currency; tax is part of the amount."""
+    priced = lambda amount: F.concat_ws(" ", "currency", F.round(amount, 2).cast("decimal(18,2)").cast("string"))
+    paid = priced(F.col("payment_amount"))
     rows = F.array(
-        item("pages", F.col("pages_purchased")), item("unit price", F.round(b.unit_price(F.col("payment_amount"), F.col("pages_purchased")), 2).cast("decimal(18,2)")),
-        item("subtotal", F.col("payment_amount").cast("decimal(18,2)")), item("total", F.col("payment_amount").cast("decimal(18,2)")),
+        item("pages", F.col("pages_purchased")), item("unit price", priced(b.unit_price(F.col("payment_amount"), F.col("pages_purchased")))), item("amount", paid),
+        item("subtotal", paid), item("tax", F.lit("Included")), item("total", paid),
     )
     return payments.select("invoice_number", lines(rows)).select("invoice_number", "line", "item.label", "item.value")
 

@@ -138,16 +138,23 @@ def token_confidence(pages: DataFrame, tokens: DataFrame) -> DataFrame:
     return pages.select(*PAGE).distinct().join(means, PAGE, "left").select(*PAGE, F.coalesce("_c", F.lit(99.0)).alias("confidence"))
 
 
-def replies(pages: DataFrame) -> DataFrame:
-    """Output shapes of a document: plain text, page texts under their titles, and JSON with a page list."""
+def replies(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Output shapes of a document: plain text, and as JSON the pages with a summary (by_page) and the document.
+
+    documents has document_id, languages, mode, engine, separator. Of a document of one page, by_page has one page made
+    of the whole text, and the document has no page list.
+    """
     p = F.array_sort(F.collect_list(F.struct("page_number", "text", F.round("confidence", 2).alias("confidence"), F.length("text").alias("character_count"))))
-    docs = pages.groupBy("document_id").agg(p.alias("_p"), F.round(F.avg("confidence"), 2).alias("confidence"), F.count("*").alias("total_pages"))
-    joined = F.array_join(F.transform("_p", lambda x: x["text"]), "\n\n")
-    titled = F.array_join(F.transform("_p", lambda x: F.concat(F.lit("Page "), x["page_number"].cast("string"), F.lit("\n"), x["text"])), "\n\n")
-    single = F.array(F.struct(F.lit(1).alias("page_number"), joined.alias("text"), F.col("confidence").alias("confidence"), F.length(joined).alias("character_count")))
-    listed = F.when(F.size("_p") > 1, F.col("_p")).otherwise(single)
-    summary = F.concat(F.col("total_pages").cast("string"), F.lit(" page(s), confidence "), F.format_number("confidence", 2), F.lit("%"))
-    return docs.select("document_id", joined.alias("plain"), titled.alias("by_page"), F.to_json(F.struct(F.col("document_id"), F.col("total_pages"), F.col("confidence"), listed.alias("pages"))).alias("document"), summary.alias("summary"))
+    whole = pages.groupBy("document_id").agg(p.alias("_p"), F.avg("confidence").alias("_c")).join(documents, "document_id")
+    several = F.size("_p") > 1
+    docs = whole.select("*", F.expr("array_join(transform(_p, x -> x.text), separator)").alias("plain"), F.round("_c", 2).alias("confidence"), F.size("_p").alias("n"), F.format_string("%.2f", F.round("_c", 2)).alias("shown"))
+    page = lambda number, confidence, count, words: F.struct(number.alias("page_number"), confidence.alias("confidence"), count.alias("character_count"), words.alias("text"))
+    listed = F.when(several, F.transform("_p", lambda x: page(x["page_number"], x["confidence"], x["character_count"], x["text"]))).otherwise(F.array(page(F.lit(1), F.col("confidence"), F.length("plain"), F.col("plain"))))
+    total = F.when(several, F.aggregate("_p", F.lit(0), lambda acc, x: acc + x["character_count"])).otherwise(F.length("plain"))
+    details = F.when(several, F.concat(F.col("n").cast("string"), F.lit(" pages processed with "), "shown", F.lit("% average confidence"))).otherwise(F.concat(F.lit("1 page processed with "), "shown", F.lit("% confidence")))
+    summary = F.struct(F.col("n").alias("total_pages"), F.col("confidence").alias("average_confidence"), total.alias("total_characters"), details.alias("processing_details"))
+    document = F.struct(F.col("plain").alias("text"), "confidence", F.col("n").alias("pages"), "languages", "mode", "engine", F.when(several, F.col("_p")).alias("pages_data"))
+    return docs.select("document_id", "plain", F.to_json(F.struct(listed.alias("pages_info"), summary.alias("summary"))).alias("by_page"), F.to_json(document).alias("document"))
 
 
 def language_profiles(labelled: DataFrame, n: int = 3) -> DataFrame:

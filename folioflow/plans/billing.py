@@ -221,18 +221,29 @@ def registrations(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("user"), (F.col("o_custkey") % 400).cast("string")).alias("username"), F.concat(F.lit("u"), (F.col("o_orderkey") % 3000).cast("string"), F.lit("@example.com")).alias("email"))
 
 
-@query("j5_conflicts", f"""WITH {NEW}, r AS (SELECT *, min(id) OVER (PARTITION BY username) AS a, min(id) OVER (PARTITION BY email) AS b FROM new)
-SELECT id, CASE WHEN a < id OR username IN (SELECT username FROM users) THEN 'username' WHEN b < id OR email IN (SELECT email FROM users) THEN 'email' END AS conflict FROM r""")
+@query("j5_conflicts", f"""WITH {NEW}, free AS (SELECT * FROM new WHERE username NOT IN (SELECT username FROM users) AND email NOT IN (SELECT email FROM users)),
+  f AS (SELECT list_reduce(list({{'i': id, 'u': username, 'e': email}} ORDER BY id), lambda acc, x: CASE WHEN list_contains(acc.us, x.u) OR list_contains(acc.es, x.e) THEN acc
+    ELSE {{'us': list_append(acc.us, x.u), 'es': list_append(acc.es, x.e), 'ids': list_append(acc.ids, x.i)}} END, {{'us': []::VARCHAR[], 'es': []::VARCHAR[], 'ids': []::BIGINT[]}}) AS a FROM free),
+  taken AS (SELECT unnest(a.ids) AS id, unnest(a.us) AS username, unnest(a.es) AS email FROM f)
+SELECT new.id, CASE WHEN new.username IN (SELECT username FROM users) OR u.id < new.id THEN 'username' WHEN new.email IN (SELECT email FROM users) OR e.id < new.id THEN 'email' END AS conflict
+FROM new LEFT JOIN taken u ON u.username = new.username LEFT JOIN taken e ON e.email = new.email""")
 def j5(t: Tables) -> DataFrame:
     return identity.conflicts(registrations(t), t.users)
 
 
-@query("j6_linked", """WITH g AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'g' || id END AS google_id FROM users), l AS (SELECT event_id AS login_id, 'g' || (event_id % 900) AS external_id, 'u' || (event_id % 2500) || '@example.com' AS email FROM events)
-SELECT login_id, CASE WHEN a.id IS NOT NULL THEN 'by id' WHEN b.id IS NOT NULL THEN 'by email' ELSE 'new' END AS action, coalesce(a.id, b.id) AS user_id FROM l LEFT JOIN g a ON a.google_id = l.external_id LEFT JOIN g b ON b.email = l.email""")
+@query("j6_linked", """WITH l AS (SELECT event_id AS login_id, 'g' || (event_id % 900) AS x, 'u' || (event_id % 2500) || '@example.com' AS m FROM events),
+  g AS (SELECT map_from_entries(list((k, v)) FILTER (k IS NOT NULL)) AS by_id, map_from_entries(list((id, k)) FILTER (k IS NOT NULL)) AS cur, map_from_entries(list((email, id))) AS mail FROM (SELECT id, email, CASE WHEN id % 2 = 0 THEN 'g' || id END AS k, id AS v FROM users)),
+  s AS (SELECT list({'i': login_id, 'x': x, 'm': m} ORDER BY login_id) AS steps FROM l),
+  f AS (SELECT list_reduce(steps, lambda acc, e: CASE WHEN acc.by_id[e.x] IS NOT NULL AND acc.cur[acc.by_id[e.x]] = e.x THEN {'by_id': acc.by_id, 'cur': acc.cur, 'mail': acc.mail, 'out': list_append(acc.out, {'l': e.i, 'a': 'by id', 'u': acc.by_id[e.x]})}
+    WHEN acc.mail[e.m] IS NOT NULL THEN {'by_id': map_concat(acc.by_id, MAP([e.x], [acc.mail[e.m]])), 'cur': map_concat(acc.cur, MAP([acc.mail[e.m]], [e.x])), 'mail': acc.mail, 'out': list_append(acc.out, {'l': e.i, 'a': 'by email', 'u': acc.mail[e.m]})}
+    ELSE {'by_id': map_concat(acc.by_id, MAP([e.x], [-1 - e.i])), 'cur': map_concat(acc.cur, MAP([-1 - e.i], [e.x])), 'mail': map_concat(acc.mail, MAP([e.m], [-1 - e.i])), 'out': list_append(acc.out, {'l': e.i, 'a': 'new', 'u': -1 - e.i})} END,
+    {'by_id': by_id, 'cur': cur, 'mail': mail, 'out': []::STRUCT(l BIGINT, a VARCHAR, u BIGINT)[]}) AS r FROM g, s)
+SELECT o.l AS login_id, o.a AS action, CASE WHEN o.u >= 0 THEN o.u END AS user_id, CASE WHEN o.u < 0 THEN -1 - o.u END AS opened_by FROM (SELECT unnest(r.out) AS o FROM f)""")
 def j6(t: Tables) -> DataFrame:
     text = lambda head, mod, tail="": F.concat(F.lit(head), (F.col("event_id") % mod).cast("string"), F.lit(tail))
-    logins = t.events.select(F.col("event_id").alias("login_id"), text("g", 900).alias("external_id"), text("u", 2500, "@example.com").alias("email"))
-    return identity.linked(logins, t.users.withColumn("google_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("g"), F.col("id").cast("string")))))
+    logins = t.events.select(F.col("event_id").alias("login_id"), text("g", 900).alias("external_id"), text("u", 2500, "@example.com").alias("email"), text("Login ", 7).alias("full_name"))
+    accounts = t.users.withColumn("google_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("g"), F.col("id").cast("string"))))
+    return identity.linked(logins, accounts).select("login_id", "action", "user_id", "opened_by")
 
 
 @query("j7_free_names", """WITH n AS (SELECT c_custkey AS id, 'name_' || chr((97 + c_custkey % 20)::INT) AS base FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM n),
@@ -316,8 +327,8 @@ def p3(t: Tables) -> DataFrame:
     return t.users.select("id", (F.col("role") == "user").alias("may_pay"))
 
 
-@query("i1_subscription_invoice", """SELECT invoice_number, line, label, value FROM (SELECT invoice_number, unnest([0, 1, 2, 3]) AS line, unnest(['pages', 'unit price', 'subtotal', 'total']) AS label,
-  unnest([pages_purchased::VARCHAR, round(payment_amount / pages_purchased, 2)::DECIMAL(18,2)::VARCHAR, payment_amount::DECIMAL(18,2)::VARCHAR, payment_amount::DECIMAL(18,2)::VARCHAR]) AS value FROM payment_history)""")
+@query("i1_subscription_invoice", """WITH p AS (SELECT invoice_number, pages_purchased, currency || ' ' || round(payment_amount / pages_purchased, 2)::DECIMAL(18,2)::VARCHAR AS unit, currency || ' ' || payment_amount::DECIMAL(18,2)::VARCHAR AS paid FROM payment_history)
+SELECT invoice_number, unnest([0, 1, 2, 3, 4, 5]) AS line, unnest(['pages', 'unit price', 'amount', 'subtotal', 'tax', 'total']) AS label, unnest([pages_purchased::VARCHAR, unit, paid, paid, 'Included', paid]) AS value FROM p""")
 def i1(t: Tables) -> DataFrame:
     return ledgers.subscription_invoice(t.payment_history)
 

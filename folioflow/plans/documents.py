@@ -149,11 +149,29 @@ def b15(t: Tables) -> DataFrame:
     return d.select("id", text.operation_class(F.col("id") % 19 == 0, conf).alias("class"), text.is_slow(time, F.col("total_pages")).alias("slow"), text.is_concern(time, conf).alias("concern"), text.has_little_text(F.col("extracted_text")).alias("little"))
 
 
-@query("b18_replies", f"""SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number, text) AS plain, string_agg('Page ' || page_number || chr(10) || text, chr(10) || chr(10) ORDER BY page_number, text) AS by_page,
-  count(*) || ' page(s), confidence ' || printf('%.2f', round(avg(confidence), 2)) || '%' AS summary FROM {confidence_sql('page_results', 'document_id, page_number')} GROUP BY document_id""")
+@query("b18_replies", f"""WITH p AS (SELECT document_id, page_number, text, confidence, length(text) AS n FROM {confidence_sql('page_results', 'document_id, page_number')}),
+  d AS (SELECT document_id, count(*) AS pages, round(avg(confidence), 2) AS confidence, CASE WHEN document_id % 3 = 0 THEN string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number, text) ELSE string_agg(text, chr(10) || chr(10) ORDER BY page_number, text) END AS plain,
+    list({{'page_number': page_number, 'confidence': confidence, 'character_count': n, 'text': text}} ORDER BY page_number, text) AS listed, sum(n)::BIGINT AS characters FROM p GROUP BY document_id)
+SELECT document_id, plain, pages, languages, mode, engine, length(plain) AS characters, pages > 1 AS has_pages, confidence,
+  CASE WHEN pages > 1 THEN characters ELSE length(plain) END AS total_characters, CASE WHEN pages > 1 THEN listed[len(listed)].text ELSE plain END AS last_text, CASE WHEN pages > 1 THEN listed[1].confidence ELSE confidence END AS first_confidence,
+  CASE WHEN pages > 1 THEN pages || ' pages processed with ' || printf('%.2f', confidence) || '% average confidence' ELSE '1 page processed with ' || printf('%.2f', confidence) || '% confidence' END AS details
+FROM (SELECT *, 'en' AS languages, 'english' AS mode, CASE WHEN document_id % 3 = 0 THEN 'Mistral OCR' ELSE 'Google Document AI' END AS engine FROM d)""")
 def b18(t: Tables) -> DataFrame:
     rows = t.page_results.withColumn("confidence", text.page_confidence(F.col("text")))
-    return pages.replies(rows).select("document_id", "plain", "by_page", "summary")
+    third = F.col("document_id") % 3 == 0
+    facts = rows.select("document_id").distinct().select(
+        "document_id", F.array(F.lit("en")).alias("languages"), F.lit("english").alias("mode"), F.when(third, "Mistral OCR").otherwise("Google Document AI").alias("engine"), F.when(third, "\n\n---\n\n").otherwise("\n\n").alias("separator")
+    )
+    reply = pages.replies(rows, facts)
+    # Read back, so that every field of both replies is compared.
+    page = "page_number INT, confidence DOUBLE, character_count INT, text STRING"
+    doc = F.from_json("document", f"text STRING, confidence DOUBLE, pages LONG, languages ARRAY<STRING>, mode STRING, engine STRING, pages_data ARRAY<STRUCT<{page.replace(' INT', ': INT').replace(' DOUBLE', ': DOUBLE').replace(' STRING', ': STRING')}>>")
+    info = F.from_json("by_page", f"pages_info ARRAY<STRUCT<{page.replace(' INT', ': INT').replace(' DOUBLE', ': DOUBLE').replace(' STRING', ': STRING')}>>, summary STRUCT<total_pages: LONG, average_confidence: DOUBLE, total_characters: LONG, processing_details: STRING>")
+    read = reply.select("document_id", "plain", doc.alias("d"), info.alias("i"))
+    return read.select(
+        "document_id", F.col("d.text").alias("plain"), F.col("i.summary.total_pages").alias("pages"), F.array_join("d.languages", ",").alias("languages"), "d.mode", "d.engine", F.length("d.text").cast("long").alias("characters"), F.col("d.pages_data").isNotNull().alias("has_pages"),
+        F.col("d.confidence").alias("confidence"), F.col("i.summary.total_characters").alias("total_characters"), F.element_at("i.pages_info", -1)["text"].alias("last_text"), F.element_at("i.pages_info", 1)["confidence"].alias("first_confidence"), F.col("i.summary.processing_details").alias("details"),
+    )
 
 
 def responses(t: Tables) -> DataFrame:

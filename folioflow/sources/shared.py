@@ -5,7 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes df to the shared folder and reads it back."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -73,6 +73,29 @@ def test_identities_agree_with_fold(spark, tmp_path):
     assert got == want
 
 
+def test_accounts_in_order(spark):
+    users = spark.createDataFrame([(1, None, "a@x", None), (2, "g2", "b@x", "Bo")], "id long, google_id string, email string, full_name string")
+    logins = [(1, "gY", "a@x", "Al"), (2, "gY", "other@x", "Not used"), (3, "g9", "new@x", "Nu"), (4, "g9", "else@x", None), (5, "gZ", "b@x", "Other"), (6, "g2", "third@x", "T")]
+    got = identity.linked(spark.createDataFrame(logins, "login_id long, external_id string, email string, full_name string"), users).orderBy("login_id").collect()
+    assert [tuple(r) for r in got] == [(1, "by email", 1, None, "Al"), (2, "by id", 1, None, "Al"), (3, "new", None, 3, "Nu"), (4, "by id", None, 3, "Nu"), (5, "by email", 2, None, "Bo"), (6, "new", None, 6, "T")]
+
+
+def test_refused_registrations_take_nothing(spark):
+    users = spark.createDataFrame([("old", "old@x")], "username string, email string")
+    new = [(1, "ann", "old@x"), (2, "ann", "a@x"), (3, "bob", "a@x"), (4, "bob", "b@x"), (5, "old", "c@x"), (6, "cy", "c@x"), (7, "ann", "b@x")]
+    got = {r["id"]: r["conflict"] for r in identity.conflicts(spark.createDataFrame(new, "id long, username string, email string"), users).collect()}
+    assert got == {1: "email", 2: None, 3: "email", 4: None, 5: "username", 6: None, 7: "username"}
+
+
+def test_consent_in_order(spark):
+    devices = spark.createDataFrame([("d1", "c0"), ("d2", None), ("d3", "c3")], "device_id string, cookie_id string")
+    answers = [(1, "d1", None, False), (2, "d1", None, True), (3, "d2", "c2", True), (4, "zz", "c3", False), (5, "zz", "no", True), (6, "zz", "c3", True)]
+    df = spark.createDataFrame([(i, f, c, g, START + datetime.timedelta(minutes=i)) for i, f, c, g in answers], "answer_id long, fingerprint string, cookie_id string, given boolean, at timestamp_ntz")
+    got = {r["device_id"]: (r["consent_given"], r["cookie_id"]) for r in identity.consents(devices, df).collect()}
+    assert got == {"d1": (True, None), "d2": (True, "c2"), "d3": (True, "c3")}
+    assert {r["answer_id"]: r["reply"] for r in identity.answered(devices, df).collect()} == {1: 200, 2: 200, 3: 200, 4: 200, 5: 404, 6: 200}
+
+
 def in_batches(spark, df, path, order):
     """The rows as a stream of files in order."""
     rows = df.orderBy(order).collect()
