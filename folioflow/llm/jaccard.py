@@ -119,7 +119,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         held += tokens
         size += sum(map(len, tokens))
-        if size > 2_000_000:
+        if size > 1_000_000:
             yield often()
             held, size = [], 0
     if held:

@@ -35,7 +35,7 @@ from .common import arrow_batches, broadcast_if, new_folder, tidy
 PUNCTUATION = string.punctuation
 INDEX = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long, file string, offset long, length long"
 #: Entries that each of a task's two caches of words holds before it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: The tokenizer settings under which words, and letters and the punctuation after them, have ids of their own.
 WORDS_APART = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -61,9 +61,8 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            settings = json.load(file)
-        self.words_apart = settings["model"]["type"] == "BPE" and all(settings.get(k) == v for k, v in WORDS_APART.items())
+        settings = {k: part and json.loads(part.__getstate__()) for k in WORDS_APART for part in [getattr(self.tokenizer, k)]}
+        self.words_apart = type(self.tokenizer.model).__name__ == "BPE" and settings == WORDS_APART
         self.merge = self.tokenizer.model.tokenize
         self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.pieces: dict[str, bytes] = {}
