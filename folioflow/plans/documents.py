@@ -53,11 +53,12 @@ def t3(t: Tables) -> DataFrame:
 SELECT request_id, CASE WHEN file_size = 0 THEN '400 empty' WHEN file_size > (CASE channel WHEN 'user' THEN 104857600 WHEN 'trial' THEN 10485760 ELSE 52428800 END) THEN '413 too large'
   WHEN kind = 'unknown' THEN '415 unknown' ELSE 'ok' END AS admission
 FROM (SELECT request_id, file_size, ['user', 'trial', 'enterprise'][request_id % 3 + 1] AS channel, coalesce(kind, 'unknown') AS kind
-  FROM ocr_requests LEFT JOIN (SELECT file_id, {SNIFF} AS kind FROM {HEADS}) ON file_id = request_id % 200)""")
+  FROM ocr_requests LEFT JOIN (SELECT file_id, {SNIFF} AS kind FROM {HEADS}) ON file_id = request_id % greatest(1, (SELECT count(*) FROM documents)))""")
 def t4(t: Tables) -> DataFrame:
     kinds = t.raw_files.select("file_id", files.file_type(F.col("content")).alias("kind"))
     channel = F.element_at(F.array(*map(F.lit, ("user", "trial", "enterprise"))), (F.col("request_id") % 3 + 1).cast("int"))
-    joined = t.ocr_requests.join(kinds, F.col("file_id") == F.col("request_id") % 200, "left")
+    files_ = F.broadcast(t.documents.agg(F.greatest(F.lit(1), F.count("*")).alias("files")))  # one row
+    joined = t.ocr_requests.crossJoin(files_).join(kinds, F.col("file_id") == F.col("request_id") % F.col("files"), "left")
     return joined.select("request_id", files.admission(F.col("file_size"), F.coalesce("kind", F.lit("unknown")), channel).alias("admission"))
 
 
@@ -179,7 +180,7 @@ def responses(t: Tables) -> DataFrame:
     words = F.split("text", " ")
     body = F.concat(F.lit("| a | b |\n| --- | --- |\n| "), words[0], F.lit("\nand  more | "), F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("-")), F.lit(" |"))
     table_ = F.array(F.struct(F.concat(F.lit("tbl-"), (F.col("page_number") - 1).cast("string")).alias("id"), body.alias("content")))
-    image = F.array(F.struct(F.lit("img-0.png").alias("id"), F.base64(F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode(F.substring("text", 1, 30), "UTF-8"))).alias("image_base64")))
+    image = F.array(F.struct(F.lit("img-0.png").alias("id"), F.base64(F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode("text", "UTF-8"))).alias("image_base64")))
     key = F.concat(F.lit("tbl-"), (F.col("page_number") - 1).cast("string"), F.lit(".md"))
     markdown = F.concat(F.col("text"), F.lit("\n["), key, F.lit("]("), key, F.lit(")\n![](img-0.png)"))
     page = F.struct((F.col("page_number") - 1).alias("index"), markdown.alias("markdown"), F.lit(" Head ").alias("header"), F.lit(None).cast("string").alias("footer"), image.alias("images"), table_.alias("tables"))
@@ -199,7 +200,7 @@ def x16(t: Tables) -> DataFrame:
     return pages.page_pipeline(pages.from_responses(responses(t))).select("document_id", "page_number", "text")
 
 
-@query("s6_e11_figures", """SELECT document_id, count(*) AS figures, sum(round((8 + octet_length(encode(substr(text, 1, 30)))) / 1024, 1)) AS kb FROM page_results GROUP BY document_id""")
+@query("s6_e11_figures", """SELECT document_id, count(*) AS figures, sum(round((8 + octet_length(encode(text))) / 1024, 1)) AS kb FROM page_results GROUP BY document_id""")
 def s6(t: Tables) -> DataFrame:
     rows = pages.from_responses(responses(t)).select("document_id", "page_number", F.explode("images").alias("i")).select("document_id", "page_number", F.col("i.id").alias("image_id"), "i.image_base64")
     return pages.figures(rows).groupBy("document_id").agg(F.count("*").alias("figures"), F.sum("size_kb").alias("kb"))

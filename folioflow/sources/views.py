@@ -33,10 +33,11 @@ VIEWS = {
         FROM orders""",
     "payment_callbacks": """
         SELECT e.event_id AS callback_id, e.ts AS received_at,
-          CASE WHEN e.event_id % 29 = 0 THEN 'no-such-invoice' ELSE concat(o.o_custkey, '-', lpad(hex(o.o_orderkey), 12, '0')) END AS invoice_number,
+          CASE WHEN e.event_id % 29 = 0 OR o.o_orderkey IS NULL THEN 'no-such-invoice' ELSE concat(o.o_custkey, '-', lpad(hex(o.o_orderkey), 12, '0')) END AS invoice_number,
           CASE WHEN e.event_id % 5 = 0 THEN 'Failed' WHEN e.event_id % 7 = 0 THEN 'Canceled' ELSE ' Successful ' END AS reported_status,
           CASE WHEN e.event_id % 3 = 0 THEN NULL WHEN e.event_id % 11 = 0 THEN -1.0 ELSE CAST((o.o_orderkey % 500 + 1) * 10 AS DOUBLE) END AS reported_amount
-        FROM events e JOIN orders o ON o.o_orderkey = e.event_id % 500""",
+        FROM (SELECT *, event_id % greatest(1, (SELECT CAST(floor(count(*) / 20) AS BIGINT) FROM events)) AS billed FROM events) e
+          LEFT JOIN orders o ON o.o_orderkey = e.billed""",
     "enterprises": """
         SELECT p_partkey AS id, p_name AS name, p_size * 20 AS total_pages, CAST(5 + p_partkey % 11 AS DOUBLE) AS unit_price,
           CAST((p_partkey % 15) * 10 AS BIGINT) AS created_by,
@@ -49,7 +50,7 @@ VIEWS = {
           60 + l_discount * 400 AS confidence, l_shipdate AS created_at
         FROM lineitem""",
     "ocr_documents": """
-        SELECT doc_id AS id, doc_id % 150 AS user_id, concat(source, '_', doc_id, '.pdf') AS filename,
+        SELECT doc_id AS id, doc_id % greatest(1, (SELECT CAST(floor(count(*) / 10) AS BIGINT) FROM customer)) AS user_id, concat(source, '_', doc_id, '.pdf') AS filename,
           CASE WHEN doc_id % 3 = 0 THEN 'Mistral OCR' ELSE 'Google Document AI' END AS ocr_engine,
           lang, text AS extracted_text, n_chars AS character_count, CAST(doc_id % 6 + 1 AS INT) AS total_pages, doc_id % 17 = 0 AS is_deleted,
           CAST(doc_id % 23 AS DOUBLE) AS processing_time, {plus_minutes:doc_id % 400|2024-01-01 00:00:00} AS created_at
@@ -66,7 +67,7 @@ VIEWS = {
     "raw_files": """
         SELECT doc_id AS file_id, unhex(concat(CASE doc_id % 10 WHEN 0 THEN '255044462D312E37' WHEN 1 THEN 'FFD8FFE0' WHEN 2 THEN '89504E470D0A1A0A'
             WHEN 3 THEN '474946383961' WHEN 4 THEN '424D' WHEN 5 THEN '524946460000000057454250' WHEN 6 THEN '49492A00'
-            WHEN 7 THEN '4D4D002A' WHEN 8 THEN '00' ELSE '' END, hex({bytes:substr(text, 1, 40)}))) AS content
+            WHEN 7 THEN '4D4D002A' WHEN 8 THEN '00' ELSE '' END, hex({bytes:text}))) AS content
         FROM documents""",
 }
 
