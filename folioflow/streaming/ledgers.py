@@ -51,37 +51,50 @@ def quota(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, decision string", "free long, balance long", "append", NO_TIMEOUT)
 
 
-def trial(requests: DataFrame, most: int = b.TRIAL_LIMIT) -> DataFrame:
-    """device_id, request_id, decision of a stream of (device_id, requested_at, request_id, pages)."""
+def trial(requests: DataFrame, devices: DataFrame, most: int = b.TRIAL_LIMIT) -> DataFrame:
+    """device_id, request_id, decision of a stream of (device_id, requested_at, request_id, pages) against known devices.
+
+    A device's count before the stream and its own limit are taken when its first request comes; blocks are looked up with
+    every batch.
+    """
+    known = devices.select("device_id", b.zero(F.col("usage_count")).cast("long").alias("used_before"), F.col("max_usage").cast("long").alias("own_most"), "is_blocked")
+    joined = requests.join(known, "device_id", "left").select(
+        "device_id", "requested_at", "request_id", "pages", b.zero(F.col("used_before")).alias("used_before"),
+        F.coalesce("own_most", F.lit(most)).cast("long").alias("limit"), F.coalesce("is_blocked", F.lit(False)).alias("blocked"),
+    )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
+        rows = pd.concat(batches).sort_values(["requested_at", "request_id"])
+        used, limit = state.get if state.exists else (int(rows["used_before"].iloc[0]), int(rows["limit"].iloc[0]))
         out = []
-        for r in pd.concat(batches).sort_values(["requested_at", "request_id"]).itertuples(index=False):
+        for r in rows.itertuples(index=False):
             if r.pages > 1:
                 out.append((key[0], r.request_id, "400"))
-            elif used < most:
+            elif r.blocked:
+                out.append((key[0], r.request_id, "blocked"))
+            elif used < limit:
                 used += 1
                 out.append((key[0], r.request_id, "ok"))
             else:
                 out.append((key[0], r.request_id, "403"))
-        state.update((used,))
+        state.update((used, limit))
         yield pd.DataFrame(out, columns=["device_id", "request_id", "decision"])
 
-    return requests.groupBy("device_id").applyInPandasWithState(step, "device_id string, request_id long, decision string", "used long", "append", NO_TIMEOUT)
+    return joined.groupBy("device_id").applyInPandasWithState(step, "device_id string, request_id long, decision string", "used long, most long", "append", NO_TIMEOUT)
 
 
-def settled(callbacks: DataFrame, payments: DataFrame) -> DataFrame:
-    """callback_id, invoice_number, outcome of a stream of callbacks against a snapshot of payments.
+def settled(callbacks: DataFrame, payments: DataFrame, users: DataFrame) -> DataFrame:
+    """callback_id, invoice_number, outcome of a stream of callbacks against snapshots of payments and users.
 
     Only success is terminal, so dropping repeated invoices would be wrong: a failed one may succeed later.
     """
-    bills = payments.select("invoice_number", "payment_amount", (F.col("status") == "success").alias("settled_before"), F.lit(True).alias("known"))
-    word = F.lower(F.trim(F.coalesce("reported_status", F.lit(""))))
+    people = users.select(F.col("id").alias("user_id"), F.lit(True).alias("has_user"))
+    bills = payments.join(people, "user_id", "left").select("invoice_number", "payment_amount", "has_user", (F.col("status") == "success").alias("settled_before"), F.lit(True).alias("known"))
+    word = F.lower(b.stripped(F.coalesce("reported_status", F.lit(""))))
     amount = F.expr("try_cast(reported_amount AS DOUBLE)")
     look = (
         F.when(F.col("known").isNull(), "not found").when(F.coalesce(F.abs(amount - F.col("payment_amount")) > 0.01, F.lit(False)), "amount mismatch")
-        .when(~word.isin(*b.PAID_WORDS), F.when(word == "failed", "failed").otherwise("cancelled")).otherwise("success")
+        .when(~word.isin(*b.PAID_WORDS), F.when(word == "failed", "failed").otherwise("cancelled")).when(F.col("has_user").isNull(), "no user").otherwise("success")
     )
     joined = callbacks.join(bills, "invoice_number", "left").select("callback_id", "invoice_number", "received_at", F.coalesce("settled_before", F.lit(False)).alias("settled_before"), look.alias("look"))
 

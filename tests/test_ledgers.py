@@ -118,26 +118,26 @@ def test_live_trials_over_batches(spark, tmp_path):
     r = random.Random(8)
     rows = [(f"d{r.randint(0, 9)}", START + datetime.timedelta(minutes=i), i, r.choice([1, 1, 2])) for i in range(80)]
     df = spark.createDataFrame(rows, "device_id string, requested_at timestamp_ntz, request_id long, pages int")
-    live.run_available(live.trial(in_batches(spark, df, tmp_path / "in", "requested_at")), f"{tmp_path}/out", f"{tmp_path}/state")
-    devices = spark.createDataFrame([], "device_id string, usage_count int, max_usage int, is_blocked boolean")
+    devices = spark.createDataFrame([("d1", 2, 3, False), ("d2", 0, 5, None), ("d3", 0, 3, True), ("d4", None, None, False)], "device_id string, usage_count int, max_usage int, is_blocked boolean")
+    live.run_available(live.trial(in_batches(spark, df, tmp_path / "in", "requested_at"), devices), f"{tmp_path}/out", f"{tmp_path}/state")
     want = {x["request_id"]: x["decision"] for x in ledgers.trial(df, devices).collect()}
     assert {x["request_id"]: x["decision"] for x in spark.read.parquet(f"{tmp_path}/out").collect()} == want
 
 
 def test_live_settlement_and_counters(spark, tmp_path):
-    payments = spark.createDataFrame([(1, 7, "a", 5, 50.0, "pending"), (2, 7, "b", 5, 50.0, "success"), (3, 8, "c", 5, 50.0, "pending")], "id long, user_id long, invoice_number string, pages_purchased int, payment_amount double, status string")
+    payments = spark.createDataFrame([(1, 7, "a", 5, 50.0, "pending"), (2, 7, "b", 5, 50.0, "success"), (3, 8, "c", 5, 50.0, "pending"), (4, 99, "d", 5, 50.0, "pending")], "id long, user_id long, invoice_number string, pages_purchased int, payment_amount double, status string")
     users = spark.createDataFrame([(7,), (8,)], "id long")
-    calls = [(1, "a", "Failed", None), (2, "a", " success ", 50.0), (3, "a", "success", 50.0), (4, "b", "success", None), (5, "c", "1", 49.0), (6, "c", "odd", None), (7, "zz", "success", None)]
+    calls = [(1, "a", "Failed", None), (2, "a", " success ", 50.0), (3, "a", "success", 50.0), (4, "b", "success", None), (5, "c", "1", 49.0), (6, "c", "odd", None), (7, "zz", "success", None), (8, "d", "\tsuccess\n", 50.0)]
     df = spark.createDataFrame([(i, n, s, a, START + datetime.timedelta(minutes=i)) for i, n, s, a in calls], "callback_id long, invoice_number string, reported_status string, reported_amount double, received_at timestamp_ntz")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    live.run_available(live.settled(stream, payments), f"{tmp_path}/out", f"{tmp_path}/state")
+    live.run_available(live.settled(stream, payments, users), f"{tmp_path}/out", f"{tmp_path}/state")
     got = {r["callback_id"]: r["outcome"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {r["callback_id"]: r["outcome"] for r in ledgers.settled(df, payments, users).collect()}
-    assert got == {1: "failed", 2: "success", 3: "duplicate", 4: "duplicate", 5: "amount mismatch", 6: "cancelled", 7: "not found"}
+    assert got == {1: "failed", 2: "success", 3: "duplicate", 4: "duplicate", 5: "amount mismatch", 6: "cancelled", 7: "not found", 8: "no user"}
     docs = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in").withColumn("total_pages", F.lit(2))
     live.run_available(live.counters(docs, "invoice_number"), f"{tmp_path}/counts", f"{tmp_path}/state2", "update")
-    assert {r["invoice_number"]: r["pages"] for r in spark.read.parquet(f"{tmp_path}/counts/*").collect()} == {"a": 6, "b": 2, "c": 4, "zz": 2}
+    assert {r["invoice_number"]: r["pages"] for r in spark.read.parquet(f"{tmp_path}/counts/*").collect()} == {"a": 6, "b": 2, "c": 4, "zz": 2, "d": 2}
 
 
 def test_arriving_files(spark, tmp_path):
