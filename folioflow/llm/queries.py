@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard, language, line_quality, line_runs, mixing, private_data, rules, secrets, token_files
+from . import common, conversations, decontaminate, jaccard, language, line_quality, line_runs, mixing, oracles, private_data, rules, secrets, token_files
 
 
 def tokenizer_path() -> str:
@@ -58,6 +58,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "start", F.col("size").alias("n_words"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -95,4 +100,4 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op11_conversation_repair": oracles.structure_sql()}
