@@ -63,3 +63,33 @@ SELECT e.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIG
   coalesce(c.illegal, 0)::BIGINT AS illegal, e.best.c::BIGINT AS cost, e.best.a AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
 FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
 """
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+COLLOCATIONS = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase FROM (SELECT lang, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n))
+), f AS MATERIALIZED (
+  SELECT lang, phrase, n, count(*) AS f FROM g GROUP BY ALL
+), c AS MATERIALIZED (
+  SELECT lang, phrase, n, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE n >= 2 AND f >= 10
+), cut AS (
+  SELECT lang, phrase, n, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, n)) AS k FROM c)
+), k AS (
+  SELECT cut.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM cut JOIN f AS l ON l.lang = cut.lang AND l.phrase = cut.head JOIN f AS r ON r.lang = cut.lang AND r.phrase = cut.rest
+), b AS (
+  SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE n = 3) GROUP BY ALL
+), t AS (
+  SELECT b.* FROM b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a
+)
+SELECT t.lang, row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, s.n::BIGINT AS n, score::BIGINT AS score
+FROM t JOIN (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang) s ON s.lang = t.lang QUALIFY rank <= 2000
+"""

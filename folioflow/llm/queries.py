@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, conversations, decontaminate, jaccard, language, line_quality, line_runs, mixing, oracles, private_data, rules, secrets, token_files
+from . import collocations, common, conversations, decontaminate, jaccard, language, line_quality, line_runs, mixing, oracles, private_data, rules, secrets, token_files
 
 
 def tokenizer_path() -> str:
@@ -63,6 +63,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(rows), rows)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -100,4 +104,4 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op11_conversation_repair": oracles.structure_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op11_conversation_repair": oracles.structure_sql(), "op12_collocations": oracles.COLLOCATIONS}

@@ -24,19 +24,19 @@ BLANK[list(b" \t\n\x0b\x0c\r")] = True
 MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
-def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' words, and where each text's begin (one more than texts).
+def hashed_words(joined: bytes, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of some bytes begin, how long they are, and their hashes; blanks says which bytes part words.
 
     Eight bytes of all words at a time are mixed in, so words of up to eight bytes never share a hash.
     """
-    joined = b"\n".join(t or b"" for t in texts).lower()
     raw = np.frombuffer(joined + bytes(8), np.uint8)
-    blank = BLANK[raw]
+    blank = blanks[raw]
     blank[-8:] = True
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not blank[0]:
         edges = np.concatenate(([0], edges))
-    begin, left = edges[::2], edges[1::2] - edges[::2]
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    left = size
     eight = np.ndarray(len(joined) + 1, "<u8", raw, strides=(1,))
     found = left.astype(np.uint64) * FACTOR
     for w in np.flatnonzero(left >= LONG_WORD):
@@ -47,6 +47,12 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         found[words] = mixed(found[words] ^ (eight[at] & MASKS[np.minimum(left, 8)]) * FACTOR)
         more = left > 8
         words, at, left = words[more], at[more] + 8, left[more] - 8
+    return begin, size, found
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, and where each text's begin (one more than texts)."""
+    begin, _, found = hashed_words(b"\n".join(t or b"" for t in texts).lower(), BLANK)
     starts = np.cumsum([0, *[len(t or b"") + 1 for t in texts]])
     return found, np.searchsorted(begin, starts)
 
