@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, common, conversations, decontaminate, jaccard, language, line_quality, line_runs, mixing, oracles, private_data, rules, secrets, token_files
+from . import collocations, common, conversations, decontaminate, jaccard, language, line_quality, line_runs, mixing, oracles, pitman_yor, private_data, rules, secrets, token_files
 
 
 def tokenizer_path() -> str:
@@ -67,6 +67,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(common.documents(spark, sf_dir))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.lm_scores(common.documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
