@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import files, tables, text
+from ..sources.shared import written
 
+#: Rows of a language profile (a gram and a number for each language) up to which it is broadcast.
+BROADCAST_GRAMS = 1_000_000
 PAGE = ["document_id", "page_number"]
 #: Links that are no images, and image references.
 TABLE_LINK = r"(?<!!)\[([^\]]+)\]\(([^)\s]+)\)"
@@ -158,28 +161,43 @@ def replies(pages: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def language_profiles(labelled: DataFrame, n: int = 3) -> DataFrame:
-    """lang, gram, logp: smoothed log shares of character n-grams in labelled `lang, text`; counted by Spark."""
-    grams = trigrams(labelled.where("lang is not null"), n).groupBy("lang", "gram").agg(F.count("*").alias("c"))
+    """lang, gram, logp, floor: smoothed log shares of character n-grams in labelled `lang, text`; counted by Spark."""
+    grams = with_grams(labelled.where("lang is not null").select("lang", "text"), n).groupBy("lang", "gram").agg(F.count("*").alias("c"))
     totals = grams.groupBy("lang").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"))
     return grams.join(F.broadcast(totals), "lang").select("lang", "gram", F.log((F.col("c") + 1) / (F.col("all") + F.col("kinds"))).alias("logp"), (-F.log(F.col("all") + F.col("kinds"))).alias("floor"))
 
 
-def trigrams(docs: DataFrame, n: int) -> DataFrame:
+def with_grams(docs: DataFrame, n: int) -> DataFrame:
+    """A row a gram in place of text: all runs of n characters of the whole text, in time linear in its length. A shorter text is one gram."""
     low = docs.withColumn("_t", F.lower("text"))
-    return low.withColumn("gram", F.explode(F.expr(f"transform(sequence(1, greatest(length(_t) - {n - 1}, 1)), i -> substring(_t, i, {n}))"))).drop("_t", "text")
+    runs = F.regexp_extract_all("_t", F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
+    return low.withColumn("gram", F.explode(F.when(F.length("_t") < n, F.array("_t")).otherwise(runs))).drop("_t", "text")
 
 
 def language_shares(docs: DataFrame, profiles: DataFrame, n: int = 3, sure: int = 30) -> DataFrame:
-    """document_id, lang, p of `document_id, text` by the n-grams' summed log shares, as a softmax over languages."""
-    langs = profiles.groupBy("lang").agg(F.first("floor").alias("floor"))
-    counted = trigrams(docs.select("document_id", "text"), n).groupBy("document_id", "gram").agg(F.count("*").alias("c"))
-    sizes = counted.groupBy("document_id").agg(F.sum("c").alias("grams"))
-    hits = counted.join(profiles, "gram").groupBy("document_id", "lang").agg(F.sum(F.col("c") * (F.col("logp") - F.col("floor"))).alias("gain"))
-    every = sizes.join(F.broadcast(langs)).join(hits, ["document_id", "lang"], "left")  # as many rows a document as languages
-    score = every.withColumn("s", (F.coalesce("gain", F.lit(0.0)) / F.col("grams") + F.col("floor")) * F.least("grams", F.lit(sure)))
-    w = Window.partitionBy("document_id")
-    e = score.withColumn("e", F.exp(F.col("s") - F.max("s").over(w)))
-    return e.select("document_id", "lang", (F.col("e") / F.sum("e").over(w)).alias("p"))
+    """document_id, lang, p of `document_id, text` by the n-grams' summed log shares, as a softmax over languages.
+
+    The profile is one row a gram, with its gain in every language; grams meet it where they are made and are summed
+    there, so that only one row a document and task is shuffled. The profile is broadcast if its counted rows are within
+    BROADCAST_GRAMS; else a document's grams are counted before they are shuffled to it.
+    """
+    profiles = written(profiles, "profiles")
+    # As many rows as languages.
+    floors = profiles.groupBy("lang").agg(F.first("floor").alias("floor")).orderBy("lang").collect()
+    own = F.map_from_entries(F.collect_list(F.struct("lang", F.col("logp") - F.col("floor"))))
+    gains = F.transform(F.array(*[F.lit(r["lang"]) for r in floors]), lambda lang: F.coalesce(F.try_element_at(F.col("_own"), lang), F.lit(0.0)))
+    wide = written(profiles.groupBy("gram").agg(own.alias("_own")).select("gram", gains.alias("_gains")), "gains")
+    grams = with_grams(docs.select("document_id", "text"), n).withColumn("_c", F.lit(1))
+    if wide.count() <= BROADCAST_GRAMS:
+        met = grams.join(F.broadcast(wide), "gram", "left")
+    else:
+        met = grams.groupBy("document_id", "gram").agg(F.sum("_c").alias("_c")).join(wide, "gram", "left")
+    sums = [F.coalesce(F.sum(F.col("_c") * F.col("_gains")[i]), F.lit(0.0)) for i in range(len(floors))]
+    summed = met.groupBy("document_id").agg(F.sum("_c").alias("_grams"), F.array(*sums).alias("_sums"))
+    scores = F.zip_with("_sums", F.array(*[F.lit(r["floor"]) for r in floors]), lambda gain, floor: (gain / F.col("_grams") + floor) * F.least("_grams", F.lit(sure)))
+    shares = summed.withColumn("_s", scores).withColumn("_e", F.transform("_s", lambda x: F.exp(x - F.array_max("_s")))).withColumn("_all", F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x))
+    each = F.explode(F.zip_with("_e", F.array(*[F.lit(r["lang"]) for r in floors]), lambda e, lang: F.struct(lang.alias("lang"), (e / F.col("_all")).alias("p"))))
+    return shares.select("document_id", each.alias("x")).select("document_id", "x.lang", "x.p")
 
 
 def detected_languages(docs: DataFrame, shares: DataFrame, least: float = 0.2) -> DataFrame:
