@@ -60,6 +60,11 @@ def conformed(df: DataFrame, schema: StructType, defaults: dict[str, Column]) ->
     return df.select(*columns)
 
 
-def append_documents(df: DataFrame, path: str, day: str = "created_at") -> None:
-    """Appends processed documents below path, by day."""
-    df.withColumn("created_date", F.to_date(day)).write.mode("append").partitionBy("created_date").parquet(path)
+def append_documents(df: DataFrame, path: str, batch: int, day: str = "created_at") -> None:
+    """Appends processed documents below path, by batch and day. A batch that is appended again replaces itself."""
+    written_once(df.withColumn("created_date", F.to_date(day)), path, batch, "created_date")
+
+
+def written_once(df: DataFrame, path: str, batch: int, *partitions: str) -> None:
+    """Writes a batch to path/batch=n in place of what an earlier attempt left there, so a retried batch stands once."""
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path.rstrip('/')}/batch={batch}")

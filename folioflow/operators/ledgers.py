@@ -23,29 +23,39 @@ def ordered(key: str = "key"):
     return Window.partitionBy(key).orderBy("at", "kind", "event_id")
 
 
+class Allowance:
+    """What a key has left: free slots, for one page each, then pages."""
+
+    def __init__(self, free: int, balance: int) -> None:
+        self.free, self.balance = int(free), int(balance)
+
+    def take(self, kind: int, pages: int) -> str | None:
+        """The decision on a request; None for a credit (kind 0), which is added."""
+        if kind == 0:
+            self.balance += pages
+            return None
+        if self.free > 0:
+            self.free -= pages <= 1
+            return "400" if pages > 1 else "free"
+        if pages <= self.balance:
+            self.balance -= pages
+            return "paid"
+        return "402"
+
+
 def folded(events: DataFrame) -> DataFrame:
     """key, event_id, decision of events (kind 0: credit, 1: request), by an ordered fold over each key."""
 
     def fold(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by key and order; state is carried over batches."""
-        key, free, balance = None, 0, 0
+        key, left = None, None
         for batch in rows:
             out = []
             for r in batch.itertuples(index=False):
-                if r.key != key:
-                    key, free, balance = r.key, r.free_left, r.balance
-                if r.kind == 0:
-                    balance += r.pages
-                elif free > 0 and r.pages > 1:
-                    out.append((key, r.event_id, "400"))
-                elif free > 0:
-                    free -= 1
-                    out.append((key, r.event_id, "free"))
-                elif r.pages <= balance:
-                    balance -= r.pages
-                    out.append((key, r.event_id, "paid"))
-                else:
-                    out.append((key, r.event_id, "402"))
+                if left is None or r.key != key:
+                    key, left = r.key, Allowance(r.free_left, r.balance)
+                if decision := left.take(r.kind, r.pages):
+                    out.append((key, r.event_id, decision))
             yield pd.DataFrame(out, columns=["key", "event_id", "decision"])
 
     return events.repartition("key").sortWithinPartitions("key", "at", "kind", "event_id").mapInPandas(fold, DECIDED)

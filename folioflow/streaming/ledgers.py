@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import business as b
 from ..functions import files
+from ..operators.ledgers import Allowance
 
 NO_TIMEOUT = GroupStateTimeout.NoTimeout
 
@@ -26,26 +27,14 @@ def admitted_files(arrivals: DataFrame, channel: str = "user") -> DataFrame:
 
 
 def quota(events: DataFrame) -> DataFrame:
-    """key, event_id, decision of a stream of ledger events (see the batch ledger)."""
+    """key, event_id, decision of a stream of ledger events (see the batch ledger), decided when they come; `ordered` waits for late ones."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(batches).sort_values(["at", "kind", "event_id"])
-        free, balance = state.get if state.exists else (int(rows["free_left"].iloc[0]), int(rows["balance"].iloc[0]))
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.kind == 0:
-                balance += r.pages
-            elif free > 0 and r.pages > 1:
-                out.append((key[0], r.event_id, "400"))
-            elif free > 0:
-                free -= 1
-                out.append((key[0], r.event_id, "free"))
-            elif r.pages <= balance:
-                balance -= r.pages
-                out.append((key[0], r.event_id, "paid"))
-            else:
-                out.append((key[0], r.event_id, "402"))
-        state.update((free, int(balance)))
+        left = Allowance(*(state.get if state.exists else (rows["free_left"].iloc[0], rows["balance"].iloc[0])))
+        decided = [(key[0], r.event_id, left.take(r.kind, r.pages)) for r in rows.itertuples(index=False)]
+        out = [x for x in decided if x[2]]
+        state.update((left.free, int(left.balance)))
         yield pd.DataFrame(out, columns=["key", "event_id", "decision"])
 
     return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, decision string", "free long, balance long", "append", NO_TIMEOUT)
@@ -118,10 +107,15 @@ def counters(documents: DataFrame, key: str) -> DataFrame:
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over what there is, into Parquet (or replaced tables for update mode), and ends."""
+    """Runs a stream over what there is, into Parquet, and ends. In update mode, path/batch=n has what batch n changed."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         query = writer.format("parquet").option("path", path).start()
     else:
         query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
     query.awaitTermination()
+
+
+def newest(changes: DataFrame, *key: str) -> DataFrame:
+    """What update mode wrote (path, read with its batch column), one row a key: that of the last batch."""
+    return changes.groupBy(*key).agg(F.max_by(F.struct(*changes.columns), "batch").alias("_last")).select("_last.*").drop("batch")
