@@ -9,29 +9,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import business as b
-from ..sources.shared import new_folder, written
+from ..sources.shared import written
+from .components import components
 
 
 def conflicts(new: DataFrame, users: DataFrame) -> DataFrame:
     """id, conflict (username, email or null) of registrations (id, username, email), in order of id.
 
-    What a refused registration asked for stays free. In each round, rows that are the first of both their username and
-    their e-mail are taken, and the others of either go; rounds are as many as the longest chain of such ties.
+    What a refused registration asked for stays free. A null username or e-mail conflicts with nothing. Rows that share
+    neither with another one are decided by the users alone; the others are grouped by the usernames and e-mails that link
+    them, and one ordered fold runs through each group.
     """
-    names, mails = users.select("username").distinct(), users.select("email").distinct()
-    left = new.select("id", "username", "email").join(names, "username", "left_anti").join(mails, "email", "left_anti")
-    left = written(left.select("id", "username", "email"), "registrations")
-    taken = left.limit(0)
-    while not left.isEmpty():
-        first = left.groupBy("username").agg(F.min("id").alias("id")).select("id").intersect(left.groupBy("email").agg(F.min("id").alias("id")).select("id"))
-        won = written(left.join(first, "id", "left_semi").select("id", "username", "email"), "taken")
-        taken = taken.unionByName(won)
-        left = written(left.join(won.select("username"), "username", "left_anti").join(won.select("email"), "email", "left_anti").select("id", "username", "email"), "registrations")
-    by_name = names.withColumn("_u", F.lit(None).cast("long")).unionByName(taken.select("username", F.col("id").alias("_u"))).withColumn("_tu", F.lit(True))
-    by_mail = mails.withColumn("_e", F.lit(None).cast("long")).unionByName(taken.select("email", F.col("id").alias("_e"))).withColumn("_te", F.lit(True))
-    joined = new.join(by_name, "username", "left").join(by_mail, "email", "left")
-    before = lambda found, owner: F.col(found) & (F.col(owner).isNull() | (F.col(owner) < F.col("id")))
-    return joined.select("id", F.when(before("_tu", "_u"), "username").when(before("_te", "_e"), "email").alias("conflict"))
+    names, mails = users.select("username", F.lit(True).alias("_name")).distinct(), users.select("email", F.lit(True).alias("_mail")).distinct()
+    flagged = new.select("id", "username", "email").join(names, "username", "left").join(mails, "email", "left")
+    repeated = lambda c: new.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c, F.lit(True).alias(f"_shared_{c}"))
+    rows = flagged.join(repeated("username"), "username", "left").join(repeated("email"), "email", "left")
+    shared = F.col("_shared_username").isNotNull() | F.col("_shared_email").isNotNull()
+    rows = written(rows.withColumn("_alone", ~shared).drop("_shared_username", "_shared_email"), "registrations")
+    alone = rows.where("_alone").select("id", F.when(F.col("_name"), "username").when(F.col("_mail"), "email").alias("conflict"))
+    name, mail = F.concat(F.lit("u:"), "username"), F.concat(F.lit("e:"), "email")
+    grouped, _ = components(rows.where("not _alone").select(name.alias("a"), mail.alias("b")))
+    met = rows.where("not _alone").withColumn("node", F.coalesce(name, mail)).join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, taken = None, (set(), set())
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.group != group:
+                    group, taken = r.group, (set(), set())
+                keys = [x if isinstance(x, str) else None for x in (r.username, r.email)]
+                found = [known is True or (k is not None and k in seen) for known, k, seen in zip((bool(r.name_taken), bool(r.mail_taken)), keys, taken, strict=True)]
+                if not any(found):
+                    for k, seen in zip(keys, taken, strict=True):
+                        seen |= {k} - {None}
+                out.append((r.id, "username" if found[0] else "email" if found[1] else None))
+            yield pd.DataFrame(out, columns=["id", "conflict"])
+
+    ordered = met.select("group", "id", "username", "email", F.coalesce("_name", F.lit(False)).alias("_name"), F.coalesce("_mail", F.lit(False)).alias("_mail"))
+    return alone.unionByName(ordered.toDF("group", "id", "username", "email", "name_taken", "mail_taken").repartition("group").sortWithinPartitions("group", "id").mapInPandas(fold, f"id {new.schema['id'].dataType.simpleString()}, conflict string"))
 
 
 def linked(logins: DataFrame, users: DataFrame) -> DataFrame:
@@ -71,7 +87,7 @@ def linked(logins: DataFrame, users: DataFrame) -> DataFrame:
                     out.append((int(r.n), action, account["user"], account["opened"], account["name"]))
             yield pd.DataFrame(out, columns=["login_id", "action", "user_id", "opened_by", "full_name"]).astype({"user_id": "Int64", "opened_by": "Int64"})
 
-    grouped = device_components(keyed, new_folder(users.sparkSession, "accounts"))
+    grouped = device_components(keyed)
     ordered = grouped.select("group", *[x.split()[0] for x in kinds.split(", ")]).repartition("group").sortWithinPartitions("group", "kind", "n")
     return ordered.mapInPandas(fold, "login_id long, action string, user_id long, opened_by long, full_name string")
 
@@ -118,27 +134,20 @@ def code_outcomes(codes: DataFrame, attempts: DataFrame) -> DataFrame:
     return met.withColumn("_look", look).select("attempt_id", F.when(used, "none").otherwise(F.col("_look")).alias("outcome"))
 
 
-def device_components(visits: DataFrame, folder: str) -> DataFrame:
-    """visits with group: the least fingerprint reachable through equal fingerprints and cookies.
+def device_components(visits: DataFrame) -> DataFrame:
+    """visits with group: the least fingerprint reachable through equal fingerprints and cookies."""
+    print_, cookie = F.concat(F.lit("a:"), "fingerprint"), F.concat(F.lit("b:"), "cookie_id")  # fingerprints come before cookies
+    found, _ = components(visits.select(print_.alias("a"), cookie.alias("b")))
+    groups = found.where("node like 'a:%'").select(F.substring("node", F.lit(3), F.length("node")).alias("fingerprint"), F.substring("group", F.lit(3), F.length("group")).alias("_group"))
+    return visits.join(groups, "fingerprint", "left").withColumn("group", F.coalesce("_group", "fingerprint")).drop("_group")
 
-    Labels pass along visits until none changes; each round is written to folder, a shared one, which cuts lineage.
-    """
-    spark = visits.sparkSession
-    labels = visits.select("fingerprint").distinct().withColumn("group", F.col("fingerprint"))
-    pairs = visits.where("cookie_id is not null").select("fingerprint", "cookie_id").distinct()
-    step = 0
-    while True:
-        of_cookie = pairs.join(labels, "fingerprint").groupBy("cookie_id").agg(F.min("group").alias("_c"))
-        reach = pairs.join(of_cookie, "cookie_id").groupBy("fingerprint").agg(F.min("_c").alias("_g"))
-        after = labels.join(reach, "fingerprint", "left").select("fingerprint", F.col("group").alias("_was"), F.least("group", F.coalesce("_g", "group")).alias("group"))
-        after.write.parquet(f"{folder}/{step}")
-        after = spark.read.parquet(f"{folder}/{step}")
-        if after.where("`group` <> _was").isEmpty():
-            return visits.join(after.select("fingerprint", "group"), "fingerprint")
-        labels, step = after.select("fingerprint", "group"), step + 1
 
+def component_sizes(visits: DataFrame) -> DataFrame:
+    """visits and devices of each group, the largest first: a group is one ordered fold, so the largest bounds the time."""
+    return device_components(visits).groupBy("group").agg(F.count("*").alias("visits"), F.count_distinct("fingerprint").alias("devices")).orderBy(F.desc("visits"), "group")
 
-def trial_identities(visits: DataFrame, folder: str) -> DataFrame:
+
+def trial_identities(visits: DataFrame) -> DataFrame:
     """request_id, device (its first fingerprint), is_new: fingerprint first, then cookie (which re-keys), else new.
 
     Components of fingerprints and cookies bound what can meet; the rule runs in order of time inside each, in tasks
@@ -172,35 +181,76 @@ def trial_identities(visits: DataFrame, folder: str) -> DataFrame:
                 out.append((r.request_id, device["first"], device["n"], new))
             yield pd.DataFrame(out, columns=["request_id", "device", "opened_by", "is_new"])
 
-    grouped = device_components(visits, folder)
+    grouped = device_components(visits)
     ordered = grouped.select("group", "requested_at", "request_id", "fingerprint", "cookie_id").repartition("group").sortWithinPartitions("group", "requested_at", "request_id")
     return ordered.mapInPandas(fold, "request_id long, device string, opened_by long, is_new boolean")
 
 
-def consents(devices: DataFrame, answers: DataFrame) -> DataFrame:
-    """devices after the answers (answer_id, fingerprint, cookie_id, given, at), in order of time.
+ANSWERED = "device_id string, answer_id long, reply int, consent_given boolean, consent_at timestamp_ntz, cookie_id string"
 
-    An answer is its device's by fingerprint, else by the cookie that a device had before all answers. A yes with a
-    cookie sets it, a no clears it.
+
+def settled_consents(devices: DataFrame, answers: DataFrame) -> DataFrame:
+    """ANSWERED rows after all answers (answer_id, fingerprint, cookie_id, given, at), in order of time.
+
+    Rows with answer_id are answers and the device that took them; rows without are the devices (device_id, cookie_id)
+    afterwards. An answer is its device's by fingerprint, else by the cookie that a device has at that moment (the least
+    device_id of several), else it is 404. A yes with a cookie sets it, a no clears it. Devices and answers are grouped by
+    the fingerprints and cookies that link them, and one ordered fold runs through each group.
     """
-    met = answered(devices, answers).where("device_id is not null")
-    place = F.struct("at", "answer_id")
-    sets = F.col("given") & (F.coalesce("cookie_id", F.lit("")) != "")
-    last = met.groupBy("device_id").agg(
-        F.max_by(F.struct("given", "at"), place).alias("a"), F.max(F.when(~F.col("given"), place)).alias("cleared"), F.max(F.when(sets, place)).alias("set"), F.max_by("cookie_id", F.when(sets, place)).alias("new"),
-    )
-    joined = devices.join(last, "device_id", "left")
-    is_set = F.col("set").isNotNull() & (F.col("cleared").isNull() | (F.col("set") > F.col("cleared")))
-    cookie = F.when(is_set, F.col("new")).when(F.col("cleared").isNull(), F.col("cookie_id"))
-    return joined.select("device_id", F.col("a.given").alias("consent_given"), F.col("a.at").alias("consent_at"), cookie.alias("cookie_id"))
+    time = "timestamp_ntz"
+    old = devices.select(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("answer_id"), F.col("device_id").alias("fingerprint"), "cookie_id", F.lit(None).cast("boolean").alias("given"), F.lit(None).cast(time).alias("at"))
+    told = answers.select(F.lit(1).alias("kind"), F.col("answer_id").cast("long").alias("answer_id"), "fingerprint", "cookie_id", "given", F.col("at").cast(time).alias("at"))
+    rows = old.unionByName(told).withColumns({"fingerprint": F.coalesce("fingerprint", F.lit("")), "cookie_id": F.nullif("cookie_id", F.lit(""))})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state, holders = None, {}, {}
+        columns = [x.split()[0] for x in ANSWERED.split(", ")]
+
+        def ended() -> list[tuple]:
+            return [(device, None, None, given, at, cookie) for device, (given, at, cookie) in state.items()]
+
+        def moved(device: str, was: str | None, cookie: str | None) -> None:
+            if was is not None:
+                holders[was].discard(device)
+            if cookie is not None:
+                holders.setdefault(cookie, set()).add(device)
+
+        def framed(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=columns).astype({"answer_id": "Int64", "reply": "Int64", "consent_given": "boolean", "consent_at": "datetime64[us]"})
+
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.group != group:
+                    out += ended()
+                    group, state, holders = r.group, {}, {}
+                cookie = r.cookie_id if isinstance(r.cookie_id, str) else None
+                if r.kind == 0:
+                    state[r.fingerprint] = (None, None, cookie)
+                    moved(r.fingerprint, None, cookie)
+                    continue
+                device = r.fingerprint if r.fingerprint in state else min(holders.get(cookie, ()), default=None)
+                if device is not None:
+                    was, given = state[device][2], bool(r.given)
+                    after = (cookie or was) if given else None
+                    state[device] = (given, r.at, after)
+                    moved(device, was, after)
+                out.append((device, r.answer_id, 404 if device is None else 200, None, None, None))
+            yield framed(out)
+        yield framed(ended())
+
+    grouped = device_components(rows).select("group", "kind", "answer_id", "fingerprint", "cookie_id", "given", "at")
+    return grouped.repartition("group").sortWithinPartitions("group", "kind", "at", "answer_id").mapInPandas(fold, ANSWERED)
+
+
+def consents(devices: DataFrame, answers: DataFrame) -> DataFrame:
+    """device_id, consent_given, consent_at, cookie_id of devices after the answers."""
+    return settled_consents(devices, answers).where("answer_id is null").select("device_id", "consent_given", "consent_at", "cookie_id")
 
 
 def answered(devices: DataFrame, answers: DataFrame) -> DataFrame:
-    """answers with device_id, and reply: 200, or 404 where no device fits."""
-    by_print = devices.select(F.col("device_id").alias("fingerprint"), F.col("device_id").alias("_p"))
-    by_cookie = devices.where("coalesce(cookie_id, '') <> ''").groupBy("cookie_id").agg(F.min("device_id").alias("_c"))
-    met = answers.join(by_print, "fingerprint", "left").join(by_cookie, "cookie_id", "left").withColumn("device_id", F.coalesce("_p", "_c"))
-    return met.drop("_p", "_c").withColumn("reply", F.when(F.col("device_id").isNull(), 404).otherwise(200))
+    """answer_id, device_id, reply: 200, or 404 where no device fits at that moment."""
+    return settled_consents(devices, answers).where("answer_id is not null").select("answer_id", "device_id", "reply")
 
 
 def blocked(devices: DataFrame, keys: DataFrame) -> DataFrame:

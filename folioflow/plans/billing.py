@@ -383,29 +383,32 @@ def q3(t: Tables) -> DataFrame:
 @query("q4_trial_identities")
 def q4(t: Tables) -> DataFrame:
     """Held against a plain fold over all visits by a test."""
-    return identity.trial_identities(visits(t), t.folder("devices"))
+    return identity.trial_identities(visits(t))
 
 
-@query("q5_consents", """WITH RECURSIVE v AS (SELECT request_id, requested_at, sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS f, cookie_id FROM trial_requests), d AS (SELECT f AS device_id, min(cookie_id) AS cookie_id FROM v GROUP BY 1),
-  k AS (SELECT cookie_id, min(device_id) AS device_id FROM d WHERE cookie_id IS NOT NULL GROUP BY 1), m AS (SELECT v.*, coalesce(d.device_id, k.device_id) AS device_id, request_id % 4 <> 0 AS given FROM (SELECT request_id, requested_at, CASE WHEN request_id % 3 = 0 THEN 'other' ELSE f END AS f, cookie_id FROM v) v
-  LEFT JOIN d ON d.device_id = v.f LEFT JOIN k ON k.cookie_id = v.cookie_id),
-  o AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY requested_at, request_id) AS n FROM m WHERE device_id IS NOT NULL),
-  s AS (SELECT d.device_id, 0::BIGINT AS n, NULL::BOOLEAN AS g, NULL::TIMESTAMP AS moment, d.cookie_id AS c FROM d
-    UNION ALL SELECT s.device_id, o.n, o.given, o.requested_at, CASE WHEN NOT o.given THEN NULL WHEN coalesce(o.cookie_id, '') <> '' THEN o.cookie_id ELSE s.c END FROM s JOIN o ON o.device_id = s.device_id AND o.n = s.n + 1)
-SELECT device_id, arg_max({'g': g}, n).g AS consent_given, arg_max({'m': moment}, n).m AS consent_at, arg_max({'c': c}, n).c AS cookie_id FROM s GROUP BY device_id""")
-def q5(t: Tables) -> DataFrame:
-    asked = visits(t)
+#: Answers one after the other; the cookies of all devices are looked up at the time of each.
+CONSENTS = """v AS (SELECT request_id, requested_at, sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS f, cookie_id FROM trial_requests),
+  d AS (SELECT map_from_entries(list((f, {'c': c, 'g': NULL::BOOLEAN, 't': NULL::TIMESTAMP}))) AS dev FROM (SELECT f, min(cookie_id) AS c FROM v GROUP BY f)),
+  s AS (SELECT list({'i': request_id, 'f': CASE WHEN request_id % 3 = 0 THEN 'other' ELSE f END, 'c': cookie_id, 'g': request_id % 4 <> 0, 't': requested_at} ORDER BY requested_at, request_id) AS steps FROM v),
+  r AS (SELECT list_reduce(steps, lambda acc, e: list_transform([CASE WHEN acc.dev[e.f] IS NOT NULL THEN e.f
+      WHEN e.c IS NOT NULL THEN list_min(list_transform(list_filter(map_entries(acc.dev), lambda x: x.value.c = e.c), lambda x: x.key)) END],
+    lambda k: {'dev': CASE WHEN k IS NULL THEN acc.dev ELSE map_concat(acc.dev, MAP([k], [{'c': CASE WHEN e.g THEN coalesce(e.c, acc.dev[k].c) END, 'g': e.g, 't': e.t}])) END,
+      'out': list_append(acc.out, {'i': e.i, 'k': k})})[1], {'dev': dev, 'out': []::STRUCT(i BIGINT, k VARCHAR)[]}) AS a FROM d, s)"""
+
+
+def answers(t: Tables) -> DataFrame:
     print_ = F.when(F.col("request_id") % 3 == 0, "other").otherwise(F.col("fingerprint"))
-    answers = asked.select(F.col("request_id").alias("answer_id"), print_.alias("fingerprint"), "cookie_id", (F.col("request_id") % 4 != 0).alias("given"), F.col("requested_at").alias("at"))
-    return identity.consents(devices(t), answers)
+    return visits(t).select(F.col("request_id").alias("answer_id"), print_.alias("fingerprint"), "cookie_id", (F.col("request_id") % 4 != 0).alias("given"), F.col("requested_at").alias("at"))
 
 
-@query("q5_replies", """WITH v AS (SELECT request_id, sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS f, cookie_id FROM trial_requests), d AS (SELECT f, min(cookie_id) AS cookie_id FROM v GROUP BY 1)
-SELECT request_id AS answer_id, CASE WHEN request_id % 3 <> 0 OR cookie_id IN (SELECT cookie_id FROM d WHERE cookie_id IS NOT NULL) THEN 200 ELSE 404 END AS reply FROM v""")
+@query("q5_consents", f"WITH {CONSENTS} SELECT e.key AS device_id, e.value.g AS consent_given, e.value.t AS consent_at, e.value.c AS cookie_id FROM (SELECT unnest(map_entries(a.dev)) AS e FROM r)")
+def q5(t: Tables) -> DataFrame:
+    return identity.consents(devices(t), answers(t))
+
+
+@query("q5_replies", f"WITH {CONSENTS} SELECT o.i AS answer_id, o.k AS device_id, CASE WHEN o.k IS NULL THEN 404 ELSE 200 END AS reply FROM (SELECT unnest(a.out) AS o FROM r)")
 def q5_replies(t: Tables) -> DataFrame:
-    print_ = F.when(F.col("request_id") % 3 == 0, "other").otherwise(F.col("fingerprint"))
-    answers = visits(t).select(F.col("request_id").alias("answer_id"), print_.alias("fingerprint"), "cookie_id")
-    return identity.answered(devices(t), answers).select("answer_id", "reply")
+    return identity.answered(devices(t), answers(t))
 
 
 @query("q6_blocked", """WITH d AS (SELECT sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS device_id, count(*) AS n, bool_or(request_id % 100 = 0) AS b FROM trial_requests GROUP BY 1) SELECT device_id, n % 5 = 0 OR b AS is_blocked FROM d""")
