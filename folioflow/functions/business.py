@@ -44,14 +44,26 @@ def quota_state(role: Column, free_used: Column, total: Column, used: Column) ->
 
 
 def quota_message(state: Column, free: Column, pages: Column) -> Column:
+    # The service's words.
     return (
-        F.when(state == "unlimited", "Unlimited OCR access")
-        .when(state == "free", F.concat(free.cast("string"), F.lit(" free request(s) left")))
-        .when(state == "paid", F.concat(pages.cast("string"), F.lit(" subscription page(s) left")))
-        .otherwise("Free requests and subscription pages are used up")
+        F.when(state == "unlimited", "Unlimited OCR access (admin / super-user).")
+        .when(state == "free", F.concat(F.lit("You have "), free.cast("string"), F.lit(" free OCR request(s) remaining.")))
+        .when(state == "paid", F.concat(F.lit("You have "), pages.cast("string"), F.lit(" subscription page(s) remaining.")))
+        .otherwise("You have used all your free OCR requests and your subscription pages are exhausted. Please subscribe to continue.")
     )
 
 
+def quota_snapshot(role: Column, free_used: Column, total: Column, used: Column) -> dict[str, Column]:
+    """A user's quota as columns: limits, uses, what remains, and the message. Privileged users show none used and none bought."""
+    free, pages, above = free_remaining(free_used), pages_remaining(total, used), privileged(role)
+    mine = lambda c, other: F.when(above, other).otherwise(c)
+    return {
+        "free_ocr_limit": F.lit(FREE_LIMIT), "free_ocr_used": mine(zero(free_used), 0), "free_ocr_remaining": mine(free, FREE_LIMIT), "subscription_pages_total": mine(zero(total), 0),
+        "subscription_pages_used": mine(zero(used), 0), "subscription_pages_remaining": mine(pages, 0), "has_active_subscription": ~above & (pages > 0), "can_do_ocr": above | (free > 0) | (pages > 0),
+        "message": quota_message(quota_state(role, free_used, total, used), free, pages),
+    }
+
+
 def page_cost(pages: Column) -> Column:
     return pages * PAGE_COST
 
@@ -108,20 +120,22 @@ def permitted(role: Column, needed: Column) -> Column:
     return rank(role) >= rank(needed)
 
 
-def trial_message(blocked: Column, used: Column, most: Column) -> Column:
-    left = most - used
-    return (
-        F.when(blocked, "blocked").when(left <= 0, "limit reached").when(left == 1, "1 free trial left").otherwise(F.concat(left.cast("string"), F.lit(" free trials left")))
+def trial_attempt(blocked: Column, used: Column, most: Column) -> Column:
+    """struct(allowed, usage_count, remaining, message) of one more use of a trial device."""
+    open_, after = ~blocked & (used < most), used + 1
+    left = most - after
+    # The service's words.
+    message = (
+        F.when(blocked, "Your device has been blocked. Please contact support or register for an account.")
+        .when(used >= most, "Free trial limit reached. Please register to continue using our service.")
+        .when(left == 0, "This was your last free trial. Please register to continue.")
+        .when(left == 1, "You have 1 free trial remaining. Register to get unlimited access.")
+        .otherwise(F.concat(F.lit("You have "), left.cast("string"), F.lit(" free trials remaining.")))
     )
+    return F.struct(open_.alias("allowed"), F.when(open_, after).otherwise(used).alias("usage_count"), F.when(open_, left).otherwise(0).alias("remaining"), message.alias("message"))
 
 
-def local_time(at: Column, zone: Column) -> tuple[Column, Column]:
-    """Date and time of day at a zone that is known to be valid; the zone's id stands for its abbreviation."""
-    there = F.from_utc_timestamp(at, zone)
-    return F.date_format(there, "MMMM dd, yyyy"), F.concat(F.date_format(there, "hh:mm a "), zone)
-
-
-def violations(*rules: tuple[Column, str, str, str]) -> Column:
-    """Array of (field, message, type) of the rules that are broken: (broken, field, message, type) each."""
-    found = [F.when(F.coalesce(b, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(m).alias("message"), F.lit(t).alias("type"))) for b, f, m, t in rules]
-    return F.array_compact(F.array(*found))
+def local_time(at: Column, offset: Column, abbreviation: Column) -> tuple[Column, Column]:
+    """Date and time of day of a UTC time at an offset in seconds, with the zone's abbreviation then."""
+    there = F.timestamp_seconds(F.unix_seconds(at) + offset)
+    return F.date_format(there, "MMMM dd, yyyy"), F.concat(F.date_format(there, "hh:mm a "), abbreviation)

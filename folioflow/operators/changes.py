@@ -23,15 +23,36 @@ def rederived(contracts: DataFrame) -> DataFrame:
     return contracts.withColumns({"total_cost": cost, "duration_days": b.duration_days(F.col("start_date"), F.col("end_date")), "due_amount": b.contract_due(cost, F.col("advance_bill"), True)})
 
 
+def owned(df: DataFrame, keys: DataFrame, key: str, owner: str) -> DataFrame:
+    """keys (key, caller_id, privileged) with found: there is such a row and it is the caller's, or the caller is privileged."""
+    rows = df.select(key, F.col(owner).alias("_owner"), F.lit(True).alias("_there")).dropDuplicates([key])
+    mine = F.col("privileged") | (F.col("caller_id") == F.col("_owner"))
+    return keys.join(rows, key, "left").select(*keys.columns, (F.coalesce("_there", F.lit(False)) & F.coalesce(mine, F.lit(False))).alias("found"))
+
+
+def delete_replies(df: DataFrame, keys: DataFrame, key: str, owner: str) -> DataFrame:
+    """key, caller_id, reply of delete requests: deleted, or not_found for keys that aren't there or are others'."""
+    return owned(df, keys, key, owner).select(key, "caller_id", F.when(F.col("found"), "deleted").otherwise("not_found").alias("reply"))
+
+
 def soft_deleted(df: DataFrame, keys: DataFrame, key: str, owner: str) -> DataFrame:
-    """df with is_deleted set on the owners' keys; keys: key, caller_id, privileged. Others' keys change nothing."""
-    asked = keys.groupBy(key).agg(F.max("privileged").alias("_any"), F.collect_set("caller_id").alias("_callers"))
-    mine = F.coalesce(F.col("_any") | F.array_contains("_callers", F.col(owner)), F.lit(False))
-    return df.join(asked, key, "left").select(*[(F.col("is_deleted") | mine).alias(c) if c == "is_deleted" else F.col(c) for c in df.columns])
+    """df with is_deleted set on the callers' own keys; others' keys change nothing."""
+    mine = owned(df, keys, key, owner).where("found").select(key, F.lit(True).alias("_gone")).distinct()
+    return df.join(mine, key, "left").select(*[(F.col("is_deleted") | F.coalesce("_gone", F.lit(False))).alias(c) if c == "is_deleted" else F.col(c) for c in df.columns])
+
+
+def hard_deleted(df: DataFrame, keys: DataFrame, key: str, owner: str) -> DataFrame:
+    """df without the callers' own keys."""
+    return df.join(owned(df, keys, key, owner).where("found").select(key).distinct(), key, "left_anti")
 
 
-def hard_deleted(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys.select(key).distinct(), key, "left_anti")
+def created(contracts: DataFrame) -> DataFrame:
+    """New contracts with cost, duration, due (not clamped) and no pages used; the status is the one given, due by default."""
+    cost, advance = F.col("total_pages") * F.coalesce("unit_price", F.lit(float(b.PAGE_COST))), F.coalesce("advance_bill", F.lit(0.0))
+    return contracts.withColumns({
+        "total_cost": cost, "due_amount": b.contract_due(cost, advance, False), "duration_days": b.duration_days(F.col("start_date"), F.col("end_date")),
+        "payment_status": F.coalesce("payment_status", F.lit("due")), "pages_used": F.lit(0),
+    })
 
 
 def payments_posted(contracts: DataFrame, payments: DataFrame) -> DataFrame:

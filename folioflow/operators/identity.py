@@ -259,9 +259,14 @@ def blocked(devices: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def trial_status(keys: DataFrame, devices: DataFrame) -> DataFrame:
-    """device_id, remaining, is_new, message; unknown devices have all uses left."""
+    """device_id, usage_count, max_usage, remaining, is_blocked, is_new of asked devices; unknown ones are new and have all uses left."""
     joined = keys.select("device_id").distinct().join(devices, "device_id", "left")
-    new = F.col("usage_count").isNull()
     used, most = b.zero(F.col("usage_count")), F.coalesce("max_usage", F.lit(b.TRIAL_LIMIT))
-    locked = F.coalesce("is_blocked", F.lit(False))
-    return joined.select("device_id", F.when(locked, 0).otherwise(b.at_least_zero(most - used)).alias("remaining"), new.alias("is_new"), b.trial_message(locked, used, most).alias("message"))
+    left = F.when(F.coalesce("is_blocked", F.lit(False)), 0).otherwise(b.at_least_zero(most - used))
+    return joined.select("device_id", used.alias("usage_count"), most.alias("max_usage"), left.alias("remaining"), "is_blocked", F.col("usage_count").isNull().alias("is_new"))
+
+
+def trial_attempts(devices: DataFrame) -> DataFrame:
+    """device_id, allowed, usage_count, remaining, message of one more use of each known device."""
+    told = b.trial_attempt(F.coalesce("is_blocked", F.lit(False)), b.zero(F.col("usage_count")), F.coalesce("max_usage", F.lit(b.TRIAL_LIMIT)))
+    return devices.select("device_id", told.alias("t")).select("device_id", "t.*")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import business as b
-from ..operators import changes, identity, ledgers, reports
+from ..operators import changes, identity, ledgers, reports, validation
+from ..sources import schemas, zones
+from ..sources.views import VIEWS
 from .registry import Tables, query
 
 CONTRACTS = """c AS (
@@ -27,13 +31,15 @@ def b1(t: Tables) -> DataFrame:
     return t.users.select("id", b.free_remaining(F.col("free_ocr_used")).alias("free_remaining"), left.alias("pages_remaining"), (left > 0).alias("active"))
 
 
-@query("b2_quota_status", """SELECT id, state, CASE state WHEN 'unlimited' THEN 'Unlimited OCR access' WHEN 'free' THEN f || ' free request(s) left' WHEN 'paid' THEN p || ' subscription page(s) left'
-  ELSE 'Free requests and subscription pages are used up' END AS message FROM (SELECT *, CASE WHEN role <> 'user' THEN 'unlimited' WHEN f > 0 THEN 'free' WHEN p > 0 THEN 'paid' ELSE 'exhausted' END AS state
-  FROM (SELECT id, role, greatest(0, 3 - free_ocr_used) AS f, greatest(0, subscription_pages_total - subscription_pages_used) AS p FROM users))""")
+@query("b2_quota_status", """WITH u AS (SELECT id, role IN ('super_user', 'admin') AS above, free_ocr_used AS fu, greatest(0, 3 - free_ocr_used) AS f, subscription_pages_total AS st, subscription_pages_used AS su,
+  greatest(0, subscription_pages_total - subscription_pages_used) AS p FROM users)
+SELECT id, 3 AS free_ocr_limit, if(above, 0, fu) AS free_ocr_used, if(above, 3, f) AS free_ocr_remaining, if(above, 0, st) AS subscription_pages_total, if(above, 0, su) AS subscription_pages_used,
+  if(above, 0, p) AS subscription_pages_remaining, NOT above AND p > 0 AS has_active_subscription, above OR f > 0 OR p > 0 AS can_do_ocr,
+  CASE WHEN above THEN 'Unlimited OCR access (admin / super-user).' WHEN f > 0 THEN 'You have ' || f || ' free OCR request(s) remaining.' WHEN p > 0 THEN 'You have ' || p || ' subscription page(s) remaining.'
+    ELSE 'You have used all your free OCR requests and your subscription pages are exhausted. Please subscribe to continue.' END AS message FROM u""")
 def b2(t: Tables) -> DataFrame:
-    free, left = b.free_remaining(F.col("free_ocr_used")), b.pages_remaining(F.col("subscription_pages_total"), F.col("subscription_pages_used"))
-    state = b.quota_state(F.col("role"), F.col("free_ocr_used"), F.col("subscription_pages_total"), F.col("subscription_pages_used"))
-    return t.users.select("id", state.alias("state"), b.quota_message(state, free, left).alias("message"))
+    told = b.quota_snapshot(F.col("role"), F.col("free_ocr_used"), F.col("subscription_pages_total"), F.col("subscription_pages_used"))
+    return t.users.select("id", *[c.alias(name) for name, c in told.items()])
 
 
 @query("b3_b8_page_prices", "SELECT id, pages_purchased * 10 AS cost, payment_amount / pages_purchased AS unit_price FROM payment_history")
@@ -59,14 +65,23 @@ def b9(t: Tables) -> DataFrame:
     return t.payment_history.select("id", b.contract_invoice(F.col("id")).alias("contract_no"), number.alias("payment_no"), b.invoice_user(number).alias("parsed"))
 
 
-@query("b10_local_time", """SELECT id, strftime(there, '%B %d, %Y') AS day, strftime(there, '%I:%M %p ') || z AS clock FROM (SELECT id, z, created_at + to_minutes(CASE z WHEN 'Asia/Dhaka' THEN 360 ELSE 0 END) AS there
-  FROM (SELECT id, created_at, CASE WHEN id % 2 = 0 THEN 'Asia/Dhaka' ELSE 'UTC' END AS z FROM ocr_documents))""")
+#: Summer time of the years of the test data, in UTC: the first Sunday of April to the last of October in New York, the
+#: last Sundays of March and October in London (of 1995, the 22nd of October).
+ZONED = """WITH p AS (SELECT id, created_at + to_minutes(CAST(id * 7 % 1440 AS INT)) AS moment, year(created_at) AS y, CASE id % 5 WHEN 0 THEN 'Asia/Dhaka' WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'Europe/London' WHEN 3 THEN 'Nowhere/At all' END AS z FROM payment_history),
+  s AS (SELECT *, make_date(y, 4, 1) + ((7 - dayofweek(make_date(y, 4, 1))) % 7)::INT AS april, make_date(y, 3, 31) - dayofweek(make_date(y, 3, 31))::INT AS march,
+    make_date(y, 10, 31) - dayofweek(make_date(y, 10, 31))::INT AS october FROM p),
+  o AS (SELECT id, moment, CASE z WHEN 'Asia/Dhaka' THEN 360 WHEN 'America/New_York' THEN CASE WHEN moment >= april + INTERVAL 7 HOUR AND moment < october + INTERVAL 6 HOUR THEN -240 ELSE -300 END
+    WHEN 'Europe/London' THEN CASE WHEN moment >= march + INTERVAL 1 HOUR AND moment < CASE WHEN y = 1995 THEN DATE '1995-10-22' ELSE october END + INTERVAL 1 HOUR THEN 60 ELSE 0 END ELSE 0 END AS minutes, z FROM s)
+SELECT id, strftime(moment + to_minutes(minutes), '%B %d, %Y') AS day, strftime(moment + to_minutes(minutes), '%I:%M %p ') ||
+  CASE z WHEN 'Asia/Dhaka' THEN '+06' WHEN 'America/New_York' THEN if(minutes = -240, 'EDT', 'EST') WHEN 'Europe/London' THEN if(minutes = 60, 'BST', 'GMT') ELSE 'UTC' END AS clock FROM o"""
+
+
+@query("b10_local_time", ZONED)
 def b10(t: Tables) -> DataFrame:
-    zones = t.spark.createDataFrame([("UTC",), ("Asia/Dhaka",)], "zone string")  # valid ids; others are taken as UTC
-    asked = t.ocr_documents.withColumn("asked", F.when(F.col("id") % 2 == 0, "Asia/Dhaka").otherwise("Nowhere/At all"))
-    joined = asked.join(F.broadcast(zones), F.col("asked") == F.col("zone"), "left")
-    day, clock = b.local_time(F.col("created_at").cast("timestamp"), F.coalesce("zone", F.lit("UTC")))
-    return joined.select("id", day.alias("day"), clock.alias("clock"))
+    zone = F.when(F.col("id") % 5 == 0, "Asia/Dhaka").when(F.col("id") % 5 == 1, "America/New_York").when(F.col("id") % 5 == 2, "Europe/London").when(F.col("id") % 5 == 3, "Nowhere/At all")
+    moment = F.expr("timestampadd(MINUTE, CAST(id * 7 % 1440 AS INT), created_at)").cast("timestamp")
+    day, clock = b.local_time(F.col("moment"), F.col("offset"), F.col("abbreviation"))
+    return zones.with_zone(t.payment_history.select("id", moment.alias("moment"), zone.alias("asked")), "moment", "asked").select("id", day.alias("day"), clock.alias("clock"))
 
 
 @query("b11_b13_names", r"""SELECT id, coalesce(full_name, username) AS display, coalesce(nullif(substr(regexp_replace(coalesce(replace(full_name, ' ', '_'), split_part(email, '@', 1)), '[^a-zA-Z0-9_]', '', 'g'), 1, 40), ''), 'user') AS base FROM users""")
@@ -84,10 +99,23 @@ def b14(t: Tables) -> DataFrame:
     return t.users.select("id", b.rank(F.col("role")).alias("rank"), b.permitted(F.col("role"), F.lit("admin")).alias("may"))
 
 
-@query("b17_trial_status", """WITH d AS (SELECT sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS device_id, count(*) AS n FROM trial_requests GROUP BY 1)
-SELECT device_id, CASE WHEN n % 5 = 0 THEN 0 ELSE greatest(0, 3 - n % 4) END AS remaining, false AS is_new, CASE WHEN n % 5 = 0 THEN 'blocked' WHEN 3 - n % 4 <= 0 THEN 'limit reached' WHEN n % 4 = 2 THEN '1 free trial left' ELSE (3 - n % 4) || ' free trials left' END AS message FROM d""")
+DEVICES = """d AS (SELECT f AS device_id, count(*) % 4 AS used, count(*) % 5 = 0 AS locked FROM (SELECT sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS f FROM trial_requests) GROUP BY 1)"""
+
+
+@query("b17_trial_status", f"""WITH {DEVICES}, k AS (SELECT DISTINCT 'device-' || user_id AS device_id FROM ocr_requests UNION ALL SELECT device_id FROM d)
+SELECT device_id, coalesce(used, 0)::BIGINT AS usage_count, 3 AS max_usage, (CASE WHEN used IS NULL THEN 3 WHEN locked THEN 0 ELSE greatest(0, 3 - used) END)::BIGINT AS remaining, locked AS is_blocked, used IS NULL AS is_new FROM k LEFT JOIN d USING (device_id)""")
 def b17(t: Tables) -> DataFrame:
-    return identity.trial_status(devices(t), devices(t))
+    """Known devices, and as many that no one knows as users ask."""
+    known = devices(t)
+    unknown = t.ocr_requests.select(F.concat(F.lit("device-"), F.col("user_id").cast("string")).alias("device_id"))
+    return identity.trial_status(known.select("device_id").unionByName(unknown), known)
+
+
+@query("b17_trial_attempts", f"""WITH {DEVICES} SELECT device_id, NOT locked AND used < 3 AS allowed, CASE WHEN locked OR used >= 3 THEN used ELSE used + 1 END AS usage_count, CASE WHEN locked OR used >= 3 THEN 0 ELSE 2 - used END AS remaining,
+  CASE WHEN locked THEN 'Your device has been blocked. Please contact support or register for an account.' WHEN used >= 3 THEN 'Free trial limit reached. Please register to continue using our service.'
+    WHEN used = 2 THEN 'This was your last free trial. Please register to continue.' WHEN used = 1 THEN 'You have 1 free trial remaining. Register to get unlimited access.' ELSE 'You have ' || (2 - used) || ' free trials remaining.' END AS message FROM d""")
+def b17_attempts(t: Tables) -> DataFrame:
+    return identity.trial_attempts(devices(t))
 
 
 def visits(t: Tables) -> DataFrame:
@@ -100,14 +128,95 @@ def devices(t: Tables) -> DataFrame:
     return counted.select("device_id", (F.col("n") % 4).alias("usage_count"), F.lit(3).alias("max_usage"), (F.col("n") % 5 == 0).alias("is_blocked"), "cookie_id")
 
 
-@query("v1_violations", f"""WITH {CONTRACTS} SELECT id, len(v) AS n, array_to_string(v, ',') AS fields FROM (SELECT id, list_filter([CASE WHEN length(name) < 2 OR length(name) > 15 THEN 'name' END, CASE WHEN total_pages < 100 THEN 'total_pages' END,
-  CASE WHEN end_date < start_date THEN 'end_date' END, CASE WHEN advance_bill > total_cost * 0.6 THEN 'advance_bill' END], lambda x: x IS NOT NULL) AS v FROM c)""")
-def v1(t: Tables) -> DataFrame:
-    found = b.violations(
-        ((F.length("name") < 2) | (F.length("name") > 15), "name", "2 to 15 characters", "length"), (F.col("total_pages") < 100, "total_pages", "100 at least", "range"),
-        (F.col("end_date") < F.col("start_date"), "end_date", "not before start_date", "order"), (F.col("advance_bill") > F.col("total_cost") * 0.6, "advance_bill", "not above the cost", "range"),
-    )
-    return contracts(t).select("id", found.alias("v")).select("id", F.size("v").alias("n"), F.array_join(F.transform("v", lambda x: x["field"]), ",").alias("fields"))
+EMAIL = r"^[A-Za-z0-9._%+''-]+@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$"
+
+
+def told(*fields: str) -> str:
+    """The first broken rule of each field, as text, of the rules in SQL that each field lists."""
+    return f"list_filter([{', '.join(f'CASE {f} END' for f in fields)}], lambda x: x IS NOT NULL)"
+
+
+def broken(when: str, field: str, message: str, kind: str) -> str:
+    return f"WHEN {when} THEN '{field}: {message} [{kind}]'"
+
+
+def required(field: str) -> str:
+    return broken(f"{field} IS NULL", f"body -> {field}", "Field required", "missing")
+
+
+def too_short(field: str, n: int, words: str) -> str:
+    return broken(f"length({field}) < {n}", f"body -> {field}", f"String should have at least {words}", "string_too_short")
+
+
+def too_long(field: str, n: int) -> str:
+    return broken(f"length({field}) > {n}", f"body -> {field}", f"String should have at most {n} characters", "string_too_long")
+
+
+def too_small(field: str) -> str:
+    return broken(f"{field} < 0", f"body -> {field}", "Input should be greater than or equal to 0", "greater_than_equal")
+
+
+def no_address(field: str) -> str:
+    return broken(f"NOT regexp_matches({field}, '{EMAIL}')", f"body -> {field}", "value is not a valid email address", "value_error")
+
+
+def no_pages(field: str) -> str:
+    return broken(f"{field} <= 0", f"body -> {field}", "Input should be greater than 0", "greater_than")
+
+
+CONTRACT_FORMS = f"""SELECT id, CASE WHEN len(v) > 0 THEN v WHEN end_date < start_date THEN ['body: Value error, end_date must be on or after start_date [value_error]']
+    WHEN coalesce(advance_bill, 0) > total_pages * coalesce(unit_price, 10) THEN ['body: Value error, advance_bill (' || coalesce(advance_bill, 0)::DOUBLE || ') cannot exceed total cost (' || (total_pages * coalesce(unit_price, 10))::DOUBLE || ') [value_error]'] ELSE v END AS v
+  FROM (SELECT *, {told(
+    required('name') + ' ' + too_short('name', 1, '1 character') + ' ' + too_long('name', 255), too_long('phone', 50), no_address('email'),
+    required('total_pages') + ' ' + broken('total_pages < 1', 'body -> total_pages', 'Input should be greater than or equal to 1', 'greater_than_equal'), too_small('unit_price'), too_small('advance_bill'), too_small('no_of_documents'),
+    broken("payment_status NOT IN ('paid', 'partial_paid', 'due')", 'body -> payment_status', "Input should be ''paid'', ''partial_paid'' or ''due''", 'enum'),
+  )} AS v FROM contract_forms)"""
+PAYMENT_FORMS = f"""SELECT id, {told(
+    required('pages') + ' ' + no_pages('pages'), required('cust_name') + ' ' + too_short('cust_name', 2, '2 characters') + ' ' + too_long('cust_name', 100),
+    required('cust_phone') + ' ' + too_short('cust_phone', 7, '7 characters') + ' ' + too_long('cust_phone', 20), too_long('cust_address', 255),
+  )} AS v FROM payment_forms"""
+ACCOUNT_FORMS = f"""SELECT id, {told(
+    required('username') + ' ' + too_short('username', 3, '3 characters') + ' ' + too_long('username', 50), required('email') + ' ' + no_address('email'), too_long('full_name', 255),
+    broken("role NOT IN ('super_user', 'admin', 'user')", 'body -> role', "Input should be ''super_user'', ''admin'' or ''user''", 'enum'),
+  )} AS v FROM account_forms"""
+PLAN_FORMS = f"SELECT id, {told(required('pages') + ' ' + no_pages('pages'))} AS v FROM payment_forms"
+
+
+def verdicts(rows: DataFrame, form: str) -> DataFrame:
+    """id, n, told: both outputs of the split, put together again."""
+    valid, refused = validation.split(rows, form)
+    words = F.transform("violations", lambda v: F.concat(v["field"], F.lit(": "), v["message"], F.lit(" ["), v["type"], F.lit("]")))
+    return valid.select("id", F.lit(0).alias("n"), F.lit("").alias("told")).unionByName(refused.select("id", F.size("violations").alias("n"), F.array_join(words, "; ").alias("told")))
+
+
+def verdicts_sql(forms: str) -> str:
+    return f"SELECT id, len(v) AS n, array_to_string(v, '; ') AS told FROM ({forms})"
+
+
+@query("v1_violations", verdicts_sql(CONTRACT_FORMS))
+def v1_contracts(t: Tables) -> DataFrame:
+    return verdicts(t.contract_forms, "contract")
+
+
+@query("v1_payments", verdicts_sql(PAYMENT_FORMS))
+def v1_payments(t: Tables) -> DataFrame:
+    return verdicts(t.payment_forms, "payment")
+
+
+@query("v1_accounts", verdicts_sql(ACCOUNT_FORMS))
+def v1_accounts(t: Tables) -> DataFrame:
+    return verdicts(t.account_forms, "account")
+
+
+@query("v1_plans", verdicts_sql(PLAN_FORMS))
+def v1_plans(t: Tables) -> DataFrame:
+    return verdicts(t.payment_forms, "plan")
+
+
+@query("b4_created", """SELECT id, total_pages * coalesce(unit_price, 10.0) AS total_cost, total_pages * coalesce(unit_price, 10.0) - coalesce(advance_bill, 0.0) AS due_amount,
+  CASE WHEN end_date >= start_date THEN end_date - start_date END AS duration_days, coalesce(payment_status, 'due') AS payment_status, 0 AS pages_used FROM contract_forms""")
+def b4_created(t: Tables) -> DataFrame:
+    return changes.created(t.contract_forms).select("id", "total_cost", "due_amount", "duration_days", "payment_status", "pages_used")
 
 
 @query("e1_billing_summary", f"""WITH {CONTRACTS} SELECT count(*) AS total_enterprises, sum(total_pages)::BIGINT AS total_pages, sum(total_cost::DECIMAL(18,2))::DOUBLE AS total_cost, sum(advance_bill::DECIMAL(18,2))::DOUBLE AS total_advance,
@@ -276,12 +385,32 @@ def s7(t: Tables) -> DataFrame:
     return changes.rederived(changes.updated(contracts(t), changed, "id", ["unit_price", "start_date"])).select("id", "start_date", "unit_price", "total_cost", "due_amount", "duration_days", "payment_status")
 
 
-@query("s8_deletes", """SELECT id, is_deleted OR (id % 10 = 0 AND user_id = id % 100) OR id % 25 = 0 AS is_deleted FROM ocr_documents WHERE id % 7 <> 0""")
+#: Requests to delete: of documents' owners and of others, of super users, and of documents that aren't there.
+ASKED = """k AS (SELECT id, CASE WHEN id % 20 = 0 THEN user_id ELSE user_id + 1 END AS caller_id, false AS privileged FROM ocr_documents WHERE id % 10 = 0
+  UNION ALL SELECT id, 0, true FROM ocr_documents WHERE id % 25 = 0 UNION ALL SELECT -1 - id, user_id, id % 2 = 0 FROM ocr_documents WHERE id % 15 = 0),
+  mine AS (SELECT k.*, d.id IS NOT NULL AND (k.privileged OR k.caller_id = d.user_id) AS found FROM k LEFT JOIN ocr_documents d ON d.id = k.id)"""
+
+
+def asked(t: Tables) -> DataFrame:
+    d = t.ocr_documents
+    own = F.when(F.col("id") % 20 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1)
+    return (
+        d.where("id % 10 = 0").select("id", own.alias("caller_id"), F.lit(False).alias("privileged"))
+        .unionByName(d.where("id % 25 = 0").select("id", F.lit(0).cast("long").alias("caller_id"), F.lit(True).alias("privileged")))
+        .unionByName(d.where("id % 15 = 0").select((-1 - F.col("id")).alias("id"), F.col("user_id").alias("caller_id"), (F.col("id") % 2 == 0).alias("privileged")))
+    )
+
+
+@query("s8_deletes", f"WITH {ASKED} SELECT id, is_deleted OR id IN (SELECT id FROM mine WHERE found) AS is_deleted FROM ocr_documents WHERE id NOT IN (SELECT id FROM mine WHERE found AND id % 3 = 0)")
 def s8(t: Tables) -> DataFrame:
-    asked = t.ocr_documents.where("id % 10 = 0").select("id", (F.col("id") % 100).alias("caller_id"), F.lit(False).alias("privileged"))
-    supers = t.ocr_documents.where("id % 25 = 0").select("id", F.lit(0).cast("long").alias("caller_id"), F.lit(True).alias("privileged"))
-    marked = changes.soft_deleted(t.ocr_documents, asked.unionByName(supers), "id", "user_id")
-    return changes.hard_deleted(marked, t.ocr_documents.where("id % 7 = 0"), "id").select("id", "is_deleted")
+    """Own documents are marked; of those, every third is removed for good."""
+    marked = changes.soft_deleted(t.ocr_documents, asked(t), "id", "user_id")
+    return changes.hard_deleted(marked, asked(t).where("id % 3 = 0"), "id", "user_id").select("id", "is_deleted")
+
+
+@query("s8_replies", f"WITH {ASKED} SELECT id, caller_id, CASE WHEN found THEN 'deleted' ELSE 'not_found' END AS reply FROM mine")
+def s8_replies(t: Tables) -> DataFrame:
+    return changes.delete_replies(t.ocr_documents, asked(t), "id", "user_id")
 
 
 @query("s2_s10_conformed", "SELECT id, username, coalesce(full_name, '') AS full_name, 'local' AS auth_provider, free_ocr_used::BIGINT AS free_ocr_used, NULL::TIMESTAMP AS last_login FROM users")
@@ -292,6 +421,59 @@ def s10(t: Tables) -> DataFrame:
     return changes.conformed(t.users, schema, {"full_name": F.lit(""), "auth_provider": F.lit("local")})
 
 
+def declared(t: Tables, name: str) -> DataFrame:
+    """A view written as one of the declared tables and scanned as such."""
+    made = {"hashed_password": None, "auth_provider": "local", "is_verified": True, "created_at": NOON, "file_type": "pdf", "file_size": 1, "ocr_mode": "english", "ocr_engine": "docai", "languages": ["en"], "extracted_text": "",
+            "filename": "file", "confidence": 0.0, "total_pages": 1, "user_id": 0, "total_cost": 0.0, "due_amount": 0.0, "payment_status": "due", "no_of_documents": 0, "pages_used": 0, "usage_count": 0, "max_usage": 3, "first_used_at": NOON,
+            "is_blocked": False, "is_used": False, "user_data": "{}", "is_deleted": False}
+    rows = getattr(t, name) if name in VIEWS else MADE[name](t)
+    path = t.folder(name)
+    schemas.conformed(rows, name, **{k: v for k, v in made.items() if k in schemas.schema_of(name).names}).write.parquet(path)
+    return schemas.table(t.spark, path, name)
+
+
+NOON = datetime.datetime(2024, 1, 1, 12)
+MADE = {
+    "free_trial_users": lambda t: devices(t).select(F.crc32("device_id").alias("id"), "device_id", "usage_count", "max_usage", "is_blocked", "cookie_id"),
+    "email_otps": lambda t: t.events.select(F.col("event_id").alias("id"), F.concat("event_type", F.lit("@example.com")).alias("email"), (F.col("event_id") % 1_000_000).cast("string").alias("otp_code"), F.col("ts").alias("expires_at")),
+}
+
+
+@query("s2_users", "SELECT count(*) AS n, sum(id)::BIGINT AS ids, count(full_name) AS named, 0::BIGINT AS logins, sum(free_ocr_used)::BIGINT AS used, count(*) FILTER (is_active) AS active FROM users")
+def s2_users(t: Tables) -> DataFrame:
+    return declared(t, "users").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count("full_name").alias("named"), F.count("last_login").alias("logins"), F.sum("free_ocr_used").alias("used"), F.count_if("is_active").alias("active"))
+
+
+@query("s2_ocr_documents", "SELECT ocr_engine, count(*) AS n, sum(id)::BIGINT AS ids, sum(length(extracted_text))::BIGINT AS characters, count(*) FILTER (is_deleted) AS deleted FROM ocr_documents GROUP BY 1")
+def s2_documents(t: Tables) -> DataFrame:
+    return declared(t, "ocr_documents").groupBy("ocr_engine").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum(F.length("extracted_text")).alias("characters"), F.count_if("is_deleted").alias("deleted"))
+
+
+@query("s2_enterprises", "SELECT created_by, count(*) AS n, sum(total_pages)::BIGINT AS pages, count(start_date) AS starts, max(end_date) AS last_end FROM enterprises GROUP BY 1")
+def s2_enterprises(t: Tables) -> DataFrame:
+    return declared(t, "enterprises").groupBy("created_by").agg(F.count("*").alias("n"), F.sum("total_pages").alias("pages"), F.count("start_date").alias("starts"), F.max("end_date").alias("last_end"))
+
+
+@query("s2_enterprise_documents", "SELECT processed_by, count(*) AS n, sum(total_pages)::BIGINT AS pages FROM enterprise_ocr_documents GROUP BY 1")
+def s2_enterprise_documents(t: Tables) -> DataFrame:
+    return declared(t, "enterprise_ocr_documents").groupBy("processed_by").agg(F.count("*").alias("n"), F.sum("total_pages").alias("pages"))
+
+
+@query("s2_payments", "SELECT status, count(*) AS n, sum(pages_purchased)::BIGINT AS pages, count(DISTINCT invoice_number) AS invoices FROM payment_history GROUP BY 1")
+def s2_payments(t: Tables) -> DataFrame:
+    return declared(t, "payment_history").groupBy("status").agg(F.count("*").alias("n"), F.sum("pages_purchased").alias("pages"), F.count_distinct("invoice_number").alias("invoices"))
+
+
+@query("s2_trial_users", f"WITH {DEVICES} SELECT device_id, used AS usage_count, locked AS is_blocked FROM d")
+def s2_trial_users(t: Tables) -> DataFrame:
+    return declared(t, "free_trial_users").select("device_id", F.col("usage_count").cast("long").alias("usage_count"), "is_blocked")
+
+
+@query("s2_codes", "SELECT event_type || '@example.com' AS email, count(*) AS n, count(DISTINCT event_id % 1000000) AS codes FROM events GROUP BY 1")
+def s2_codes(t: Tables) -> DataFrame:
+    return declared(t, "email_otps").groupBy("email").agg(F.count("*").alias("n"), F.count_distinct("otp_code").alias("codes"))
+
+
 @query("p1_settlement", """WITH j AS (SELECT k.*, h.id AS pid, h.payment_amount, h.status AS before, h.pages_purchased FROM payment_callbacks k LEFT JOIN payment_history h USING (invoice_number)), l AS (SELECT *, CASE WHEN pid IS NULL THEN 'not found'
   WHEN abs(reported_amount - payment_amount) > 0.01 THEN 'amount mismatch' WHEN lower(trim(reported_status)) NOT IN ('successful', 'success', '1', '200') THEN CASE WHEN lower(trim(reported_status)) = 'failed' THEN 'failed' ELSE 'cancelled' END ELSE 'success' END AS look FROM j)
 SELECT callback_id, invoice_number, CASE WHEN pid IS NULL THEN 'not found' WHEN before = 'success' OR coalesce(max((look = 'success')::INT) OVER (PARTITION BY invoice_number ORDER BY received_at, callback_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'duplicate' ELSE look END AS outcome FROM l""")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: The log's columns.
 LOG_COLUMNS = ("serial", "date", "time", "level", "user_id", "user_email", "module", "event")
@@ -20,15 +19,6 @@ def raw_file_stream(spark: SparkSession, path: str, pattern: str = "*", per_trig
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(path)
 
 
-def table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
-
-
-def jdbc_table(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, tasks: int, **options: str) -> DataFrame:
-    """A table read by ranges of a numeric key, so that no task reads all of it."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(tasks), **options).load()
-
-
 def operation_log(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the log: lines whose first field is a number; `-` is null. Headers, rules, details and tracebacks are left out."""
     lines = spark.read.text(path)

@@ -64,6 +64,30 @@ VIEWS = {
         SELECT event_id AS request_id, ts AS requested_at, concat('10.0.', user_id % 10, '.', user_id) AS ip_address,
           CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'bn-BD' END AS accept_language, CASE WHEN event_id % 2 = 0 THEN NULL ELSE concat('ck-', user_id) END AS cookie_id
         FROM events""",
+    "contract_forms": """
+        SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 0 THEN '' WHEN p_partkey % 51 = 0 THEN NULL WHEN p_partkey % 53 = 0 THEN repeat('x', 256) ELSE p_name END AS name,
+          CASE WHEN p_partkey % 17 = 0 THEN repeat('0', 51) WHEN p_partkey % 2 = 0 THEN '0170' END AS phone,
+          CASE WHEN p_partkey % 19 = 0 THEN 'no address' WHEN p_partkey % 7 = 0 THEN concat('c', p_partkey, '@example.com') END AS email,
+          CASE WHEN p_partkey % 23 = 0 THEN 0 WHEN p_partkey % 59 = 0 THEN NULL ELSE p_size * 20 END AS total_pages,
+          CAST(CASE WHEN p_partkey % 29 = 0 THEN -1 WHEN p_partkey % 9 = 0 THEN NULL ELSE 5 + p_partkey % 11 END AS DOUBLE) AS unit_price,
+          CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE {plus_days:{day:2024-01-01}|p_partkey % 365} END AS start_date,
+          CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE {plus_days:{day:2024-06-01}|p_partkey % 200} END AS end_date,
+          CAST(CASE WHEN p_partkey % 31 = 0 THEN -5 WHEN p_partkey % 10 = 3 THEN NULL ELSE p_size * 20 * (5 + p_partkey % 11) * (p_partkey % 5) END AS DOUBLE) / 4 AS advance_bill,
+          CASE WHEN p_partkey % 43 = 0 THEN -1 ELSE CAST(p_partkey % 9 AS INT) END AS no_of_documents,
+          CASE p_partkey % 5 WHEN 0 THEN 'paid' WHEN 1 THEN 'partial_paid' WHEN 2 THEN 'due' WHEN 3 THEN CASE WHEN p_partkey % 4 = 0 THEN 'unpaid' END END AS payment_status
+        FROM part""",
+    "payment_forms": """
+        SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN 0 WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderkey % 500 + 1 AS INT) END AS pages,
+          CASE WHEN o_orderkey % 11 = 0 THEN 'x' WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 23 = 0 THEN repeat('n', 101) ELSE concat('Person ', o_custkey) END AS cust_name,
+          CASE WHEN o_orderkey % 7 = 0 THEN '123456' WHEN o_orderkey % 29 = 0 THEN repeat('1', 21) ELSE '01700000000' END AS cust_phone,
+          CASE WHEN o_orderkey % 31 = 0 THEN repeat('a', 256) WHEN o_orderkey % 2 = 0 THEN 'street' END AS cust_address
+        FROM orders""",
+    "account_forms": """
+        SELECT c_custkey AS id, CASE WHEN c_custkey % 13 = 0 THEN 'ab' WHEN c_custkey % 17 = 0 THEN repeat('u', 51) WHEN c_custkey % 19 = 0 THEN NULL ELSE c_name END AS username,
+          CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'a@b' WHEN 2 THEN 'a b@example.com' WHEN 3 THEN concat('x.y+', c_custkey, '@mail.example.org') ELSE concat('u', c_custkey, '@example.com') END AS email,
+          CASE WHEN c_custkey % 23 = 0 THEN repeat('f', 256) WHEN c_custkey % 2 = 0 THEN 'Full' END AS full_name,
+          CASE c_custkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'ENTERPRISE' WHEN 2 THEN 'super_user' WHEN 3 THEN 'user' END AS role
+        FROM customer""",
     "raw_files": """
         SELECT doc_id AS file_id, unhex(concat(CASE doc_id % 10 WHEN 0 THEN '255044462D312E37' WHEN 1 THEN 'FFD8FFE0' WHEN 2 THEN '89504E470D0A1A0A'
             WHEN 3 THEN '474946383961' WHEN 4 THEN '424D' WHEN 5 THEN '524946460000000057454250' WHEN 6 THEN '49492A00'
