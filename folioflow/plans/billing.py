@@ -340,19 +340,21 @@ def j5(t: Tables) -> DataFrame:
     return identity.conflicts(registrations(t), t.users)
 
 
-@query("j6_linked", """WITH l AS (SELECT event_id AS login_id, 'g' || (event_id % 900) AS x, 'u' || (event_id % 2500) || '@example.com' AS m FROM events),
-  g AS (SELECT map_from_entries(list((k, v)) FILTER (k IS NOT NULL)) AS by_id, map_from_entries(list((id, k)) FILTER (k IS NOT NULL)) AS cur, map_from_entries(list((email, id))) AS mail FROM (SELECT id, email, CASE WHEN id % 2 = 0 THEN 'g' || id END AS k, id AS v FROM users)),
-  s AS (SELECT list({'i': login_id, 'x': x, 'm': m} ORDER BY login_id) AS steps FROM l),
-  f AS (SELECT list_reduce(steps, lambda acc, e: CASE WHEN acc.by_id[e.x] IS NOT NULL AND acc.cur[acc.by_id[e.x]] = e.x THEN {'by_id': acc.by_id, 'cur': acc.cur, 'mail': acc.mail, 'out': list_append(acc.out, {'l': e.i, 'a': 'by id', 'u': acc.by_id[e.x]})}
-    WHEN acc.mail[e.m] IS NOT NULL THEN {'by_id': map_concat(acc.by_id, MAP([e.x], [acc.mail[e.m]])), 'cur': map_concat(acc.cur, MAP([acc.mail[e.m]], [e.x])), 'mail': acc.mail, 'out': list_append(acc.out, {'l': e.i, 'a': 'by email', 'u': acc.mail[e.m]})}
-    ELSE {'by_id': map_concat(acc.by_id, MAP([e.x], [-1 - e.i])), 'cur': map_concat(acc.cur, MAP([-1 - e.i], [e.x])), 'mail': map_concat(acc.mail, MAP([e.m], [-1 - e.i])), 'out': list_append(acc.out, {'l': e.i, 'a': 'new', 'u': -1 - e.i})} END,
-    {'by_id': by_id, 'cur': cur, 'mail': mail, 'out': []::STRUCT(l BIGINT, a VARCHAR, u BIGINT)[]}) AS r FROM g, s)
-SELECT o.l AS login_id, o.a AS action, CASE WHEN o.u >= 0 THEN o.u END AS user_id, CASE WHEN o.u < 0 THEN -1 - o.u END AS opened_by FROM (SELECT unnest(r.out) AS o FROM f)""")
+@query("j6_linked", """WITH l AS (SELECT event_id AS login_id, 'g' || (event_id % 900) AS x, 'u' || (event_id % 2500) || '@example.com' AS m, 'Login ' || (event_id % 7) AS nm FROM events),
+  g AS (SELECT map_from_entries(list((k, v)) FILTER (k IS NOT NULL)) AS by_id, map_from_entries(list((id, k)) FILTER (k IS NOT NULL)) AS cur, map_from_entries(list((email, id))) AS mail, map_from_entries(list((id, full_name))) AS nm FROM (SELECT id, email, full_name, CASE WHEN id % 2 = 0 THEN 'g' || id END AS k, id AS v FROM users)),
+  s AS (SELECT list({'i': login_id, 'x': x, 'm': m, 'n': nm} ORDER BY login_id) AS steps FROM l),
+  f AS (SELECT list_reduce(steps, lambda acc, e: CASE WHEN acc.by_id[e.x] IS NOT NULL AND acc.cur[acc.by_id[e.x]] = e.x THEN {'by_id': acc.by_id, 'cur': acc.cur, 'mail': acc.mail, 'nm': acc.nm, 'out': list_append(acc.out, {'l': e.i, 'a': 'by id', 'u': acc.by_id[e.x], 'n': acc.nm[acc.by_id[e.x]]})}
+    WHEN acc.mail[e.m] IS NOT NULL THEN {'by_id': map_concat(acc.by_id, MAP([e.x], [acc.mail[e.m]])), 'cur': map_concat(acc.cur, MAP([acc.mail[e.m]], [e.x])), 'mail': acc.mail,
+      'nm': map_concat(acc.nm, MAP([acc.mail[e.m]], [coalesce(acc.nm[acc.mail[e.m]], e.n)])), 'out': list_append(acc.out, {'l': e.i, 'a': 'by email', 'u': acc.mail[e.m], 'n': coalesce(acc.nm[acc.mail[e.m]], e.n)})}
+    ELSE {'by_id': map_concat(acc.by_id, MAP([e.x], [-1 - e.i])), 'cur': map_concat(acc.cur, MAP([-1 - e.i], [e.x])), 'mail': map_concat(acc.mail, MAP([e.m], [-1 - e.i])), 
+      'nm': map_concat(acc.nm, MAP([-1 - e.i], [e.n])), 'out': list_append(acc.out, {'l': e.i, 'a': 'new', 'u': -1 - e.i, 'n': e.n})} END,
+    {'by_id': by_id, 'cur': cur, 'mail': mail, 'nm': nm, 'out': []::STRUCT(l BIGINT, a VARCHAR, u BIGINT, n VARCHAR)[]}) AS r FROM g, s)
+SELECT o.l AS login_id, o.a AS action, CASE WHEN o.u >= 0 THEN o.u END AS user_id, CASE WHEN o.u < 0 THEN -1 - o.u END AS opened_by, o.n AS full_name FROM (SELECT unnest(r.out) AS o FROM f)""")
 def j6(t: Tables) -> DataFrame:
     text = lambda head, mod, tail="": F.concat(F.lit(head), (F.col("event_id") % mod).cast("string"), F.lit(tail))
     logins = t.events.select(F.col("event_id").alias("login_id"), text("g", 900).alias("external_id"), text("u", 2500, "@example.com").alias("email"), text("Login ", 7).alias("full_name"))
     accounts = t.users.withColumn("google_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("g"), F.col("id").cast("string"))))
-    return identity.linked(logins, accounts).select("login_id", "action", "user_id", "opened_by")
+    return identity.linked(logins, accounts).select("login_id", "action", "user_id", "opened_by", "full_name")
 
 
 @query("j7_free_names", """WITH n AS (SELECT c_custkey AS id, 'name_' || chr((97 + c_custkey % 20)::INT) AS base FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM n),

@@ -194,10 +194,13 @@ def s3(t: Tables) -> DataFrame:
     return rows.select("document_id", "page_number", (F.length("markdown") - tail).cast("long").alias("n_chars"), F.size("tables").alias("n_tables"))
 
 
-@query("x16_page_pipeline", r"""SELECT document_id, page_number, 'Head' || chr(10) || chr(10) || text || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(string_split(text, ' ')[1], chr(10), ' ') || ' and more | '
-  || coalesce(replace(string_split(text, ' ')[2], chr(10), ' '), '-') || ' |' || chr(10) || '![image](/api/v1/ocr/images/ocr_img_' || substr(sha256(document_id || '|' || page_number || '|img-0.png'), 1, 32) || '.png)' AS text FROM page_results""")
+X16 = r"""SELECT document_id, page_number, 'Head' || chr(10) || chr(10) || text || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(string_split(text, ' ')[1], chr(10), ' ') || ' and more | '
+  || coalesce(replace(string_split(text, ' ')[2], chr(10), ' '), '-') || ' |' || chr(10) || '![image](/api/v1/ocr/images/ocr_img_' || substr(sha256(document_id || '|' || page_number || '|img-0.png'), 1, 32) || '.png)' AS text FROM page_results"""
+
+
+@query("x16_page_pipeline", f"WITH x AS ({X16}) SELECT document_id, page_number, text, confidence, length(text) AS character_count FROM {confidence_sql('x', 'document_id, page_number')}")
 def x16(t: Tables) -> DataFrame:
-    return pages.page_pipeline(pages.from_responses(responses(t))).select("document_id", "page_number", "text")
+    return pages.page_pipeline(pages.from_responses(responses(t))).select("document_id", "page_number", "text", "confidence", "character_count")
 
 
 @query("s6_e11_figures", """SELECT document_id, count(*) AS figures, sum(round((8 + octet_length(encode(text))) / 1024, 1)) AS kb FROM page_results GROUP BY document_id""")
