@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import business as b
 from ..sources.shared import written
 from .components import components
+from .ranks import numbered
 
 
 def conflicts(new: DataFrame, users: DataFrame) -> DataFrame:
@@ -92,29 +93,44 @@ def linked(logins: DataFrame, users: DataFrame) -> DataFrame:
     return ordered.mapInPandas(fold, "login_id long, action string, user_id long, opened_by long, full_name string")
 
 
+#: Digits of a suffix at most: longer numbers at a name's end are no suffix that anyone is given.
+DIGITS = 17
+
+
+def suffixes(names: DataFrame, bases: DataFrame) -> DataFrame:
+    """base, suffix of names (username) that are one of the bases (suffix 0) or one with a number of no leading zero."""
+    splits = [F.struct(F.col("username").alias("base"), F.lit(0).cast("long").alias("suffix"))]
+    for n in range(1, DIGITS + 1):
+        tail = F.substring(F.col("username"), -n, n)
+        fits = (F.length("username") > n) & tail.rlike(f"^[1-9][0-9]{{{n - 1}}}$")
+        splits.append(F.when(fits, F.struct(F.expr(f"substring(username, 1, length(username) - {n})").alias("base"), F.try_to_number(tail, F.lit("9" * n)).cast("long").alias("suffix"))))
+    each = names.select(F.explode(F.array_compact(F.array(*splits))).alias("x")).select("x.base", "x.suffix").distinct()
+    return each.join(bases.select("base").distinct(), "base", "left_semi")
+
+
 def free_names(new: DataFrame, taken: DataFrame) -> DataFrame:
     """id, username of (id, base): the first free of base, base1, base2 .. in order of id; taken has `username`.
 
-    The nth new row of a base gets the nth suffix that no one has. Candidates are as many as a base's new rows plus its
-    taken names. Where one base's candidate is another's (ab1 and ab), the earlier id keeps it and the others try again.
+    The nth new row of a base gets the nth suffix that no one has. With the taken suffixes of a base in order, the kth (from
+    0) has its value less k free ones before it: put among the new rows by that number, taken ones first, a new row's place
+    is its suffix. Places are counted range by range (`numbered`), so a base of any size is dealt over many tasks. Where one
+    base's name is another's (ab1 and ab), the earlier id keeps it and the others try again; each round is written once.
     """
     done: DataFrame | None = None
     left = new.select("id", "base")
     while True:
         used = taken.select("username") if done is None else taken.select("username").unionByName(done.select("username"))
-        # Names of a base: itself, or itself and a number.
-        owned = used.withColumn("base", F.explode(F.array_distinct(F.array(F.col("username"), F.regexp_replace("username", "[0-9]+$", ""), F.regexp_replace("username", "[1-9][0-9]*$", "")))))
-        counts = owned.groupBy("base").agg(F.count("*").alias("_t"))
-        ranked = left.withColumn("_n", F.row_number().over(Window.partitionBy("base").orderBy("id")))
-        sizes = ranked.groupBy("base").agg(F.max("_n").alias("_m")).join(counts, "base", "left")
-        tries = sizes.withColumn("_s", F.explode(F.sequence(F.lit(0), (F.col("_m") + F.coalesce("_t", F.lit(0))).cast("int"))))
-        names = tries.select("base", "_s", F.when(F.col("_s") == 0, F.col("base")).otherwise(F.concat("base", F.col("_s").cast("string"))).alias("username"))
-        open_names = names.join(used, "username", "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy("base").orderBy("_s")))
-        given = ranked.join(open_names, ["base", "_n"]).select("id", "base", "username")
-        kept = given.withColumn("_w", F.row_number().over(Window.partitionBy("username").orderBy("id")))
-        won = kept.where("_w = 1").select("id", "username")
+        rows = numbered(left, "base", "id", name="_v").select("base", "_v", F.lit(1).alias("_new"), "id")
+        owned = numbered(suffixes(used, left), "base", "suffix", name="_k")
+        marks = owned.select("base", (F.col("suffix") - F.col("_k")).alias("_v"), F.lit(0).alias("_new"), F.lit(None).cast(left.schema["id"].dataType).alias("id"))
+        placed = numbered(marks.unionByName(rows), "base", "_v", "_new", name="_s").where("_new = 1")
+        name = F.when(F.col("_s") == 0, F.col("base")).otherwise(F.concat("base", F.col("_s").cast("string")))
+        given = written(placed.select("id", "base", name.alias("username")), "names")
+        first = given.groupBy("username").agg(F.min("id").alias("_first"))
+        kept = written(given.join(first, "username").withColumn("_won", F.col("id") == F.col("_first")), "names")
+        won = kept.where("_won").select("id", "username")
         done = won if done is None else done.unionByName(won)
-        left = kept.where("_w > 1").select("id", "base")
+        left = kept.where("not _won").select("id", "base")
         if left.isEmpty():
             return done
 
