@@ -564,9 +564,25 @@ def q3(t: Tables) -> DataFrame:
     return ledgers.trial(requests, devices(t))
 
 
-@query("q4_trial_identities")
+#: Visits one after the other: a device by its fingerprint, else by its cookie, which gives it the new fingerprint, else a new one.
+IDENTITIES = """WITH v AS (SELECT request_id, requested_at, sha256(ip_address || '|' || coalesce(accept_language, 'unknown') || '|unknown') AS f, cookie_id FROM trial_requests),
+  s AS (SELECT list({'i': request_id, 'f': f, 'c': coalesce(cookie_id, '')} ORDER BY requested_at, request_id) AS steps FROM v),
+  r AS (SELECT list_reduce(steps, lambda acc, e: list_transform([{'p': acc.prints[e.f], 'q': acc.cookies[e.c]}], lambda k:
+    CASE WHEN k.p IS NOT NULL THEN {'prints': acc.prints,
+        'cookies': CASE WHEN e.c <> '' AND acc.devices[k.p].c = '' AND k.q IS NULL THEN map_concat(acc.cookies, MAP([e.c], [k.p])) ELSE acc.cookies END,
+        'devices': CASE WHEN e.c <> '' AND acc.devices[k.p].c = '' THEN map_concat(acc.devices, MAP([k.p], [{'f': acc.devices[k.p].f, 'p': acc.devices[k.p].p, 'c': e.c}])) ELSE acc.devices END,
+        'out': list_append(acc.out, {'i': e.i, 'd': acc.devices[k.p].f, 'o': k.p, 'n': false})}
+      WHEN e.c <> '' AND k.q IS NOT NULL THEN {'prints': map_concat(acc.prints, MAP([acc.devices[k.q].p, e.f], [NULL::BIGINT, k.q])), 'cookies': acc.cookies,
+        'devices': map_concat(acc.devices, MAP([k.q], [{'f': acc.devices[k.q].f, 'p': e.f, 'c': acc.devices[k.q].c}])), 'out': list_append(acc.out, {'i': e.i, 'd': acc.devices[k.q].f, 'o': k.q, 'n': false})}
+      ELSE {'prints': map_concat(acc.prints, MAP([e.f], [e.i])), 'cookies': CASE WHEN e.c <> '' THEN map_concat(acc.cookies, MAP([e.c], [e.i])) ELSE acc.cookies END,
+        'devices': map_concat(acc.devices, MAP([e.i], [{'f': e.f, 'p': e.f, 'c': e.c}])), 'out': list_append(acc.out, {'i': e.i, 'd': e.f, 'o': e.i, 'n': true})} END)[1],
+    {'prints': MAP([]::VARCHAR[], []::BIGINT[]), 'cookies': MAP([]::VARCHAR[], []::BIGINT[]), 'devices': MAP([]::BIGINT[], []::STRUCT(f VARCHAR, p VARCHAR, c VARCHAR)[]),
+      'out': []::STRUCT(i BIGINT, d VARCHAR, o BIGINT, n BOOLEAN)[]}) AS a FROM s)
+SELECT o.i AS request_id, o.d AS device, o.o AS opened_by, o.n AS is_new FROM (SELECT unnest(a.out) AS o FROM r)"""
+
+
+@query("q4_trial_identities", IDENTITIES)
 def q4(t: Tables) -> DataFrame:
-    """Held against a plain fold over all visits by a test."""
     return identity.trial_identities(visits(t))
 
 
