@@ -211,8 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, train_documents: int, train_lines:
     texts = docs.select("doc_id", "text", lines.alias("_lines")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     order = [F.xxhash64("_id"), F.col("_id"), F.xxhash64("text")]
     # Rows may repeat a doc_id: bounded once more, then by a running sum over at most train_documents rows.
+    # A text that alone is over the bound is left out, not those after it: the sum runs over the others.
     upto = F.sum("_lines").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    few = texts.orderBy(*order).limit(train_documents).withColumn("_upto", upto).where(F.col("_upto") <= train_lines)
+    few = texts.where(F.col("_lines") <= train_lines).orderBy(*order).limit(train_documents).withColumn("_upto", upto).where(F.col("_upto") <= train_lines)
     rows = few.select("quality", F.col("text").cast("binary").alias("text")).mapInArrow(sampled, "quality int, features binary, lengths binary").collect()
     if not rows:
         return None

@@ -61,6 +61,29 @@ def test_mix_is_near_its_targets(spark):
     assert all(abs(taken[s] - target[s]) < 0.05 * target[s] for s in target)
 
 
+def test_mix_of_null_and_repeated_ids_is_near_its_targets(spark):
+    """Rows without a doc_id, and rows that are all equal, draw one by one."""
+    texts = ["w " * 20 + str(i % 50) for i in range(1500)]
+    rows = [(None, t, "en", "s0", 0) for t in texts] + [(7, "same " * 21, "en", "s1", 0)] * 1500 + [(i, t, "en", "s2", 0) for i, t in enumerate(texts)]
+    for seed in (17, 18, 19):
+        taken, target = Counter(), {}
+        for g in mixing.mix_plan(frame(spark, rows).repartition(7), seed=seed).collect():
+            taken[g["source"]] += g["_copies"] * g["_size"]
+            target[g["source"]] = g["_target"]
+        assert all(abs(taken[s] - target[s]) < 0.06 * target[s] for s in target)
+    again = [sorted((g["source"], g["_copies"]) for g in mixing.mix_plan(frame(spark, rows).repartition(n)).collect()) for n in (3, 8)]
+    assert again[0] == again[1], "whatever task reads a row"
+
+
+def test_quality_learns_past_a_text_over_the_line_bound(spark):
+    r = random.Random(12)
+    rows = [(i, "\n".join(sentence(r, 12) for _ in range(3)) if i % 2 else "\n".join("x1 x1 x1 # # #" for _ in range(3)), "en", "s", 0) for i in range(400)]
+    rows += [(1000 + i, "\n".join(["long line here"] * 30), "en", "s", 0) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    got = line_quality.score_quality(frame(spark, rows), labels, train_lines=20).collect()
+    assert len({g["score"] for g in got}) > 1, "texts that are too long are left out, the others are learned from"
+
+
 def base_private(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
