@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is wr
 the next one's docs. All but the last return the columns of documents.
 
 Defined cases are those of the operators. Rows that repeat doc_id and text share every decision, but for
-the join of near copies, which keeps one of them.
+the join of near copies, which keeps one of them (any, if their other columns differ), and the mix, which draws row by row.
+Extra columns of any type and name pass all stages but the last and are never read.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = away.where("stays")
     once = docs.join(common.broadcast_if(away, n_away, jaccard.BROADCAST_IDS), match(away), "left_anti")
     again = docs.join(common.broadcast_if(repeated, n_away, jaccard.BROADCAST_IDS), match(repeated), "left_semi")
-    one_each = again.groupBy(F.col("doc_id"), F.xxhash64("text").alias(key)).agg(F.min(F.struct(*docs.columns)).alias(place)).select(f"{place}.*")
+    # Any of them: columns that can't be ordered, such as maps, may be among the others.
+    one_each = again.groupBy(F.col("doc_id"), F.xxhash64("text").alias(key)).agg(F.first(F.struct(*docs.columns)).alias(place)).select(f"{place}.*")
     return once.unionByName(one_each)
 
 

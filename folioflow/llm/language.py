@@ -6,9 +6,9 @@ the longest down: the first length of which any n-gram is known scores by the me
 language is the one of the highest sum.
 
 Frequencies are counted by Spark over at most `train_documents` documents of each language, the first in order of a hash
-of doc_id; the model keeps the `most_words` most frequent words and `most_grams` n-grams of each language, with their
-counts in all languages, and is broadcast. It grows with the number of languages, not with the corpus.
-All documents are scored whole.
+of doc_id; the model keeps every word and n-gram of that sample, with its counts in all languages, and is broadcast: words as
+sorted hashes, n-grams as places in one table of numbers. It grows with the number of languages, not with the corpus.
+All documents are scored whole. Rows without a doc_id are not learned from, as the sample goes by doc_id.
 
 Defined cases: text that is null or has no letters is `und` with score 0. A null lang is not learned from; without any
 language every text is `und`. Ties go to the language first in code point order. A repeated doc_id is scored in
@@ -143,14 +143,16 @@ class Model:
         hashes = Words(list(raw[0])).hashes
         order = np.argsort(hashes)
         self.known, self.word_logs = hashes[order], tables[0][order]
-        self.grams = [{}, *[dict(zip(t, map(tuple, x.tolist()), strict=True)) for t, x in zip(raw[1:], tables[1:], strict=True)]]
+        #: By length: where the rows of an n-gram are in gram_logs.
+        self.grams = [{}, *[dict(zip(t, range(len(t)), strict=True)) for t in raw[1:]]]
+        self.gram_logs = tables
 
     def unseen(self, word: str) -> tuple:
         """The mean of a word's known n-grams of the longest length of which there are any; zeros if there are none."""
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             table = self.grams[n]
             if hits := [table[g] for g in grams(word, n) if g in table]:
-                return tuple(sum(x) / len(hits) for x in zip(*hits, strict=True))
+                return tuple(self.gram_logs[n][hits].mean(axis=0).tolist())
         return (0.0,) * len(self.langs)
 
     def languages(self, texts: list[str | None], cached: dict[int, tuple]) -> list[tuple[str, float]]:
@@ -198,7 +200,7 @@ def first_of(df: DataFrame, key: list[str], coarse: Column, fine: list[Column],
     return placed.where(F.col("_before") + F.col("_place") <= most).select(*df.columns)
 
 
-def train(docs: DataFrame, train_documents: int, most_words: int, most_grams: int) -> Model:
+def train(docs: DataFrame, train_documents: int) -> Model:
     usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null").where(split_of(F.col("doc_id"), 3) != 1)
     ids = usable.select("doc_id", "lang").where("doc_id is not null").distinct().withColumn("h", F.xxhash64("doc_id"))
     chosen = written(first_of(ids, ["lang"], F.shiftright("h", 52), [F.col("h"), F.col("doc_id")], F.lit(train_documents)).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "chosen")
@@ -206,11 +208,7 @@ def train(docs: DataFrame, train_documents: int, most_words: int, most_grams: in
     sample = usable.join(side, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
     known = written(sample.mapInArrow(counted, "lang string, word string, count long").groupBy("lang", "word").agg(F.sum("count").alias("count")), "words")
     counts = written(known.mapInArrow(spelled, "lang string, n int, piece string, count long").groupBy("lang", "n", "piece").agg(F.sum("count").alias("count")), "pieces")
-    # The most frequent pieces of each language; of pieces of equal counts the first in order of a hash.
-    ranked = counts.withColumns({"kind": F.when(F.col("n") == 0, 0).otherwise(1), "h": F.xxhash64("n", "piece")})
-    most = F.when(F.col("kind") == 0, most_words).otherwise(most_grams)
-    top = first_of(ranked, ["lang", "kind"], F.struct(-F.col("count"), F.shiftright("h", 54)), [F.col("h"), F.col("piece"), F.col("n")], most)
-    return Model(counts.join(top.select("n", "piece").distinct(), ["n", "piece"]).select("lang", "n", "piece", "count").collect())
+    return Model(counts.collect())  # all pieces of a bounded sample
 
 
 def identifier(model):
@@ -225,11 +223,11 @@ def identifier(model):
     return identify
 
 
-def identify_language(docs: DataFrame, train_documents: int = 5000, most_words: int = 60_000, most_grams: int = 100_000) -> DataFrame:
+def identify_language(docs: DataFrame, train_documents: int = 2000) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    model = spark.sparkContext.broadcast(train(docs, train_documents, most_words, most_grams))
+    model = spark.sparkContext.broadcast(train(docs, train_documents))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = texts.mapInArrow(identifier(model), "doc_id long, lang_pred string, score double")
     return scored.select("doc_id", (split_of(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")

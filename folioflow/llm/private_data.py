@@ -12,7 +12,7 @@ between aggregated tables and the edges, by pattern or instance. Patterns are ne
 
 Defined cases: null text counts as empty. A row is known by doc_id and a 64-bit hash of its text; rows that repeat both
 have the same spans. Contexts reach CONTEXT characters to each side; base spans have no such bound. An empty table
-gives an empty result.
+gives an empty result. Very long texts are searched whole. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ Base spans are those of the three rules `assign`, `access` and `hex`; `more_rule
 
 Defined cases: null text counts as empty and has no spans. A row is known by doc_id and a 64-bit hash of its text, so
 rows that repeat both have the same spans. An empty table gives an empty result. Texts are searched whole.
+Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ attempt that was committed are kept. Files are written and read through pyarrow'
 shared folder.
 
 Defined cases: null or empty text is a record with the end id alone. A null doc_id comes first in order. Rows that
-repeat a doc_id each get a record, one after another. An empty table gives an empty index.
+repeat a doc_id each get a record, one after another. A very long text is one record, encoded word by word. An empty table
+gives an empty index. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

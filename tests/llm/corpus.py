@@ -43,6 +43,8 @@ def saved(tmp_path, spark, rows, labels=(), benchmark=(), clashing=False) -> str
     frame(spark, rows, clashing).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    turns = [(d[0], k, ("user", "assistant")[k % 2], text) for d in rows for k, text in enumerate([d[1], "Yes."])]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     return str(tmp_path)
 
 

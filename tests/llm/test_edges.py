@@ -10,7 +10,7 @@ from folioflow.llm import queries
 from .corpus import edges, frame, plain, saved
 
 QUERIES = queries.queries()
-ONE_A_DOCUMENT = sorted(set(QUERIES) - {"op10_decontaminate"})
+ONE_A_DOCUMENT = sorted(set(QUERIES) - {"op10_decontaminate", "op11_conversation_repair", "op12_collocations"})
 LABELS = [(i, i % 2, 0) for i in range(4, 14)] + [(None, 1, 0), (6, None, 0), (5, 0, 1)]
 BENCHMARK = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (None, ""), (3, "short item")]
 
@@ -45,6 +45,17 @@ def test_stage(spark, folders, stage, kind):
     out.collect()
 
 
+def test_near_copies_with_columns_that_have_no_order(spark, folders):
+    """Extra columns of any type pass the stages; of equal rows one stays."""
+    docs = frame(spark, plain(6, 9) + [(50, plain(1, 9)[0][1], "en", "s", 0)] * 3).selectExpr("*", "map('k', doc_id) AS labels", "named_struct('a', map(1, 2)) AS deep")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["n-gram Jaccard join"](spark, docs, folders["unlabelled"])
+    assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect()) == [0, 1, 2, 3, 4, 5]
+    alone = docs.where("doc_id = 50")
+    assert stages["n-gram Jaccard join"](spark, alone, folders["unlabelled"]).count() == 1
+    assert stages["mixing sources to target weights"](spark, docs, folders["unlabelled"]).columns == docs.columns
+
+
 def test_defined_results(spark, folders):
     by = lambda name: {(r["doc_id"]): r for r in QUERIES[name](spark, folders["edges"]).collect()}
     assert by("op1_mix_sources")[1]["size"] == 0
