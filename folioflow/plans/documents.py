@@ -126,9 +126,10 @@ def x19(t: Tables) -> DataFrame:
     return pages.token_confidence(tokens, tokens)
 
 
-@query("x20_x21_blend_preview", f"""SELECT id, 0.6 * confidence + 0.4 * 90.0 AS blend, CASE WHEN length(text) > 40 THEN substr(text, 1, 37) || '...' ELSE text END AS preview FROM {confidence_sql('ocr_documents', 'id', 'extracted_text')}""")
+@query("x20_x21_blend_preview", f"""SELECT id, 0.6 * confidence + 0.4 * 90.0 AS blend, CASE WHEN length(text) > 40 THEN substr(text, 1, 37) || '...' ELSE text END AS preview,
+  CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '...' ELSE text END AS description FROM {confidence_sql('ocr_documents', 'id', 'extracted_text')}""")
 def x20(t: Tables) -> DataFrame:
-    return t.ocr_documents.select("id", text.blend(text.page_confidence(F.col("extracted_text")), F.lit(90.0)).alias("blend"), text.preview(F.col("extracted_text")).alias("preview"))
+    return t.ocr_documents.select("id", text.blend(text.page_confidence(F.col("extracted_text")), F.lit(90.0)).alias("blend"), text.preview(F.col("extracted_text")).alias("preview"), text.preview(F.col("extracted_text"), 180, 180).alias("description"))
 
 
 E9 = f"""(SELECT document_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number, text) AS text, round(avg(confidence), 2) AS confidence, count(*) AS total_pages,
@@ -150,6 +151,11 @@ def b15(t: Tables) -> DataFrame:
     return d.select("id", text.operation_class(F.col("id") % 19 == 0, conf).alias("class"), text.is_slow(time, F.col("total_pages")).alias("slow"), text.is_concern(time, conf).alias("concern"), text.has_little_text(F.col("extracted_text")).alias("little"))
 
 
+@query("b16_large_files", "SELECT request_id, file_size > 10485760 AS large FROM ocr_requests")
+def b16_large(t: Tables) -> DataFrame:
+    return t.ocr_requests.select("request_id", text.is_large(F.col("file_size")).alias("large"))
+
+
 @query("b18_replies", f"""WITH p AS (SELECT document_id, page_number, text, confidence, length(text) AS n FROM {confidence_sql('page_results', 'document_id, page_number')}),
   d AS (SELECT document_id, count(*) AS pages, round(avg(confidence), 2) AS confidence, CASE WHEN document_id % 3 = 0 THEN string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number, text) ELSE string_agg(text, chr(10) || chr(10) ORDER BY page_number, text) END AS plain,
     list({{'page_number': page_number, 'confidence': confidence, 'character_count': n, 'text': text}} ORDER BY page_number, text) AS listed, sum(n)::BIGINT AS characters FROM p GROUP BY document_id)
