@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The free tier and the price of a page.
 FREE_LIMIT, PAGE_COST, TRIAL_LIMIT = 3, 10, 3
+#: Roles and their ranks, states of contracts, words that a gateway uses for paid.
 PRIVILEGED = ("admin", "super_user")
 RANKS = {"user": 1, "admin": 2, "super_user": 3}
 ENTERPRISE_STATUS = ("paid", "partial_paid", "due")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Patterns that are blanked in turn to get plain text.
 MARKDOWN = (r"!\[[^\]]*\]\([^)]*\)", r"\[[^\]]*\]\([^)]*\)", r"```[\s\S]*?```", r"`[^`]+`", r"[#*_~|<>{}\\\-=+]")
-#: White space as Python's: ASCII, Unicode's, and the four separators.
+#: White space as Python's: ASCII, Unicode's, and the four separators.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: Characters that count as broken.
 BAD = r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]"
 #: Language names by code.
 LANGUAGES = {
@@ -17,6 +18,7 @@ LANGUAGES = {
     "pl": "polish", "pt": "portuguese", "ru": "russian", "es": "spanish", "sv": "swedish", "th": "thai", "tr": "turkish", "uk": "ukrainian",
     "ur": "urdu", "vi": "vietnamese",
 }
+#: Limits of low confidence, slow work in seconds, large files in MB, little text in characters.
 LOW, SLOW_S, LARGE_MB, LITTLE = 80.0, 10.0, 10, 10
 
 

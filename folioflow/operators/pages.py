@@ -154,6 +154,7 @@ def replies(pages: DataFrame, documents: DataFrame) -> DataFrame:
     page = lambda number, confidence, count, words: F.struct(number.alias("page_number"), confidence.alias("confidence"), count.alias("character_count"), words.alias("text"))
     listed = F.when(several, F.transform("_p", lambda x: page(x["page_number"], x["confidence"], x["character_count"], x["text"]))).otherwise(F.array(page(F.lit(1), F.col("confidence"), F.length("plain"), F.col("plain"))))
     total = F.when(several, F.aggregate("_p", F.lit(0), lambda acc, x: acc + x["character_count"])).otherwise(F.length("plain"))
+    # The sentences of a summary.
     details = F.when(several, F.concat(F.col("n").cast("string"), F.lit(" pages processed with "), "shown", F.lit("% average confidence"))).otherwise(F.concat(F.lit("1 page processed with "), "shown", F.lit("% confidence")))
     summary = F.struct(F.col("n").alias("total_pages"), F.col("confidence").alias("average_confidence"), total.alias("total_characters"), details.alias("processing_details"))
     document = F.struct(F.col("plain").alias("text"), "confidence", F.col("n").alias("pages"), "languages", "mode", "engine", F.when(several, F.col("_p")).alias("pages_data"))

@@ -129,13 +129,15 @@ def test_live_settlement_and_counters(spark, tmp_path):
     users = spark.createDataFrame([(7,), (8,)], "id long")
     calls = [(1, "a", "Failed", None), (2, "a", " success ", 50.0), (3, "a", "success", 50.0), (4, "b", "success", None), (5, "c", "1", 49.0), (6, "c", "odd", None), (7, "zz", "success", None), (8, "d", "\tsuccess\n", 50.0)]
     df = spark.createDataFrame([(i, n, s, a, START + datetime.timedelta(minutes=i)) for i, n, s, a in calls], "callback_id long, invoice_number string, reported_status string, reported_amount double, received_at timestamp_ntz")
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    # Three batches: a settlement of one batch makes duplicates of later ones.
+    for n in range(0, len(calls), 3):
+        df.where(f"callback_id > {n} and callback_id <= {n + 3}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     live.run_available(live.settled(stream, payments, users), f"{tmp_path}/out", f"{tmp_path}/state")
     got = {r["callback_id"]: r["outcome"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {r["callback_id"]: r["outcome"] for r in ledgers.settled(df, payments, users).collect()}
     assert got == {1: "failed", 2: "success", 3: "duplicate", 4: "duplicate", 5: "amount mismatch", 6: "cancelled", 7: "not found", 8: "no user"}
-    docs = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in").withColumn("total_pages", F.lit(2))
+    docs = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("total_pages", F.lit(2))
     live.run_available(live.counters(docs, "invoice_number"), f"{tmp_path}/counts", f"{tmp_path}/state2", "update")
     changed = spark.read.parquet(f"{tmp_path}/counts")
     assert {r["invoice_number"]: r["pages"] for r in live.newest(changed, "invoice_number").collect()} == {"a": 6, "b": 2, "c": 4, "zz": 2, "d": 2}
