@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -133,18 +134,27 @@ def logs(counts: np.ndarray) -> np.ndarray:
 class Model:
     """Log frequencies by language: of words by sorted hashes, of n-grams by their text."""
 
-    def __init__(self, rows):
-        self.langs = sorted({r["lang"] for r in rows})
+    def __init__(self, rows: Iterable[dict], langs: list[str] | None = None):
+        rows = rows if langs else list(rows)
+        self.langs = sorted(langs or {r["lang"] for r in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        raw: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        # By length: where a piece's row is, and the cells (row, language, count) of its table.
+        raw: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        cells = [array("q") for _ in range(LONGEST + 1)]
         for r in rows:
-            raw[r["n"]].setdefault(r["piece"], np.zeros(len(self.langs)))[at[r["lang"]]] += r["count"]
-        tables = [logs(np.array(list(t.values()))) if t else np.zeros((0, len(self.langs))) for t in raw]
+            n = r["n"]
+            cells[n].extend((raw[n].setdefault(r["piece"], len(raw[n])), at[r["lang"]], r["count"]))
+        tables = []
+        for places, flat in zip(raw, cells, strict=True):
+            row, lang, count = np.array(flat, np.int64).reshape(-1, 3).T
+            table = np.zeros((len(places), len(self.langs)))
+            np.add.at(table, (row, lang), count)
+            tables.append(logs(table) if places else table)
         hashes = Words(list(raw[0])).hashes
         order = np.argsort(hashes)
         self.known, self.word_logs = hashes[order], tables[0][order]
         #: By length: where the rows of an n-gram are in gram_logs.
-        self.grams = [{}, *[dict(zip(t, range(len(t)), strict=True)) for t in raw[1:]]]
+        self.grams = [{}, *raw[1:]]
         self.gram_logs = tables
 
     def unseen(self, word: str) -> tuple:
@@ -208,7 +218,9 @@ def train(docs: DataFrame, train_documents: int) -> Model:
     sample = usable.join(side, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
     known = written(sample.mapInArrow(counted, "lang string, word string, count long").groupBy("lang", "word").agg(F.sum("count").alias("count")), "words")
     counts = written(known.mapInArrow(spelled, "lang string, n int, piece string, count long").groupBy("lang", "n", "piece").agg(F.sum("count").alias("count")), "pieces")
-    return Model(counts.collect())  # all pieces of a bounded sample
+    langs = [r["lang"] for r in counts.select("lang").distinct().collect()]
+    found = counts.select("lang", "n", "piece", "count").toArrow()  # all pieces of a bounded sample
+    return Model((r for batch in found.to_batches(max_chunksize=5000) for r in batch.to_pylist()), langs)
 
 
 def identifier(model):
@@ -223,7 +235,7 @@ def identifier(model):
     return identify
 
 
-def identify_language(docs: DataFrame, train_documents: int = 2000) -> DataFrame:
+def identify_language(docs: DataFrame, train_documents: int = 500) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score."""
     spark = docs.sparkSession
     arrow_batches(spark)
