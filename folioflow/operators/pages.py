@@ -123,13 +123,18 @@ def page_pipeline(pages: DataFrame, base_url: str = "") -> DataFrame:
     return finished(with_figures(with_tables(pages, table_rows), figures(image_rows, base_url)))
 
 
+def mean_confidence(digits: int) -> Column:
+    """Mean confidence, summed and rounded (half up) as decimals: doubles would leave ties to the order of their sum."""
+    return F.round(F.avg(F.col("confidence").cast("decimal(18,6)")), digits).cast("double")
+
+
 def assembled(pages: DataFrame, separator: str = "\n\n---\n\n", digits: int | None = 2) -> DataFrame:
     """One row a document of `PAGE, text, confidence`: text in page order, mean confidence, pages, character totals."""
-    mean = F.coalesce(F.avg("confidence"), F.lit(0.0))
+    mean = F.coalesce(F.avg("confidence") if digits is None else mean_confidence(digits), F.lit(0.0))
     ordered = F.array_sort(F.collect_list(F.struct("page_number", "text")))
     return (
         pages.groupBy("document_id")
-        .agg(ordered.alias("_p"), (F.round(mean, digits) if digits is not None else mean).alias("confidence"), F.count("*").alias("total_pages"), F.sum(F.length("text")).cast("long").alias("page_characters"))
+        .agg(ordered.alias("_p"), mean.alias("confidence"), F.count("*").alias("total_pages"), F.sum(F.length("text")).cast("long").alias("page_characters"))
         .withColumn("text", F.array_join(F.transform("_p", lambda p: F.coalesce(p["text"], F.lit(""))), separator))
         .select("document_id", "text", "confidence", "total_pages", "page_characters", F.length("text").cast("long").alias("stored_characters"))
     )
@@ -148,9 +153,9 @@ def replies(pages: DataFrame, documents: DataFrame) -> DataFrame:
     of the whole text, and the document has no page list.
     """
     p = F.array_sort(F.collect_list(F.struct("page_number", "text", F.round("confidence", 2).alias("confidence"), F.length("text").alias("character_count"))))
-    whole = pages.groupBy("document_id").agg(p.alias("_p"), F.avg("confidence").alias("_c")).join(documents, "document_id")
+    whole = pages.groupBy("document_id").agg(p.alias("_p"), mean_confidence(2).alias("confidence")).join(documents, "document_id")
     several = F.size("_p") > 1
-    docs = whole.select("*", F.expr("array_join(transform(_p, x -> x.text), separator)").alias("plain"), F.round("_c", 2).alias("confidence"), F.size("_p").alias("n"), F.format_string("%.2f", F.round("_c", 2)).alias("shown"))
+    docs = whole.select("*", F.expr("array_join(transform(_p, x -> x.text), separator)").alias("plain"), F.size("_p").alias("n"), F.format_string("%.2f", "confidence").alias("shown"))
     page = lambda number, confidence, count, words: F.struct(number.alias("page_number"), confidence.alias("confidence"), count.alias("character_count"), words.alias("text"))
     listed = F.when(several, F.transform("_p", lambda x: page(x["page_number"], x["confidence"], x["character_count"], x["text"]))).otherwise(F.array(page(F.lit(1), F.col("confidence"), F.length("plain"), F.col("plain"))))
     total = F.when(several, F.aggregate("_p", F.lit(0), lambda acc, x: acc + x["character_count"])).otherwise(F.length("plain"))

@@ -24,6 +24,8 @@ def confidence_sql(source: str, keys: str, column: str = "text") -> str:
       FROM (SELECT {keys}, {column} AS t, {PLAIN.format(column)} AS p FROM {source}))"""
 
 
+#: Mean of page confidences, which have two digits, rounded half up: in whole hundredths, as a mean of doubles leaves ties to the order of their sum.
+MEAN = "CAST((2 * sum(CAST(round(confidence * 100) AS BIGINT)) + count(confidence)) // (2 * count(confidence)) AS DOUBLE) / 100"
 SNIFF = """CASE WHEN octet_length(content) < 10 THEN 'unknown' WHEN starts_with(h, '25504446') THEN 'pdf'
   WHEN starts_with(h, 'FFD8FF') OR starts_with(h, '89504E47') OR starts_with(h, '474946383761') OR starts_with(h, '474946383961') OR starts_with(h, '424D')
     OR starts_with(h, '49492A00') OR starts_with(h, '4D4D002A') OR (starts_with(h, '52494646') AND contains(h, '57454250')) THEN 'image' ELSE 'unknown' END"""
@@ -132,7 +134,7 @@ def x20(t: Tables) -> DataFrame:
     return t.ocr_documents.select("id", text.blend(text.page_confidence(F.col("extracted_text")), F.lit(90.0)).alias("blend"), text.preview(F.col("extracted_text")).alias("preview"), text.preview(F.col("extracted_text"), 180, 180).alias("description"))
 
 
-E9 = f"""(SELECT document_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number, text) AS text, round(avg(confidence), 2) AS confidence, count(*) AS total_pages,
+E9 = f"""(SELECT document_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number, text) AS text, {MEAN} AS confidence, count(*) AS total_pages,
   sum(length(text))::BIGINT AS page_characters FROM {confidence_sql('page_results', 'document_id, page_number')} GROUP BY document_id)"""
 
 
@@ -157,7 +159,7 @@ def b16_large(t: Tables) -> DataFrame:
 
 
 @query("b18_replies", f"""WITH p AS (SELECT document_id, page_number, text, confidence, length(text) AS n FROM {confidence_sql('page_results', 'document_id, page_number')}),
-  d AS (SELECT document_id, count(*) AS pages, round(avg(confidence), 2) AS confidence, CASE WHEN document_id % 3 = 0 THEN string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number, text) ELSE string_agg(text, chr(10) || chr(10) ORDER BY page_number, text) END AS plain,
+  d AS (SELECT document_id, count(*) AS pages, {MEAN} AS confidence, CASE WHEN document_id % 3 = 0 THEN string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number, text) ELSE string_agg(text, chr(10) || chr(10) ORDER BY page_number, text) END AS plain,
     list({{'page_number': page_number, 'confidence': confidence, 'character_count': n, 'text': text}} ORDER BY page_number, text) AS listed, sum(n)::BIGINT AS characters FROM p GROUP BY document_id)
 SELECT document_id, plain, pages, languages, mode, engine, length(plain) AS characters, pages > 1 AS has_pages, confidence,
   CASE WHEN pages > 1 THEN characters ELSE length(plain) END AS total_characters, CASE WHEN pages > 1 THEN listed[len(listed)].text ELSE plain END AS last_text, CASE WHEN pages > 1 THEN listed[1].confidence ELSE confidence END AS first_confidence,

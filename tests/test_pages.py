@@ -106,3 +106,12 @@ def test_languages_of_whole_texts(spark):
     docs = spark.createDataFrame([(1, one + other), (2, one)], "document_id long, text string")
     got = {r["document_id"]: (sorted(r["languages"]), r["mode"]) for r in pages.detected_languages(docs, pages.language_shares(docs, profiles)).collect()}
     assert got == {1: (["aa", "bb"], "mixed"), 2: (["aa"], "aa")}
+
+
+def test_mean_confidence_of_a_tie(spark):
+    """93.825 is half up 93.83, though the sum of the two doubles is a little less."""
+    rows = spark.createDataFrame([(1, 1, "a", 93.80), (1, 2, "b", 93.85)], "document_id long, page_number int, text string, confidence double")
+    facts = spark.createDataFrame([(1, ["en"], "english", "x", "\n")], "document_id long, languages array<string>, mode string, engine string, separator string")
+    reply = pages.replies(rows, facts).first()
+    assert '"average_confidence":93.83' in reply["by_page"] and "with 93.83%" in reply["by_page"] and '"confidence":93.83,"pages"' in reply["document"]
+    assert pages.assembled(rows).first()["confidence"] == 93.83
