@@ -15,6 +15,8 @@ from ..sources.shared import written
 
 #: Rows of a language profile (a gram and a number for each language) up to which it is broadcast.
 BROADCAST_GRAMS = 1_000_000
+#: Rows of pages and tokens that a task takes, about.
+TASK_ROWS = 1_000_000
 PAGE = ["document_id", "page_number"]
 #: Links that are no images, and image references.
 TABLE_LINK = r"(?<!!)\[([^\]]+)\]\(([^)\s]+)\)"
@@ -141,9 +143,15 @@ def assembled(pages: DataFrame, separator: str = "\n\n---\n\n", digits: int | No
 
 
 def token_confidence(pages: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Mean confidence of tokens above 0, in per cent with two digits; 99.0 for pages without one."""
-    means = tokens.where("confidence > 0").groupBy(*PAGE).agg(F.round(F.avg("confidence") * 100, 2).alias("_c"))
-    return pages.select(*PAGE).distinct().join(means, PAGE, "left").select(*PAGE, F.coalesce("_c", F.lit(99.0)).alias("confidence"))
+    """Mean confidence of tokens above 0, in per cent with two digits; 99.0 for pages without one.
+
+    Pages and tokens are dealt by page to tasks of some TASK_ROWS rows and meet in one aggregate, so a task's memory is
+    bounded by that number, whatever the size of the input.
+    """
+    rows = pages.select(*PAGE, F.lit(True).alias("_page"), F.lit(None).cast("double").alias("_c")).unionByName(tokens.where("confidence > 0").select(*PAGE, F.lit(False).alias("_page"), F.col("confidence").alias("_c")))
+    dealt = rows.repartition((pages.count() + tokens.count()) // TASK_ROWS + 1, *PAGE)
+    met = dealt.groupBy(*PAGE).agg(F.max("_page").alias("_page"), F.round(F.avg("_c") * 100, 2).alias("_c"))
+    return met.where("_page").select(*PAGE, F.coalesce("_c", F.lit(99.0)).alias("confidence"))
 
 
 def replies(pages: DataFrame, documents: DataFrame) -> DataFrame:

@@ -115,3 +115,11 @@ def test_mean_confidence_of_a_tie(spark):
     reply = pages.replies(rows, facts).first()
     assert '"average_confidence":93.83' in reply["by_page"] and "with 93.83%" in reply["by_page"] and '"confidence":93.83,"pages"' in reply["document"]
     assert pages.assembled(rows).first()["confidence"] == 93.83
+
+
+def test_token_confidence_bounds_the_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(pages, "TASK_ROWS", 50)
+    tokens = spark.createDataFrame([(i // 4, i % 4, 0.0 if i % 4 == 3 else 0.5) for i in range(400)], "document_id long, page_number int, confidence double")
+    found = pages.token_confidence(tokens, tokens)
+    assert found.rdd.getNumPartitions() == 17, "800 rows of pages and tokens, of which AQE joins no two parts"
+    assert sorted(map(tuple, found.collect())) == [(i // 4, i % 4, 99.0 if i % 4 == 3 else 50.0) for i in range(400)]
