@@ -185,6 +185,35 @@ def test_seating_follows_the_restaurant(monkeypatch):
     assert mean_tables() == pytest.approx(total / rounds, rel=0.08)
 
 
+def test_each_step_seats_all_customers(monkeypatch):
+    """Tables of dishes of many customers against all their seatings: the mean, and the spread that one customer a step can't reach."""
+    c, d, parent, copies = [60, 45], 0.8, [0.3, 0.05], 2000
+    s = [[0.0] * 62 for _ in range(62)]
+    s[1][1] = 1.0
+    for n in range(1, 61):
+        for k in range(1, n + 2):
+            s[n + 1][k] = s[n][k - 1] + (n - d * k) * s[n][k]
+    weights = np.array([[math.exp(math.log(s[c[0]][i]) + math.log(s[c[1]][j]) + i * math.log(d * parent[0]) + j * math.log(d * parent[1]) + math.lgamma(pitman_yor.THETA / d + i + j)) for j in range(1, c[1] + 1)] for i in range(1, c[0] + 1)])
+    weights /= weights.sum()
+    monkeypatch.setattr(pitman_yor, "SAMPLES", 1)
+    monkeypatch.setattr(pitman_yor, "BURN", 20)
+    got = pitman_yor.seated(np.tile(c, copies), np.repeat(np.arange(copies), 2), np.ones(copies), np.tile(parent, copies), d, 1).reshape(copies, 2)
+    for dish, p in enumerate((weights.sum(axis=1), weights.sum(axis=0))):
+        t = np.arange(1, c[dish] + 1)
+        mean = (p * t).sum()
+        assert got[:, dish].mean() == pytest.approx(mean, rel=0.05)
+        assert got[:, dish].std() == pytest.approx(math.sqrt((p * t * t).sum() - mean**2), rel=0.1)
+
+
+@pytest.mark.parametrize("x", [0.01, 3, 100, 1000, 3000, 1e5])
+def test_tables_beyond_the_lists(x):
+    """The saddle point's draws against draws from the listed weights, of 2,500 customers."""
+    n, copies, d = 2500, 3000, 0.7
+    exact = pitman_yor.listed(pitman_yor.stirling(np.array([n]), d)[n], np.full(copies, math.log(x)), np.random.default_rng(1))
+    near = pitman_yor.saddle(np.full(copies, n), np.full(copies, float(x)), d, np.random.default_rng(2))
+    assert near.mean() == pytest.approx(exact.mean(), rel=0.01, abs=0.1) and near.std() == pytest.approx(exact.std(), rel=0.1, abs=0.05)
+
+
 def test_model_beats_unigrams_on_held_out_text(spark):
     r = random.Random(6)
     follows = {w: [f"t{(7 * w + k) % 50}" for k in range(3)] for w in range(50)}
