@@ -47,7 +47,7 @@ BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
 LONGEST = 3
 #: Bytes of text in a buffer, fingerprints in a shard, and bits of the filter.
-BUFFER, SHARD, FILTER_BITS = 8 << 20, 1 << 20, 27
+BUFFER, SHARD, FILTER_BITS = 4 << 20, 1 << 20, 27
 #: Rows of a table of parts up to which it is broadcast.
 BROADCAST_PARTS = 200_000
 UNKNOWN = "und"
@@ -137,6 +137,7 @@ def frequent(docs: DataFrame, chosen, bits: int, least: int) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in buffers(batches):
             prints, counts = counted(chosen(buffer))
+            buffer = None  # not kept while the next one is made
             if not len(prints):
                 continue
             edges = np.searchsorted(prints, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
@@ -146,6 +147,7 @@ def frequent(docs: DataFrame, chosen, bits: int, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array(filled, pa.int32()), pa.array([prints[s].tobytes() for s in slices], pa.binary()), pa.array([counts[s].astype(np.uint32).tobytes() for s in slices], pa.binary()),
             ], names=["shard", "prints", "counts"])
+            prints = counts = None
 
     def summed(table: pa.Table) -> pa.Table:
         both = zip(table.column("prints").to_pylist(), table.column("counts").to_pylist(), strict=True)
@@ -242,10 +244,12 @@ def phrase_counts(docs: DataFrame, least: int = 10) -> DataFrame:
     every = spark.sparkContext.broadcast(filter_of(spark, one_and_two.unionByName(three)))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
         for buffer in buffers(batches):
             for part in spelled(buffer, every.value):
                 for a in range(0, part.num_rows, 100_000):
                     yield part.slice(a, 100_000)
+            buffer = part = None
 
     found = texts.mapInArrow(tidy(spell), "lang string, n_words int, phrase string, f long").groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
     kept = written(found.where((F.col("f") >= least) | (F.col("n_words") == 0)), "phrases")

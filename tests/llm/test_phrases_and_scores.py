@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioflow.llm import collocations, pitman_yor, queries
@@ -91,6 +92,17 @@ def test_collocations_survive_colliding_fingerprints(spark, monkeypatch):
     assert +found == want
 
 
+def test_collocation_buffers_are_small():
+    """A task holds the arrays of one buffer: of some 4 MB, but for one text that alone has more."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b " * 25_000] * 150 + [" . "], pa.string()), pa.array(["en"] * 151, pa.string())], names=["text", "lang"])
+    found = list(collocations.buffers(iter([batch])))
+    assert len(found) > 3 and max(len(b.joined) for b in found) < (4 << 20) + 200_000
+
+
+def test_collocations_of_a_task_without_words(spark):
+    assert rows_of(collocations.collocations(frame(spark, [(1, " . ", "en", "s", 0), (2, "", "en", "s", 0)]))) == []
+
+
 def test_collocation_sql_agrees(spark, tmp_path):
     rows = repetitive(120, 7)
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
