@@ -35,8 +35,8 @@ from .common import arrow_batches, broadcast_if, new_folder, tidy
 
 PUNCTUATION = string.punctuation
 INDEX = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long, file string, offset long, length long"
-#: Entries that each of a task's two caches of words holds before it starts anew.
-CACHE_WORDS = 100_000
+#: Entries that a task's caches of words, and of their letters and punctuation, hold before they start anew.
+CACHE_WORDS, CACHE_PIECES = 100_000, 200_000
 #: The tokenizer settings under which words, and letters and the punctuation after them, have ids of their own.
 WORDS_APART = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -76,7 +76,7 @@ class WordEncoder(dict):
     def piece(self, text: str, letters: bool) -> bytes:
         """Ids of lower-case letters, or of punctuation."""
         if (ids := self.pieces.get(text)) is None:
-            if len(self.pieces) >= CACHE_WORDS:
+            if len(self.pieces) >= CACHE_PIECES:
                 self.pieces.clear()
             if letters:
                 found = [x.id for x in self.merge(text if text.isascii() else self.spell(text)[0][0])]
