@@ -18,7 +18,10 @@ gives an empty index. Extra columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import codecs
 import json
+import os
+import re
 import string
 import struct
 import zlib
@@ -36,7 +39,11 @@ from .common import arrow_batches, broadcast_if, new_folder, tidy
 PUNCTUATION = string.punctuation
 INDEX = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long, file string, offset long, length long"
 #: Entries that a task's caches of words, and of their letters and punctuation, hold before they start anew.
-CACHE_WORDS, CACHE_PIECES = 100_000, 200_000
+CACHE_WORDS, CACHE_PIECES = 200_000, 200_000
+#: Words of a text that are looked up at once.
+TOGETHER = 20_000
+#: ASCII punctuation from a small letter on to the end of its word.
+TAIL = re.compile(rb"[!-/:-@\[-`{-~](?<=[a-z].)[!-/:-@\[-`{-~]*(?=\s|$)")
 #: The tokenizer settings under which words, and letters and the punctuation after them, have ids of their own.
 WORDS_APART = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -56,22 +63,76 @@ class WordEncoder(dict):
     With the settings WORDS_APART, the tokenizer drops white space and merges within words only, so a text's ids are those
     of its words in turn; it likewise parts a word's letters from punctuation that follows them. With others, whole texts
     are encoded.
+
+    The words of a text that are letters only and not known yet are merged by one call of the library, of a tokenizer
+    with the same model that parts at blanks and normalises nothing; the others one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         settings = {k: part and json.loads(part.__getstate__()) for k in WORDS_APART for part in [getattr(self.tokenizer, k)]}
         self.words_apart = type(self.tokenizer.model).__name__ == "BPE" and settings == WORDS_APART
         self.merge = self.tokenizer.model.tokenize
         self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.pieces: dict[str, bytes] = {}
+        self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        if not self.words_apart:
+            return
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        # Which ids end a word; none do in models without a mark for it.
+        vocabulary, mark = self.tokenizer.get_vocab(with_added_tokens=False), self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
+        # The model's character for each byte of the letters below U+0180, ASCII ones being their own.
+        spelled = [chr(b) for b in range(128)] + ["?"] * 128
+        for letter in map(chr, range(0x80, 0x180)):
+            for byte, own in zip(letter.encode(), self.spell(letter)[0][0], strict=True):
+                spelled[byte] = own
+        self.spelled = "".join(spelled)
 
     def ids(self, text: bytes) -> bytes:
         if not self.words_apart:
             return packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, text.split()))
+        words = self.words(text)
+        return b"".join(b"".join(self.known(words[i : i + TOGETHER])) for i in range(0, len(words), TOGETHER))
+
+    def words(self, text: bytes) -> list[bytes]:
+        """Words in turn, their ids being the text's: with small ASCII letters, and punctuation at the end for itself.
+
+        Texts keep their case where it may decide: before a combining mark (from U+0300 to U+037F at most, for those that
+        compose with ASCII), which composes with some small letters only, and with tokens that stand for themselves.
+        """
+        low = text.lower()
+        if b"\xcc" in text or b"\xcd" in text or any(x in low for x in self.added):
+            return text.split()
+        return TAIL.sub(rb" \g<0>", low).split()
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids."""
+        found = list(map(self.get, words))
+        if places := [i for i, ids in enumerate(found) if ids is None]:
+            new = {words[i] for i in places}
+            if len(self) + len(new) > CACHE_WORDS:
+                self.clear()
+            if plain := [x for x in b" ".join(new).decode().split(" ") if is_plain(x)]:
+                self.merge_all(plain)
+            for i in places:
+                found[i] = self[words[i]]
+        return found
+
+    def merge_all(self, plain: list[str]) -> None:
+        """Adds words of letters that is_plain accepts."""
+        joined = " ".join(plain)
+        spelled, _ = codecs.charmap_decode(joined.lower().encode(), "strict", self.spelled)
+        ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) == len(plain):  # else they are merged one by one, when they are asked for
+            found = ids.tobytes()
+            self.update(zip(joined.encode().split(b" "), [found[a:b] for a, b in zip([0, *ends], ends)]))
 
     def piece(self, text: str, letters: bool) -> bytes:
         """Ids of lower-case letters, or of punctuation."""
@@ -90,8 +151,7 @@ class WordEncoder(dict):
             self.clear()
         text = word.decode()
         letters = text.rstrip(PUNCTUATION)
-        # Latin letters that normalising leaves alone but for case, one by one.
-        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0180" and "\u0130" not in letters):
+        if is_plain(letters):
             ids = self.piece(letters.lower(), True)
             if len(letters) < len(text):
                 ids += self.piece(text[len(letters) :], False)
@@ -101,6 +161,11 @@ class WordEncoder(dict):
         return ids
 
 
+def is_plain(letters: str) -> bool:
+    """Whether these are Latin letters that normalising leaves alone but for case, one by one."""
+    return letters.isalpha() and (letters.isascii() or max(letters) < "\u0180" and "\u0130" not in letters)
+
+
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
