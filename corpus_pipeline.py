@@ -30,14 +30,16 @@ def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one of least doc_id, and of equal doc_ids of least hash; nulls come last. Texts without shingles stay."""
     name = common.prefix_for(docs.columns)
     key, place = f"{name}key", f"{name}row"
-    rows = jaccard.join_components(docs, by_row=True)
-    parts = rows.where("component is not null")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    first = parts.groupBy("component").agg(least.alias("first"))
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    # The row that stays goes by doc_id and hash as well; where it is there several times, one is kept.
-    named = parts.join(first, "component").groupBy("doc_id", "text_hash").agg(F.every(own).alias("stays"), F.count("*").alias("rows"))
-    away = common.written(named.where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "near-copies")
+    # Only the list of rows that go away is needed after this; the tables of the join are not left to the stages that follow.
+    with common.temporary(spark) as keep:
+        rows = jaccard.join_components(docs, by_row=True)
+        parts = rows.where("component is not null")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+        first = parts.groupBy("component").agg(least.alias("first"))
+        own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+        # The row that stays goes by doc_id and hash as well; where it is there several times, one is kept.
+        named = parts.join(first, "component").groupBy("doc_id", "text_hash").agg(F.every(own).alias("stays"), F.count("*").alias("rows"))
+        away = keep(common.written(named.where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "near-copies"))
     n_away = away.count()
 
     def match(side):
@@ -81,8 +83,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, from documents."""
     docs = common.documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), "stage")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        after = common.written(stage(spark, docs, sf_dir), "stage")
+        if k:
+            common.removed(spark, docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

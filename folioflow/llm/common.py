@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables written within `temporary`.
+MADE: ContextVar[list[DataFrame] | None] = ContextVar("MADE", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,9 +41,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
+    if (made := MADE.get()) is not None:
+        made.append(table)
     return table
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `written` makes within are deleted at the end, but those given to what this yields."""
+    made: list[DataFrame] = []
+    token = MADE.set(made)
+
+    def keep(table: DataFrame) -> DataFrame:
+        made[:] = [x for x in made if x is not table]
+        return table
+
+    try:
+        yield keep
+    finally:
+        MADE.reset(token)
+        removed(spark, *made)
+
+
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint for a frame whose counted rows are within limit; beyond it, Spark shuffles both sides."""
     return F.broadcast(df) if rows <= limit else df

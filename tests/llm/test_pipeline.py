@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
+from folioflow.llm import common
 
 from .corpus import frame, saved, sentence
 
@@ -44,3 +46,13 @@ def test_one_of_each_component_stays(spark):
     got = Counter((x["doc_id"], x["text"]) for x in kept.collect())
     assert sum(got[None, t] for t in (a, near(a))) == 1
     assert {k: n for k, n in got.items() if k[1] not in (a, near(a))} == {(1, b): 1, (2, c): 1, (3, d): 1, (None, None): 1, (None, ""): 1}
+
+
+def test_near_copies_leave_no_tables_of_the_join(spark):
+    r = random.Random(17)
+    texts = [sentence(r, 60) for _ in range(20)]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts + texts[:5])])
+    shared = Path(common.shared_folder(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    assert corpus_pipeline.join_near(spark, docs, "").count() == 20
+    assert [x.name.rsplit("-", 1)[0] for x in set(shared.iterdir()) - before] == ["near-copies"]
