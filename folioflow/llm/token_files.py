@@ -2,7 +2,9 @@
 
 A record is: payload length (unsigned 64-bit, little-endian), masked CRC-32 of those 8 bytes (unsigned 32-bit),
 payload, masked CRC-32 of the payload. The payload is one byte, the bytes of an id (2 where all ids of the document are
-below 65536, else 4), and the document's ids as little-endian unsigned integers, the end id last. A mask rotates the CRC right by 15 bits and adds 0xA282EAD8. Files hold at most
+below 65536, else 4), and the document's ids as little-endian unsigned integers, the end id last. Where it gets smaller so, the
+byte is 128 more, and the number of ids (unsigned 64-bit, little-endian) and a Zstandard frame of them follow: each record is
+still read alone. A mask rotates the CRC right by 15 bits and adds 0xA282EAD8. Files hold at most
 `file_bytes` of records (one longer record has a file of its own). The index, in Parquet, has for each document its
 file, offset and length, so that documents can be read in any order.
 
@@ -40,6 +42,8 @@ PUNCTUATION = string.punctuation
 INDEX = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long, file string, offset long, length long"
 #: Entries that a task's caches of words, and of their letters and punctuation, hold before they start anew.
 CACHE_WORDS, CACHE_PIECES = 200_000, 200_000
+#: How ids are compressed, and what a payload's first byte has more then.
+ZSTD, COMPRESSED = pa.Codec("zstd", 1), 128
 #: Words of a text that are looked up at once.
 TOGETHER = 20_000
 #: ASCII punctuation from a small letter on to the end of its word.
@@ -177,12 +181,19 @@ def masked(crc: int) -> int:
 def payload_of(ids: bytes) -> bytes:
     """From ids of 32 bits."""
     wide = np.frombuffer(ids, "<u4")
-    return b"\2" + wide.astype("<u2").tobytes() if wide.max(initial=0) < 1 << 16 else b"\4" + ids
+    size, plain = (2, wide.astype("<u2").tobytes()) if wide.max(initial=0) < 1 << 16 else (4, ids)
+    small = ZSTD.compress(plain, asbytes=True)
+    return struct.pack("<BQ", size + COMPRESSED, len(wide)) + small if len(small) + 8 < len(plain) else bytes([size]) + plain
 
 
 def ids_of(payload: bytes) -> bytes:
     """Ids of 32 bits."""
-    return payload[1:] if payload[0] == 4 else np.frombuffer(payload, "<u2", offset=1).astype("<u4").tobytes()
+    size, plain = payload[0], memoryview(payload)[1:]
+    if size > COMPRESSED:
+        size -= COMPRESSED
+        (n,) = struct.unpack_from("<Q", plain)
+        plain = ZSTD.decompress(plain[8:], n * size, asbytes=True)
+    return bytes(plain) if size == 4 else np.frombuffer(plain, "<u2").astype("<u4").tobytes()
 
 
 def framed(payload: bytes) -> bytes:
